@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import delete, doc_frame, new_folder
+from .shared import doc_frame, new_folder
 
 #: Fixed values of the files: ids in a sequence, sequences in a record batch, UTF-8 bytes of text a shard aims at.
 SEQ_LEN, BATCH_SEQS, SHARD_BYTES = 2048, 128, 24 << 20
 #: Words a worker remembers the ids of.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -33,12 +34,27 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+class _Memory(dict):
+    """Words with the ids they had; a new word is encoded when it is first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        ids = self[word] = self.encode(word)
+        return ids
+
+
 class WordEncoder:
     """The library's ids of whole texts, with a memory of words.
 
     Byte-level pre-tokenisation never joins what stands on two sides of a single space or newline between other
-    characters, so texts with only such white space are encoded word by word, each word once; any other text is given to
-    the library whole. Both give the same ids (tested). Strings of special tokens in a text are ordinary text.
+    characters, nor a run of letters and the punctuation after it. So texts with only such white space are encoded by
+    words, and words by their letters and what follows, each once; any other text is given to the library whole. All ways
+    give the same ids (tested). Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str, dtype: str = "<u2"):
@@ -49,13 +65,20 @@ class WordEncoder:
 
         self.tok, self.dtype = Tokenizer.from_file(path), dtype
         self.tok.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}  # words at the start of a line
-        self.later: dict[str, bytes] = {}  # words after a space
-        self.newline = self._ids(["\n"])[0]
+        self.pieces = _Memory(self.library)  # as they stand in the text, with a space before them if there is one
+        self.words = _Memory(self._word)  # after a space; with a newline for a first character, after that newline
+
+    def library(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        run = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in run(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        lead, word = ("", word[1:]) if word[0] == "\n" else (" ", word)
+        letters = word.rstrip(PUNCTUATION)
+        if letters and len(letters) < len(word) and letters.isalpha():
+            ids = self.pieces[lead + letters] + self.pieces[word[len(letters) :]]
+        else:
+            ids = self.pieces[lead + word]
+        return ids if lead else self.pieces["\n"] + ids
 
     @staticmethod
     def plain(text: str) -> bool:
@@ -64,35 +87,16 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian bytes."""
-        out: list[bytes | None] = [None] * len(texts)
-        lines: dict[int, list[list[str]]] = {}
-        odd = []
-        for i, t in enumerate(texts):
+        out = []
+        for t in texts:
             if not t:
-                out[i] = b""
+                out.append(b"")
             elif self.plain(t):
-                lines[i] = [x.split(" ") for x in t.split("\n")]
+                first, *later = t.replace("\n", " \n").split(" ")
+                out.append(self.library(first) + b"".join(map(self.words.__getitem__, later)))
             else:
-                odd.append(i)
-        for i in odd:  # one by one: a batch would hold every long text's encoding
-            out[i] = self._ids([texts[i]])[0]
-        for memory, lead, words in (
-            (self.first, "", {x[0] for ls in lines.values() for x in ls}),
-            (self.later, " ", set().union(*(x[1:] for ls in lines.values() for x in ls)) if lines else set()),
-        ):
-            if len(memory) + len(words) > CACHE_WORDS:
-                memory.clear()
-            new = [w for w in words if w not in memory]
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                memory.update(zip(part, self._ids([lead + w for w in part]), strict=True))
-        first, later, newline = self.first, self.later.__getitem__, self.newline
-        for i, ls in lines.items():
-            parts = []
-            for x in ls:
-                parts += (newline, first[x[0]], *map(later, x[1:]))
-            out[i] = b"".join(parts[1:])
-        return out  # type: ignore[return-value]
+                out.append(self.library(t))
+        return out
 
 
 def sequences_type(seq_len: int, dtype: str) -> pa.Schema:
@@ -262,4 +266,4 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_digest(spark, out)
 
 
-__all__ = ["ShardWriter", "TokenShard", "WordEncoder", "delete", "op1_token_files", "read_token_digest", "with_starts", "write_token_files"]
+__all__ = ["ShardWriter", "TokenShard", "WordEncoder", "op1_token_files", "read_token_digest", "with_starts", "write_token_files"]

@@ -2,40 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .shared import Workspace, attach
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())
+from .shared import Workspace
 
 
 def components(edges: DataFrame, work: Workspace, most_rounds: int = 60) -> DataFrame:
     """From undirected edges (u, v) of longs: one row (doc_id, label) a vertex with an edge; label is the smallest id it
-    reaches. Each round is a map-side combined minimum and a join that spreads hubs, and is written to the shared folder.
+    reaches. Each half round is a map-side combined minimum and a join on the vertex, whose hubs adaptive execution splits;
+    its result is written to the shared folder, so plans stay short and a lost executor costs its own tasks.
     """
     now = work.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
-    state = _state(now)
+    state = None
     for _ in range(most_rounds):
-        if not state[0]:
-            break
         # Large star: every larger neighbour of u is tied to the smallest of u and its neighbours.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = work.keep(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), "low")
-        large = attach(both.filter("v > u"), low, ["u"], F.col("n"), 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = work.keep(large.filter("u != v"), "large")
+        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = work.keep(large, "large")
         # Small star: u and its smaller neighbours are tied to the smallest of them.
-        low = work.keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
-        size = large.count()
-        small = attach(large, low, ["u"], F.col("n"), size).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        new = work.keep(small, "edges")
-        was, state = state, _state(new)
+        seen = Observation()
+        new = work.keep(small.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.hash("u", "v").cast("long")).alias("s")), "edges")
+        was, state = state, seen.get
+        work.drop(now, large)
         now = new
         if was == state:
             break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("u").alias("doc_id"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("doc_id"), F.col("v").alias("label"))).distinct()
+    return now.select(F.col("u").alias("doc_id"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("doc_id"), F.col("v").alias("label")).distinct())

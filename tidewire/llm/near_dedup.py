@@ -1,12 +1,13 @@
 """Near-duplicate classes: MinHash bands find candidates, odd sketches screen them, full shingle sets confirm them.
 
-K MinHash samples of a document's five-word shingles are cut into bands; documents that agree in a band are candidates.
-The samples are also folded into a parity bitmap (odd sketch): every sample flips one bit, so that the XOR of two
-bitmaps counts the samples in which two documents differ, which is precise where similarity is high. Only candidates
-whose sketches leave the threshold within reach are confirmed, on their full shingle sets.
-
-Groups of copies stay linear: equal sets are one vertex, each bucket first ties its members to one pivot, and further
-comparisons are made only between members that no confirmed link connects yet.
+MinHash samples of a document's five-word shingles are cut into bands; documents that agree in a band are candidates. The
+samples, and more of them, are also folded into a parity bitmap (odd sketch): each flips one bit, so that the XOR of two
+bitmaps counts the samples in which two documents differ, which is precise where similarity is high. Only candidates whose
+sketches leave the threshold within reach are confirmed, on their full shingle sets.
+
+Groups of copies stay linear: equal sets are one vertex; each vertex is first compared with one pivot, the most central
+member of the buckets it is in; then only members that no confirmed link connects yet meet, and of those only pairs that
+pass the screen are written down.
 """
 
 from __future__ import annotations
@@ -27,53 +28,58 @@ from .wordhash import mix, shingle_sets, slices
 WORDS, PERCENT = 5, 85
 #: MinHash bands and samples in each. At the threshold a pair shares no band with probability (1 - 0.85^6)^24 = 1.2e-5.
 BANDS, ROWS = 24, 6
-#: Bits of an odd sketch, in words of 64.
-SKETCH_WORDS = 8
-#: Screened pairs keep an estimate this far below the threshold: five standard errors of 144 samples.
-MARGIN = 0.15
-#: A bucket up to this size is compared in full at once; a larger one gets so many pivots first.
-SMALL_BUCKET, PIVOT_ROUNDS = 32, 4
+#: Samples folded into a sketch, and its bits in words of 64.
+SAMPLES, SKETCH_WORDS = 768, 32
+#: A pair is confirmed if its estimate is at most this far below the threshold: four standard errors.
+MARGIN = 0.055
+#: Members of a bucket that meet one slice of its other members.
+SLICE = 2048
 
 _RNG = np.random.default_rng(77_001)
-_XOR = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-_MUL = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_K = np.arange(BANDS * ROWS, dtype=np.uint64)
+_XOR = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32)
+_MUL = _RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_K = np.arange(SAMPLES, dtype=np.uint64)
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+_CHUNK = 256
 
 
-def minhash(shingles: np.ndarray) -> np.ndarray:
-    """K samples, 32 bits each, of a set of 64-bit shingles."""
+def minhash(shingles: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """The samples, 32 bits each, of a set of 64-bit shingles. ``room`` is scratch space of _CHUNK rows."""
+    room = np.empty((_CHUNK, SAMPLES), np.uint32) if room is None else room
     x, low = (shingles >> np.uint64(32)).astype(np.uint32), None
-    for at in range(0, len(x), 1024):
-        m = x[at : at + 1024, None] ^ _XOR
-        m *= _MUL
-        m = m.min(axis=0)
-        low = m if low is None else np.minimum(low, m)
+    for at in range(0, len(x), _CHUNK):
+        part = x[at : at + _CHUNK, None]
+        m = room[: len(part)]
+        np.bitwise_xor(part, _XOR, out=m)
+        np.multiply(m, _MUL, out=m)
+        new = np.minimum.reduce(m, axis=0)
+        low = new if low is None else np.minimum(low, new)
     return low
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
     """One 64-bit key a band; the band's number is part of it."""
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in samples.reshape(BANDS, ROWS).astype(np.uint64).T:
+    for column in samples[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64).T:
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
     return key.view(np.int64)
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
     """The parity bitmap of the samples, as SKETCH_WORDS signed words."""
-    at = mix(samples.astype(np.uint64) * np.uint64(BANDS * ROWS) + _K) & np.uint64(SKETCH_WORDS * 64 - 1)
+    at = mix(samples.astype(np.uint64) * np.uint64(SAMPLES) + _K) & np.uint64(SKETCH_WORDS * 64 - 1)
     odd = (np.bincount(at.astype(np.int64), minlength=SKETCH_WORDS * 64) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
 def most_differing_bits(percent: int = PERCENT, margin: float = MARGIN) -> int:
     """The XOR population count at which the estimated similarity is ``percent`` less the margin."""
-    n, differ = SKETCH_WORDS * 64, 2 * BANDS * ROWS * (1 - percent / 100 + margin)
+    n, differ = SKETCH_WORDS * 64, 2 * SAMPLES * (1 - percent / 100 + margin)
     return int(np.ceil(n / 2 * (1 - np.exp(-2 * differ / n))))
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    room = np.empty((_CHUNK, SAMPLES), np.uint32)
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for a, b in slices([len(t) for t in texts]):
@@ -81,7 +87,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in shingle_sets(texts[a:b], WORDS):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                low = minhash(s) if len(s) else None
+                low = minhash(s, room) if len(s) else None
                 bands.append(band_keys(low) if len(s) else [])
                 sketch.append(odd_sketch(low) if len(s) else np.zeros(SKETCH_WORDS, np.int64))
             words = np.array(sketch, np.int64).reshape(-1, SKETCH_WORDS)
@@ -144,17 +150,15 @@ class _Linker:
     def sketched(self, prefix: str) -> DataFrame:
         return self.sketches.select("doc_id", *(F.col(c).alias(f"{prefix}{c}") for c in ("n", *_SKETCH)))
 
-    def screened(self, pairs: DataFrame) -> DataFrame:
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The links among pairs (u, v): by their sketches, then by their full sets."""
         pairs = self.work.keep(pairs.distinct(), "pairs")
         n = pairs.count()
         both = _sliced_join(_sliced_join(pairs, "u", self.sketched("a_"), n), "v", self.sketched("b_"), n)
-        return both.filter(self.screen("a_", "b_")).select("u", "v")
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        pairs = self.work.keep(pairs, "screened")
-        n = pairs.count()
+        near = self.work.keep(both.filter(self.screen("a_", "b_")).select("u", "v"), "screened")
+        n = near.count()
         texts = lambda side: self.texts.withColumnRenamed("text", f"text_{side}")
-        both = _sliced_join(_sliced_join(pairs, "u", texts("u"), n), "v", texts("v"), n)
+        both = _sliced_join(_sliced_join(near, "u", texts("u"), n), "v", texts("v"), n)
         return self.work.keep(both.select("u", "v", "text_u", "text_v").mapInArrow(_confirm(self.percent), "u long, v long"), "links")
 
 
@@ -182,43 +186,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
     in_bands = vertices.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = work.keep(in_bands.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
-    members = work.keep(attach(in_bands, shared, ["bucket"], F.col("m"), BANDS * max(total, 1), "inner").select("bucket", "doc_id", "pivot"), "members")
-    busy = members.select("doc_id").distinct()
-    sketches = work.keep(vertices.drop("bands").join(busy, "doc_id", "left_semi"), "sketches")
-    texts = work.keep(rows.join(busy, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    shared = work.keep(in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
+    members = work.keep(attach(in_bands, shared, ["bucket"], F.col("m"), BANDS * max(total, 1), "inner").select("bucket", "doc_id", "m"), "members")
+    busy = members.groupBy("doc_id").agg(F.sum("m").alias("central"))
+    sketches = work.keep(vertices.drop("bands").join(busy.hint("merge"), "doc_id"), "sketches")
+    texts = work.keep(rows.join(busy.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     link = _Linker(work, sketches, texts, percent)
 
-    star = members.filter("doc_id != pivot").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v"))
-    links = link.confirmed(link.screened(star))
+    # Each vertex meets the most central member of its buckets, by the sizes of the buckets that one is in.
+    ranked = members.join(sketches.select("doc_id", "central"), "doc_id").select("bucket", "doc_id", "m", F.struct("central", (-F.col("doc_id")).alias("minus")).alias("rank"))
+    heads = ranked.groupBy("bucket").agg(F.max("rank").alias("head"), F.max("m").alias("size"))
+    met = attach(members.select("bucket", "doc_id"), heads, ["bucket"], F.col("size"), BANDS * max(total, 1), "inner").groupBy("doc_id").agg(F.max("head").alias("head"))
+    star = met.select((-F.col("head.minus")).alias("u"), F.col("doc_id").alias("v")).filter("u != v")
+    links = link.confirmed(star)
+    labels = work.keep(components(links, work), "labels")
+
+    # Buckets that hold more than one class: members of different classes meet.
+    told = members.join(labels.hint("merge"), "doc_id", "left").select("bucket", "doc_id", "m", F.coalesce("label", "doc_id").alias("label"))
+    told = work.keep(told, "told")
+    mixed = told.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("m").alias("size")).filter("lo != hi").select("bucket", "size")
+    open_ = work.keep(attach(told, mixed, ["bucket"], F.col("size"), BANDS * max(total, 1), "inner").select("bucket", "doc_id", "label", "size"), "open")
+    links = link.confirmed(_across(link, open_)).unionByName(labels.filter("doc_id != label").select(F.col("doc_id").alias("u"), F.col("label").alias("v")))
     labels = work.keep(components(links, work), "labels")
-    members = members.select("bucket", "doc_id")
-    for turn in range(1, 1_000):
-        told = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        told = work.keep(told.select("bucket", "doc_id", "label"), "told")
-        spin = F.xxhash64(F.col("doc_id"), F.lit(turn))
-        open_ = told.groupBy("bucket").agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"),
-            F.min(F.struct(spin.alias("spin"), "doc_id", "label")).alias("p"),
-        )
-        open_ = work.keep(open_.filter("lo != hi").select("bucket", "m", F.col("p.doc_id").alias("pivot"), F.col("p.label").alias("pivot_label")), "open")
-        n_open = open_.count()
-        if not n_open:
-            break
-        left = work.keep(attach(told, open_, ["bucket"], F.col("m"), max(1, told.count()), "inner").select("bucket", "doc_id", "label", "m", "pivot", "pivot_label"), "left")
-        whole = left.filter(F.col("m") <= SMALL_BUCKET) if turn <= PIVOT_ROUNDS else left
-        new = _across(link, whole, work)
-        large = left.filter(F.col("m") > SMALL_BUCKET) if turn <= PIVOT_ROUNDS else None
-        if large is not None and not large.isEmpty():
-            pairs = large.filter("label != pivot_label").select(F.least("pivot", "doc_id").alias("u"), F.greatest("pivot", "doc_id").alias("v"))
-            new = new.unionByName(link.screened(pairs))
-        links = links.unionByName(link.confirmed(new.distinct()))
-        labels = work.keep(components(links, work), "labels")
-        if large is None:
-            break
-        members = large.select("bucket", "doc_id")
-
-    sized = labels.join(of.groupBy(F.col("rep").alias("doc_id")).agg(F.count(F.lit(1)).alias("c")), "doc_id", "left")
+
+    sized = labels.join(of.groupBy(F.col("rep").alias("doc_id")).agg(F.count(F.lit(1)).alias("c")).hint("merge"), "doc_id", "left")
     sized = work.keep(sized.select(F.col("doc_id").alias("rep"), "label", F.coalesce("c", F.lit(1)).alias("c")), "sized")
     found = attach(of, sized, ["rep"], F.col("c"), total).select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     empty = sig.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -226,18 +217,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.unionByName(empty).withColumn("kept", kept)
 
 
-def _across(link: _Linker, members: DataFrame, work: Workspace) -> DataFrame:
-    """Screened pairs of members of one bucket that no link connects yet.
+def _across(link: _Linker, members: DataFrame) -> DataFrame:
+    """Pairs of members of one bucket in different classes whose sketches pass the screen.
 
     In each bucket all members outside its largest class meet all members; so a bucket costs its size times the number
-    of rows outside that class, not its square.
+    of rows outside that class, not its square. Large buckets are cut into slices that meet in tasks of their own.
     """
     sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
     most = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top")).select("bucket", F.col("top.label").alias("top"))
-    told = members.select("bucket", "doc_id", "label").join(most, "bucket")
-    a = told.filter("label != top").join(link.sketched("a_"), "doc_id").select("bucket", F.col("doc_id").alias("u"), F.col("label").alias("lu"), *(f"a_{c}" for c in ("n", *_SKETCH)))
-    b = told.join(link.sketched("b_"), "doc_id").select("bucket", F.col("doc_id").alias("v"), F.col("label").alias("lv"), (F.col("label") == F.col("top")).alias("in_top"), *(f"b_{c}" for c in ("n", *_SKETCH)))
-    on = (a["bucket"] == b["bucket"]) & (F.col("lu") != F.col("lv")) & (F.col("in_top") | (F.col("u") < F.col("v"))) & link.screen("a_", "b_")
+    told = members.join(most, "bucket").withColumn("slices", F.ceil(F.col("size") / F.lit(SLICE)).cast("int"))
+    own = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("slices")).cast("int")
+    a = told.filter("label != top").withColumn("slice", own).join(link.sketched("a_").hint("merge"), "doc_id")
+    a = a.select("bucket", "slice", F.col("doc_id").alias("u"), F.col("label").alias("lu"), *(f"a_{c}" for c in ("n", *_SKETCH)))
+    b = told.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).join(link.sketched("b_").hint("merge"), "doc_id")
+    b = b.select("bucket", "slice", F.col("doc_id").alias("v"), F.col("label").alias("lv"), (F.col("label") == F.col("top")).alias("in_top"), *(f"b_{c}" for c in ("n", *_SKETCH)))
+    on = (a["bucket"] == b["bucket"]) & (a["slice"] == b["slice"]) & (F.col("lu") != F.col("lv")) & (F.col("in_top") | (F.col("u") < F.col("v"))) & link.screen("a_", "b_")
     return a.join(b, on).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 

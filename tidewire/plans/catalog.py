@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from tidewire.plans import story_queries, text_queries
+
+MODULES: list = [text_queries, story_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Events out of all stories: deduplicated, classified, scored, clustered, with evidence and confidence."""
+    return story_queries.collect_run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,6 +13,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,61 +116,67 @@ class Seeds:
                 yield self.ids[x], n, total, len(tiles), max(t[2] for t in tiles)
 
 
-def contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_id_col: str = "item_id",
-    item_text_col: str = "text",
-    seed: int = SEED,
-    coverage: float = COVERAGE,
-) -> DataFrame:
+def benchmark_blocks(benchmark: DataFrame, seed: int = SEED, item_id_col: str = "item_id", item_text_col: str = "text") -> Iterator[Seeds]:
+    """The benchmark's items with words, in blocks of bounded size, one at a time on the driver."""
+    items = benchmark.select(F.col(item_id_col).cast("long").alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t")).filter("trim(t) != ''")
+    held, chars = [], 0
+    for r in items.toLocalIterator():
+        if held and (chars + len(r["t"]) > BLOCK_CHARS or len(held) >= BLOCK_ITEMS):
+            yield Seeds([h[0] for h in held], [h[1] for h in held], seed)
+            held, chars = [], 0
+        held.append((r["i"], r["t"]))
+        chars += len(r["t"])
+    if held:
+        yield Seeds([h[0] for h in held], [h[1] for h in held], seed)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, coverage: float = COVERAGE, **item_cols: str) -> DataFrame:
     """One row for each document and benchmark item in it: doc_id, item_id, item_words, covered_words, n_tiles,
     longest_tile, coverage.
 
     Words are runs of letters and digits, A-Z lower-cased; whole texts are read. An item with fewer words than a seed is
     one window; one without words, or null, is in no document. Null documents count as empty. Repeated rows give repeated
-    results. An empty table on either side gives an empty result.
+    results. An empty table on either side gives an empty result. A benchmark of many blocks is one pass over the
+    documents for each.
     """
-    items = benchmark.select(F.col(item_id_col).cast("long").alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t")).filter("trim(t) != ''")
-    spark, parts, held, chars = docs.sparkSession, [], [], 0
-    rows = doc_frame(docs, id_col, text_col)
+    schema = "doc_id long, item_id long, item_words long, covered_words long, n_tiles long, longest_tile long, coverage double"
+    spark, rows = docs.sparkSession, doc_frame(docs, id_col, text_col)
 
-    def block() -> None:
-        nonlocal held, chars
-        seeds = spark.sparkContext.broadcast(Seeds([h[0] for h in held], [h[1] for h in held], seed))
-        held, chars = [], 0
+    def against(block: Seeds) -> DataFrame:
+        seeds = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = seeds.value
+            own, kinds = seeds.value, [pa.int64()] * 6 + [pa.float64()]
             for batch in batches:
                 ids, texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
                 for a, b in slices([len(t) for t in texts]):
                     for i, w in zip(ids[a:b], texts_words(texts[a:b], ALNUM), strict=True):
                         out += [(i, *x, x[2] / x[1]) for x in own.covered(w, coverage)]
-                kinds = [pa.int64()] * 6 + [pa.float64()]
                 yield pa.record_batch([pa.array([r[k] for r in out], kinds[k]) for k in range(7)], names=["doc_id", "item_id", "item_words", "covered_words", "n_tiles", "longest_tile", "coverage"])
 
-        parts.append(rows.mapInArrow(run, "doc_id long, item_id long, item_words long, covered_words long, n_tiles long, longest_tile long, coverage double"))
+        return rows.mapInArrow(run, schema)
 
-    for r in items.toLocalIterator():
-        if held and (chars + len(r["t"]) > BLOCK_CHARS or len(held) >= BLOCK_ITEMS):
-            block()
-        held.append((r["i"], r["t"]))
-        chars += len(r["t"])
-    if held or not parts:
-        block()
-    found = parts[0]
+    parts = [against(b) for b in benchmark_blocks(benchmark, seed, **item_cols)]
+    found = parts[0] if parts else spark.createDataFrame([], schema)
     for p in parts[1:]:
         found = found.unionByName(p)
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns stay, and rows without an id."""
-    gone = contamination(docs, benchmark, id_col, text_col, **options).filter("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", seed: int = SEED, coverage: float = COVERAGE, **item_cols: str) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item; all columns stay. Each row is decided where it is read."""
+    for block in benchmark_blocks(benchmark, seed, **item_cols):
+        seeds = docs.sparkSession.sparkContext.broadcast(block)
+
+        @F.pandas_udf("boolean")
+        def holds(texts: Iterator[pd.Series], seeds=seeds) -> Iterator[pd.Series]:
+            for batch in texts:
+                own = [t or "" for t in batch]
+                found = [any(True for _ in seeds.value.covered(w, coverage)) for a, b in slices([len(t) for t in own]) for w in texts_words(own[a:b], ALNUM)]
+                yield pd.Series(found, dtype="bool")
+
+        docs = docs.filter(~holds(F.col(text_col)))
+    return docs
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,22 +9,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import doc_frame
-from .wordhash import slices
 
 #: Lengths of n-grams in characters, a word's edges included; rows of the table of vectors; their length.
-SIZES, BUCKETS, DIM = (3, 4, 5), 1 << 18, 8
-#: The average is multiplied by this before the softmax.
-SCALE = 100.0
+SIZES, BUCKETS, DIM = (4, 5, 6, 7), 1 << 20, 8
+#: The average is multiplied by this before the softmax; so many neutral n-grams are part of each average.
+SCALE, NEUTRAL = 100.0, 300.0
 #: The model is fitted on this many labelled documents at most (a bounded sample: the first by a hash of the id), with so
 #: many characters together at most; a document that no longer fits is left out of the fit.
-TRAIN_ROWS, TRAIN_CHARS = 6_000, 24_000_000
-EPOCHS, BATCH, RATE, SEED = 16, 96, 0.03, 11
-_PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
+TRAIN_ROWS, TRAIN_CHARS = 4_000, 16_000_000
+EPOCHS, BATCH, RATE, SEED = 12, 96, 2.0, 11
+#: An n-gram that fewer training documents hold keeps a vector of zeros.
+MIN_DOCS = 5
+_PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xB5297A4D, 0x68E31DA5], np.uint32)
 
 
 def subwords(text: str) -> np.ndarray:
@@ -47,17 +48,33 @@ def subwords(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a whole text's n-grams, each once, and their scaled share of all its n-grams."""
+    g = subwords(text)
+    u, n = np.unique(g, return_counts=True)
+    return u.astype(np.int32), (n * (SCALE * trust(n) / max(1, len(g)))).astype(np.float32)
+
+
+def trust(counts: np.ndarray) -> float:
+    """How far an average over few different n-grams counts: as if NEUTRAL n-grams without meaning stood beside them.
+
+    Short texts and texts that repeat a few words have a small effective number of n-grams, the square of the sum of the
+    counts over the sum of their squares."""
+    n = counts.astype(np.float64)
+    effective = n.sum() ** 2 / (n * n).sum() if len(n) else 0.0
+    return float(effective / (effective + NEUTRAL))
+
+
 class Batch:
     """Some documents' n-grams, counted, in the order of documents and in the order of rows."""
 
-    def __init__(self, texts: list[str], labels: np.ndarray):
+    def __init__(self, counted: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, common: np.ndarray):
         rows, weights, sizes = [], [], []
-        for t in texts:
-            g = subwords(t)
-            u, n = np.unique(g, return_counts=True)
-            rows.append(u.astype(np.int32))
-            weights.append((n * (SCALE / max(1, len(g)))).astype(np.float32))
-            sizes.append(len(u))
+        for u, w in counted:
+            keep = common[u]
+            rows.append(u[keep])
+            weights.append(w[keep])
+            sizes.append(int(keep.sum()))
         rows, self.w = np.concatenate(rows), np.concatenate(weights)
         self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         self.empty, self.y = np.array(sizes) == 0, labels.astype(np.float32)
@@ -65,7 +82,7 @@ class Batch:
         self.at = inverse.astype(np.int32)
         order = np.argsort(self.at, kind="stable")
         self.order = order.astype(np.int32)
-        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+        self.doc = np.repeat(np.arange(len(counted), dtype=np.int32), sizes)
         self.row_starts = np.searchsorted(self.at[order], np.arange(len(self.rows)))
 
     def means(self, vectors: np.ndarray) -> np.ndarray:
@@ -87,13 +104,13 @@ class Toxicity:
         self.table, self.constant = table, constant
 
     def score(self, text: str) -> float:
-        g = subwords(text)
-        z = self.constant + (SCALE * float(self.table[g].mean()) if len(g) else 0.0)
+        u, w = counted(text)
+        z = self.constant + float(self.table[u] @ w)
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Toxicity:
-    """Train vectors and softmax together by Adam on batches of documents. With labels of one kind only, or none, every
+    """Train vectors and softmax together by gradient descent on batches of documents. With labels of one kind only, or none, every
     score is the share of label 1 (smoothed)."""
     y = np.array(labels, np.float32)
     rng = np.random.default_rng(SEED)
@@ -101,10 +118,15 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Toxicity:
         share = (float(y.sum()) + 0.5) / (len(y) + 1.0) if len(y) else 0.25
         return Toxicity(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     mixed = rng.permutation(len(texts))
-    batches = [Batch([texts[i] for i in mixed[k : k + BATCH]], y[mixed[k : k + BATCH]]) for k in range(0, len(texts), BATCH)]
+    docs = [counted(t) for t in texts]
+    in_docs = np.zeros(BUCKETS, np.int64)
+    for u, _ in docs:
+        in_docs[u] += 1
+    common = in_docs >= MIN_DOCS
+    batches = [Batch([docs[i] for i in mixed[k : k + BATCH]], y[mixed[k : k + BATCH]], common) for k in range(0, len(texts), BATCH)]
+    del docs
     vectors = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.log(np.array([1 - y.mean(), y.mean()], np.float32))
-    first, second = [np.zeros_like(x) for x in (vectors, softmax, bias)], [np.zeros_like(x) for x in (vectors, softmax, bias)]
     step, steps = 0, epochs * len(batches)
     for _ in range(epochs):
         for k in rng.permutation(len(batches)):
@@ -119,14 +141,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Toxicity:
             grads = [b.spread(p @ softmax.T), z.T @ p, p.sum(axis=0)]
             step += 1
             rate = RATE * (1 - (step - 1) / steps)
-            for x, g, m, v, at in zip((vectors, softmax, bias), grads, first, second, (b.rows, slice(None), slice(None)), strict=True):
-                m[at] = 0.9 * m[at] + 0.1 * g
-                v[at] = 0.99 * v[at] + 0.01 * g * g
-                x[at] -= rate * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.99**step)) + 1e-8)
-    seen = np.zeros(BUCKETS, bool)
-    for b in batches:
-        seen[b.rows] = True
-    vectors[~seen] = 0
+            for x, g, at in zip((vectors, softmax, bias), grads, (b.rows, slice(None), slice(None)), strict=True):
+                x[at] -= rate * g
+    vectors[~common] = 0
     return Toxicity((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
@@ -150,22 +167,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     return texts, ys
 
 
+def score_of(spark: SparkSession, model: Toxicity):
+    """A function of a text column that returns its score. Tables travel by broadcast: their size is fixed."""
+    shared = spark.sparkContext.broadcast((model.table, model.constant))
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Toxicity(*shared.value)
+        for batch in texts:
+            yield pd.Series([own.score(t or "") for t in batch], dtype="float64")
+
+    return score
+
+
 def toxicity_scores(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of ``docs``: doc_id, held_out, score, predicted. The whole text is read and nothing else of the row.
 
     Null counts as empty; an empty text gets the score of the constant alone. ``held_out`` is null for a row without an id.
+    Repeated rows give repeated results; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.table, model.constant))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Toxicity(*shared.value)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices([len(t) for t in texts]):
-                score = [own.score(t) for t in texts[a:b]]
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(score, pa.float64())], names=["doc_id", "score"])
-
-    scored = doc_frame(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    score = score_of(docs.sparkSession, model)
+    scored = doc_frame(docs, id_col, text_col).select("doc_id", score("text").alias("score"))
     return scored.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -173,10 +195,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Toxi
     return fit(*training_rows(docs, labels, label_col))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows predicted toxic; all columns stay, and rows without an id."""
-    toxic = toxicity_scores(docs, fit_on(docs, labels), id_col, text_col).filter("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(toxic, docs[id_col] == toxic["_gone"], "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows predicted toxic; all columns stay. Each row is decided where it is read."""
+    return docs.filter(score_of(docs.sparkSession, fit_on(docs, labels))(F.col(text_col)) < 0.5)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,10 @@ SCALE, NEUTRAL = 100.0, 300.0
 #: many characters together at most; a document that no longer fits is left out of the fit.
 TRAIN_ROWS, TRAIN_CHARS = 4_000, 16_000_000
 EPOCHS, BATCH, RATE, SEED = 12, 96, 2.0, 11
+#: With few documents the epochs are as many as it takes to make so many steps.
+LEAST_STEPS = 500
+#: Label 1 is rarer and counts so many times in the fit.
+POSITIVE = np.float32(2.0)
 #: An n-gram that fewer training documents hold keeps a vector of zeros.
 MIN_DOCS = 5
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xB5297A4D, 0x68E31DA5], np.uint32)
@@ -127,6 +131,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Toxicity:
     del docs
     vectors = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.log(np.array([1 - y.mean(), y.mean()], np.float32))
+    epochs = max(epochs, -(-LEAST_STEPS // len(batches)))
     step, steps = 0, epochs * len(batches)
     for _ in range(epochs):
         for k in rng.permutation(len(batches)):
@@ -137,7 +142,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Toxicity:
             s = np.exp(s - s.max(axis=1, keepdims=True))
             p = s / s.sum(axis=1, keepdims=True)
             p[np.arange(len(p)), b.y.astype(int)] -= 1
-            p /= len(p)
+            p *= np.where(b.y > 0, POSITIVE, np.float32(1.0))[:, None] / len(p)
             grads = [b.spread(p @ softmax.T), z.T @ p, p.sum(axis=0)]
             step += 1
             rate = RATE * (1 - (step - 1) / steps)

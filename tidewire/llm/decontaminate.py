@@ -163,19 +163,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found
 
 
+def holds_item(spark: SparkSession, block: Seeds, coverage: float = COVERAGE):
+    """A function of a text column: whether an item of the block is in the text."""
+    seeds = spark.sparkContext.broadcast(block)
+
+    @F.pandas_udf("boolean")
+    def holds(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            own = [t or "" for t in batch]
+            found = [any(True for _ in seeds.value.covered(w, coverage)) for a, b in slices([len(t) for t in own]) for w in texts_words(own[a:b], ALNUM)]
+            yield pd.Series(found, dtype="bool")
+
+    return holds
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", seed: int = SEED, coverage: float = COVERAGE, **item_cols: str) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; all columns stay. Each row is decided where it is read."""
     for block in benchmark_blocks(benchmark, seed, **item_cols):
-        seeds = docs.sparkSession.sparkContext.broadcast(block)
-
-        @F.pandas_udf("boolean")
-        def holds(texts: Iterator[pd.Series], seeds=seeds) -> Iterator[pd.Series]:
-            for batch in texts:
-                own = [t or "" for t in batch]
-                found = [any(True for _ in seeds.value.covered(w, coverage)) for a, b in slices([len(t) for t in own]) for w in texts_words(own[a:b], ALNUM)]
-                yield pd.Series(found, dtype="bool")
-
-        docs = docs.filter(~holds(F.col(text_col)))
+        docs = docs.filter(~holds_item(docs.sparkSession, block, coverage)(F.col(text_col)))
     return docs
 
 

@@ -23,6 +23,8 @@ SCALE, NEUTRAL = 100.0, 300.0
 #: many characters together at most; a document that no longer fits is left out of the fit.
 TRAIN_ROWS, TRAIN_CHARS = 4_000, 16_000_000
 EPOCHS, BATCH, RATE, SEED = 12, 96, 2.0, 11
+#: A gradient longer than this is shortened to it.
+CLIP = 0.25
 #: With few documents the epochs are as many as it takes to make so many steps.
 LEAST_STEPS = 500
 #: Label 1 is rarer and counts so many times in the fit.
@@ -147,7 +149,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Toxicity:
             step += 1
             rate = RATE * (1 - (step - 1) / steps)
             for x, g, at in zip((vectors, softmax, bias), grads, (b.rows, slice(None), slice(None)), strict=True):
-                x[at] -= rate * g
+                x[at] -= rate * min(1.0, CLIP / (float(np.sqrt((g * g).sum())) + 1e-12)) * g
     vectors[~common] = 0
     return Toxicity((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.plans import story_queries, text_queries
+from tidewire.plans import event_queries, story_queries, text_queries
 
-MODULES: list = [text_queries, story_queries]
+MODULES: list = [text_queries, story_queries, event_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

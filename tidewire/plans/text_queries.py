@@ -11,7 +11,12 @@ from tidewire.plans import duck
 from tidewire.plans.views import articles, table
 from tidewire.sources.feeds import entry_publisher, published_time, strip_tags, warning_parts
 
-TITLE = F.substring_index("text", "\n", 1)
+
+
+def first_line():
+    return F.substring_index("text", "\n", 1)
+
+
 TITLE_SQL = "split_part(text, chr(10), 1)"
 
 
@@ -26,7 +31,7 @@ def p1(spark, d):
 
 def p2(spark, d):
     """Titles cleaned for comparison."""
-    return _docs(spark, d).select("doc_id", tx.clean_title(TITLE).alias("title_key"))
+    return _docs(spark, d).select("doc_id", tx.clean_title(first_line()).alias("title_key"))
 
 
 def p3(spark, d):
@@ -36,7 +41,7 @@ def p3(spark, d):
 
 def p4(spark, d):
     """Numbers in titles."""
-    return _docs(spark, d).select("doc_id", F.array_join(tx.title_numbers(F.concat_ws(" ", TITLE, F.col("doc_id").cast("string"), F.lit("v3 7b"))), " ").alias("numbers"))
+    return _docs(spark, d).select("doc_id", F.array_join(tx.title_numbers(F.concat_ws(" ", first_line(), F.col("doc_id").cast("string"), F.lit("v3 7b"))), " ").alias("numbers"))
 
 
 def p5(spark, d):

@@ -6,153 +6,18 @@ softmax over an average is a number a n-gram, averaged, plus a constant; texts a
 
 from __future__ import annotations
 
+import os
+import pickle
+import subprocess
+import sys
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import doc_frame
-
-#: Lengths of n-grams in characters, a word's edges included; rows of the table of vectors; their length.
-SIZES, BUCKETS, DIM = (4, 5, 6, 7), 1 << 20, 8
-#: The average is multiplied by this before the softmax; so many neutral n-grams are part of each average.
-SCALE, NEUTRAL = 100.0, 300.0
-#: The model is fitted on this many labelled documents at most (a bounded sample: the first by a hash of the id), with so
-#: many characters together at most; a document that no longer fits is left out of the fit.
-TRAIN_ROWS, TRAIN_CHARS = 4_000, 16_000_000
-EPOCHS, BATCH, RATE, SEED = 12, 96, 2.0, 11
-#: A gradient longer than this is shortened to it.
-CLIP = 0.25
-#: With few documents the epochs are as many as it takes to make so many steps.
-LEAST_STEPS = 500
-#: Label 1 is rarer and counts so many times in the fit.
-POSITIVE = np.float32(2.0)
-#: An n-gram that fewer training documents hold keeps a vector of zeros.
-MIN_DOCS = 5
-_PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xB5297A4D, 0x68E31DA5], np.uint32)
-
-
-def subwords(text: str) -> np.ndarray:
-    """Rows of the table for every n-gram of a whole text, in lower case. No n-gram reaches over white space."""
-    a = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    gap = (a == 32) | (a - np.uint32(9) < 5) | (a == 0xA0)
-    c = np.where(gap, np.uint32(32), a)
-    inner, out = ~gap, []
-    h = c[:-1] * _PRIMES[0] + c[1:] * _PRIMES[1]
-    ok = np.ones(len(a) - 1, bool)
-    for n in range(3, max(SIZES) + 1):
-        if len(a) < n:
-            break
-        h = h[:-1] + c[n - 1 :] * _PRIMES[n - 1]
-        ok = ok[:-1] & inner[n - 2 : len(a) - 1]
-        if n in SIZES:
-            x = h[ok]
-            x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + np.uint32(n)
-            out.append((x ^ (x >> np.uint32(13))) & np.uint32(BUCKETS - 1))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
-
-
-def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of a whole text's n-grams, each once, and their scaled share of all its n-grams."""
-    g = subwords(text)
-    u, n = np.unique(g, return_counts=True)
-    return u.astype(np.int32), (n * (SCALE * trust(n) / max(1, len(g)))).astype(np.float32)
-
-
-def trust(counts: np.ndarray) -> float:
-    """How far an average over few different n-grams counts: as if NEUTRAL n-grams without meaning stood beside them.
-
-    Short texts and texts that repeat a few words have a small effective number of n-grams, the square of the sum of the
-    counts over the sum of their squares."""
-    n = counts.astype(np.float64)
-    effective = n.sum() ** 2 / (n * n).sum() if len(n) else 0.0
-    return float(effective / (effective + NEUTRAL))
-
-
-class Batch:
-    """Some documents' n-grams, counted, in the order of documents and in the order of rows."""
-
-    def __init__(self, counted: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, common: np.ndarray):
-        rows, weights, sizes = [], [], []
-        for u, w in counted:
-            keep = common[u]
-            rows.append(u[keep])
-            weights.append(w[keep])
-            sizes.append(int(keep.sum()))
-        rows, self.w = np.concatenate(rows), np.concatenate(weights)
-        self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        self.empty, self.y = np.array(sizes) == 0, labels.astype(np.float32)
-        self.rows, inverse = np.unique(rows, return_inverse=True)
-        self.at = inverse.astype(np.int32)
-        order = np.argsort(self.at, kind="stable")
-        self.order = order.astype(np.int32)
-        self.doc = np.repeat(np.arange(len(counted), dtype=np.int32), sizes)
-        self.row_starts = np.searchsorted(self.at[order], np.arange(len(self.rows)))
-
-    def means(self, vectors: np.ndarray) -> np.ndarray:
-        """The scaled average of each document's vectors; ``vectors`` has those of ``rows``."""
-        z = np.zeros((len(self.y), vectors.shape[1]), np.float32)
-        if len(self.at):
-            z[~self.empty] = np.add.reduceat(vectors[self.at] * self.w[:, None], self.starts[~self.empty], axis=0)
-        return z
-
-    def spread(self, g: np.ndarray) -> np.ndarray:
-        """For each of ``rows`` the sum of its documents' gradients."""
-        return np.add.reduceat(g[self.doc[self.order]] * self.w[self.order, None], self.row_starts, axis=0) if len(self.at) else np.zeros((0, g.shape[1]), np.float32)
-
-
-class Toxicity:
-    """A trained model: a number a n-gram and a constant."""
-
-    def __init__(self, table: np.ndarray, constant: float):
-        self.table, self.constant = table, constant
-
-    def score(self, text: str) -> float:
-        u, w = counted(text)
-        z = self.constant + float(self.table[u] @ w)
-        return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
-
-
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Toxicity:
-    """Train vectors and softmax together by gradient descent on batches of documents. With labels of one kind only, or none, every
-    score is the share of label 1 (smoothed)."""
-    y = np.array(labels, np.float32)
-    rng = np.random.default_rng(SEED)
-    if len(set(labels)) < 2:
-        share = (float(y.sum()) + 0.5) / (len(y) + 1.0) if len(y) else 0.25
-        return Toxicity(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    mixed = rng.permutation(len(texts))
-    docs = [counted(t) for t in texts]
-    in_docs = np.zeros(BUCKETS, np.int64)
-    for u, _ in docs:
-        in_docs[u] += 1
-    common = in_docs >= MIN_DOCS
-    batches = [Batch([docs[i] for i in mixed[k : k + BATCH]], y[mixed[k : k + BATCH]], common) for k in range(0, len(texts), BATCH)]
-    del docs
-    vectors = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
-    softmax, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.log(np.array([1 - y.mean(), y.mean()], np.float32))
-    epochs = max(epochs, -(-LEAST_STEPS // len(batches)))
-    step, steps = 0, epochs * len(batches)
-    for _ in range(epochs):
-        for k in rng.permutation(len(batches)):
-            b = batches[k]
-            own = vectors[b.rows]
-            z = b.means(own)
-            s = z @ softmax + bias
-            s = np.exp(s - s.max(axis=1, keepdims=True))
-            p = s / s.sum(axis=1, keepdims=True)
-            p[np.arange(len(p)), b.y.astype(int)] -= 1
-            p *= np.where(b.y > 0, POSITIVE, np.float32(1.0))[:, None] / len(p)
-            grads = [b.spread(p @ softmax.T), z.T @ p, p.sum(axis=0)]
-            step += 1
-            rate = RATE * (1 - (step - 1) / steps)
-            for x, g, at in zip((vectors, softmax, bias), grads, (b.rows, slice(None), slice(None)), strict=True):
-                x[at] -= rate * min(1.0, CLIP / (float(np.sqrt((g * g).sum())) + 1e-12)) * g
-    vectors[~common] = 0
-    return Toxicity((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
-
+from .toxicity_model import TRAIN_CHARS, TRAIN_ROWS, Toxicity, fit, subwords
 
 def crc_of_id(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
@@ -198,8 +63,16 @@ def toxicity_scores(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", te
     return scored.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def fit_apart(texts: list[str], labels: list[int]) -> Toxicity:
+    """Fit in a process of its own, so that the driver keeps none of the fit's memory."""
+    code = "from tidewire.llm.toxicity_model import serve; serve()"
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p)}
+    done = subprocess.run([sys.executable, "-c", code], input=pickle.dumps((texts, labels)), stdout=subprocess.PIPE, env=env, check=True)
+    return Toxicity(*pickle.loads(done.stdout))
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Toxicity:
-    return fit(*training_rows(docs, labels, label_col))
+    return fit_apart(*training_rows(docs, labels, label_col))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:

@@ -138,8 +138,9 @@ def p23(spark, d):
 
 def p25(spark, d):
     """Source transparency."""
-    m = members(spark, d)
-    t = present.with_transparency(evidence.enrich(m, evidence.event_confidence(m).withColumns({"title": F.lit(""), "official_source_url": F.lit(None).cast("string"), "official_source_name": F.lit(None).cast("string"), "article_ids": F.array().cast("array<string>")})))
+    m = cut(members(spark, d))
+    blank = {"title": F.lit(""), "official_source_url": F.lit(None).cast("string"), "official_source_name": F.lit(None).cast("string"), "article_ids": F.array().cast("array<string>")}
+    t = present.with_transparency(cut(evidence.enrich(m, evidence.event_confidence(m).withColumns(blank))))
     return t.select("doc_id", "badge_en", "status", "evidence_label_en", "confidence_label", "sources_display", F.size("other_sources").alias("n_other"))
 
 

@@ -88,7 +88,7 @@ def look_back(rows: DataFrame, days: float, ref_time: Column, published: str = "
         days = 0.0
     if not days > 0:
         return rows.limit(0)
-    at = F.coalesce(published, collected)
+    at = F.coalesce(published, collected).cast("timestamp")
     return rows.filter(F.unix_micros(at) >= F.unix_micros(ref_time) - F.lit(int(days * 86_400_000_000)))
 
 
@@ -111,7 +111,7 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: str) -
     """Old rows, and of new ones the first by ``order`` of each key that is not there yet."""
     fresh = new.join(old.select(*keys).distinct(), keys, "left_anti")
     first = fresh.groupBy(*keys).agg(F.min(order).alias(order))
-    return old.unionByName(fresh.join(first, [*keys, order], "left_semi"), allowMissingColumns=True)
+    return old.unionByName(fresh.join(first, [*keys, order], "left_semi").dropDuplicates(keys), allowMissingColumns=True)
 
 
 def delete_matching(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -212,7 +212,7 @@ def k2(spark, d):
 def k3(spark, d):
     """Bridge rows inserted unless there: the first stays."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
-    old = li.filter("l_linenumber = 1")
+    old = li.filter("l_linenumber = 1").dropDuplicates(["l_orderkey", "l_suppkey"])
     return store.insert_ignore(old, li.filter("l_linenumber > 1"), ["l_orderkey", "l_suppkey"], "l_linenumber").groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -287,14 +287,14 @@ def k6(spark, d):
 def stream_first(spark, d):
     """Streaming: first event of each user and type within the look-back, as files arrive."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    events = spark.readStream.schema(schema).parquet(d + "/events.parquet*").withColumn("url", F.concat(F.lit("http://h/"), F.col("user_id").cast("string"), F.lit("/"), "event_type", F.lit("?utm_source="), F.col("event_id").cast("string")))
+    events = spark.readStream.schema(schema).parquet(d + "/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("url", F.concat(F.lit("http://h/"), F.col("user_id").cast("string"), F.lit("/"), "event_type", F.lit("?utm_source="), F.col("event_id").cast("string")))
     return _drained(spark, incremental.first_by_url(events, "90 days", "ts").select("url_key", "user_id"), "append").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_days(spark, d):
     """Streaming: events a day, once the day is closed."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    events = spark.readStream.schema(schema).parquet(d + "/events.parquet*")
+    events = spark.readStream.schema(schema).parquet(d + "/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     return _drained(spark, incremental.daily_counts(events, at="ts"), "append")
 
 

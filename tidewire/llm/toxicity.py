@@ -6,13 +6,11 @@ softmax over an average is a number a n-gram, averaged, plus a constant; texts a
 
 from __future__ import annotations
 
-import os
-import pickle
-import subprocess
-import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,22 +21,31 @@ def crc_of_id(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> tuple[list[str], list[int]]:
-    """The bounded sample: labelled documents whose crc32(doc_id as text) mod 5 is not 0, the first by a hash of the id."""
-    named = labels.filter(F.col(label_col).isin(0, 1) & (crc_of_id(id_col) % 5 != 0)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("y"))
+def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
+    """spin, doc_id, y, text of labelled documents whose crc32(doc_id as text) mod 5 is not 0: the first by a hash of the
+    id, ``rows`` at most."""
+    named = labels.filter(F.col(label_col).isin(0, 1) & (crc_of_id(id_col) % 5 != 0)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
     some = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = doc_frame(docs, id_col, text_col).join(F.broadcast(some), "doc_id").withColumn("spin", F.xxhash64("doc_id"))
-    # Whole texts only; those that pass the bound on characters together are left out, the last by the hash first.
+    found = doc_frame(docs, id_col, text_col).join(F.broadcast(some), "doc_id")
+    return found.select(F.xxhash64("doc_id").alias("spin"), "doc_id", "y", "text")
+
+
+def within_bound(sample: Iterable[tuple]) -> tuple[list[str], list[int]]:
+    """Texts and labels in the order of the hash; a whole text that no longer fits TRAIN_CHARS together is left out."""
     texts, ys, held = [], [], 0
-    got = sorted(found.select("spin", "doc_id", "y", "text").toLocalIterator(), key=lambda r: (r["spin"], r["doc_id"], r["text"]))
-    for r in got:
-        if held + len(r["text"]) <= TRAIN_CHARS:
-            texts.append(r["text"])
-            ys.append(int(r["y"]))
-            held += len(r["text"])
+    for _, _, y, text in sorted(sample):
+        if held + len(text) <= TRAIN_CHARS:
+            texts.append(text)
+            ys.append(int(y))
+            held += len(text)
     return texts, ys
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> tuple[list[str], list[int]]:
+    """The bounded sample, here."""
+    return within_bound(map(tuple, training_sample(docs, labels, label_col, id_col, text_col, rows).toLocalIterator()))
+
+
 def score_of(spark: SparkSession, model: Toxicity):
     """A function of a text column that returns its score. Tables travel by broadcast: their size is fixed."""
     shared = spark.sparkContext.broadcast((model.table, model.constant))
@@ -63,16 +70,17 @@ def toxicity_scores(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", te
     return scored.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def fit_apart(texts: list[str], labels: list[int]) -> Toxicity:
-    """Fit in a process of its own, so that the driver keeps none of the fit's memory."""
-    code = "from tidewire.llm.toxicity_model import serve; serve()"
-    env = os.environ | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p)}
-    done = subprocess.run([sys.executable, "-c", code], input=pickle.dumps((texts, labels)), stdout=subprocess.PIPE, env=env, check=True)
-    return Toxicity(*pickle.loads(done.stdout))
+def fit_on(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Toxicity:
+    """Fit on the bounded sample, in one task on an executor; the driver gets the table alone, whose size is fixed."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)]
+        if rows:
+            model = fit(*within_bound(rows))
+            yield pa.record_batch([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.constant])], names=["model", "constant"])
 
-def fit_on(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Toxicity:
-    return fit_apart(*training_rows(docs, labels, label_col))
+    found = training_sample(docs, labels, label_col).repartition(1).mapInArrow(run, "model binary, constant double").collect()  # one row
+    return Toxicity(np.frombuffer(found[0]["model"], np.float32), found[0]["constant"]) if found else fit([], [])
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:

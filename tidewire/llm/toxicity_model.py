@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
-import sys
-
 import numpy as np
 
 #: Lengths of n-grams in characters, a word's edges included; rows of the table of vectors; their length.
@@ -121,7 +118,12 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Toxicity:
     for u, _ in docs:
         in_docs[u] += 1
     common = in_docs >= MIN_DOCS
-    batches = [Batch([docs[i] for i in mixed[k : k + BATCH]], y[mixed[k : k + BATCH]], common) for k in range(0, len(texts), BATCH)]
+    batches = []
+    for k in range(0, len(texts), BATCH):
+        part = mixed[k : k + BATCH]
+        batches.append(Batch([docs[i] for i in part], y[part], common))
+        for i in part:
+            docs[i] = None  # what a batch holds is not held twice
     del docs
     vectors = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.log(np.array([1 - y.mean(), y.mean()], np.float32))
@@ -144,10 +146,3 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Toxicity:
                 x[at] -= rate * min(1.0, CLIP / (float(np.sqrt((g * g).sum())) + 1e-12)) * g
     vectors[~common] = 0
     return Toxicity((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
-
-
-def serve() -> None:
-    """Fit what comes in on standard input and answer on standard output: the fit's memory goes with its process."""
-    texts, labels = pickle.load(sys.stdin.buffer)
-    model = fit(texts, labels)
-    pickle.dump((model.table, model.constant), sys.stdout.buffer)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire import rules
 from tidewire.functions.text import contains_any, matches, novelty_tokens
+from tidewire.operators.graph import cut
 
 PREPRINT = ("arxiv", "biorxiv", "medrxiv", "preprint")
 
@@ -201,15 +202,40 @@ def level_rank(level: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for p in rules.PRIORITY_LEVELS for x in (p[0], p[2])]), level)
 
 
-def past_similar(incoming: DataFrame, past: DataFrame, key: str = "article_id") -> DataFrame:
-    """Keys of incoming stories to which a past story of another address has a similar title.
-
-    Four of the title's words must be shared, so stories meet on single words; a word that a past title holds is counted
-    once a pair by the aggregation that follows."""
-    mine = incoming.select(F.col(key).alias("k"), "url", "canonical_url", novelty_tokens("title").alias("t"))
-    theirs = past.select(F.monotonically_increasing_id().alias("p"), F.col("url").alias("p_url"), F.col("canonical_url").alias("p_canonical"), novelty_tokens("title").alias("pt"))
-    a = mine.select("k", "url", "canonical_url", F.size("t").alias("n"), F.explode("t").alias("w"))
-    b = theirs.select("p", "p_url", "p_canonical", F.size("pt").alias("m"), F.explode("pt").alias("w"))
-    pairs = a.join(b, "w").filter((F.col("url") != F.col("p_url")) & (F.col("canonical_url") != F.col("p_canonical")))
-    met = pairs.groupBy("k", "p").agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n"), F.first("m").alias("m"))
-    return met.filter((F.col("common") >= 4) & (F.col("common") / F.greatest("n", "m") >= 0.75)).select(F.col("k").alias(key)).distinct()
+def _earliest(rows: DataFrame, by: str) -> DataFrame:
+    """(by, seen): of each group the rows (o, url, canonical_url) that decide for any story which is the earliest of another
+    address. These are the first of all, the first whose url and the first whose canonical address differ from its own, and
+    after each of these the first that differs from it in the other address too: five at most, however large the group."""
+    row = F.struct("o", "url", "canonical_url")
+    first = rows.groupBy(by).agg(F.min(row).alias("p"))
+    other = rows.join(first, by).groupBy(by).agg(F.min("p").alias("p"), F.min(F.when(F.col("url") != F.col("p.url"), row)).alias("a"), F.min(F.when(F.col("canonical_url") != F.col("p.canonical_url"), row)).alias("b"))
+    past_url = (F.col("url") != F.col("p.url")) & (F.col("canonical_url") != F.col("a.canonical_url"))
+    past_canonical = (F.col("canonical_url") != F.col("p.canonical_url")) & (F.col("url") != F.col("b.url"))
+    last = rows.join(other, by).groupBy(by).agg(*(F.min(c).alias(c) for c in "pab"), F.min(F.when(past_url, row)).alias("a2"), F.min(F.when(past_canonical, row)).alias("b2"))
+    return last.select(by, F.array_distinct(F.array_compact(F.array("p", "a", "b", "a2", "b2"))).alias("seen"))
+
+
+def past_similar(incoming: DataFrame, past: DataFrame, key: str = "article_id", order: str | None = None) -> DataFrame:
+    """Keys of incoming stories to which a past story of another address has a similar title. With ``order``, a column of
+    both, only past stories that come before the incoming one count.
+
+    Titles of equal words are one group. Three quarters of the longer title's words must be shared, so of similar titles
+    each has one of the other's first words, those left after three quarters of its own less one: groups meet on these
+    alone, long words first. What a group of past titles holds is told by the few stories that decide, so a title that
+    very many stories have costs its stories, not its pairs."""
+    at = lambda otherwise: (F.col(order) if order else F.lit(otherwise)).alias("o")
+    told_apart = F.col("url").isNotNull() & F.col("canonical_url").isNotNull() & (F.size("t") >= 4)
+    worded = lambda df, *more: df.select(*more, "url", "canonical_url", novelty_tokens("title").alias("t")).filter(told_apart).withColumn("s", F.array_join("t", " "))
+    mine = worded(incoming, F.col(key).alias("k"), at(1))
+    theirs = cut(worded(past, at(0)).groupBy("s", "url", "canonical_url").agg(F.min("o").alias("o")))
+    need = F.ceil(F.size("t") * F.lit(3) / F.lit(4)).cast("int")
+    ranked = F.array_sort(F.transform("t", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    keyed = lambda sets, s: sets.distinct().withColumn("t", F.split("s", " ")).select(F.col("s").alias(s), F.explode(F.slice(ranked, F.lit(1), F.size("t") - F.greatest(need, F.lit(4)) + 1)["w"]).alias("w"))
+    met = keyed(mine.select("s"), "s").join(keyed(theirs.select("s"), "ps"), "w").select("s", "ps").distinct()
+    t, pt = F.split("s", " "), F.split("ps", " ")
+    common = F.size(F.array_intersect(t, pt))
+    alike = met.filter((common >= 4) & (common / F.greatest(F.size(t), F.size(pt)) >= 0.75))
+    held = cut(_earliest(theirs, "s").select(F.col("s").alias("ps"), F.explode("seen").alias("p")))
+    told = _earliest(cut(alike.join(held, "ps").select("s", "p.*")), "s")
+    another = lambda p: (p["url"] != F.col("url")) & (p["canonical_url"] != F.col("canonical_url")) & (p["o"] < F.col("o"))
+    return mine.join(told, "s").filter(F.exists("seen", another)).select(F.col("k").alias(key)).distinct()

@@ -30,8 +30,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the first document stays."""
-    return near_dedup(docs)
+    """Of each class of near duplicates, of five-word shingles and a similarity of 0.8 or more, the first document stays."""
+    return near_dedup(docs, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,10 +28,13 @@ from .wordhash import mix, shingle_sets, slices
 WORDS, PERCENT = 5, 85
 #: MinHash bands and samples in each. At the threshold a pair shares no band with probability (1 - 0.85^6)^24 = 1.2e-5.
 BANDS, ROWS = 24, 6
+#: Bands below that threshold, of as many samples as keep the probability under MISS: 5 at 0.80 (3e-6).
+MORE_BANDS, MISS = 32, 1.2e-5
 #: Samples folded into a sketch, and its bits in words of 64.
 SAMPLES, SKETCH_WORDS = 768, 32
-#: A pair is confirmed if its estimate is at most this far below the threshold: four standard errors.
-MARGIN = 0.055
+#: A pair is confirmed if its estimate is at most this far below the threshold: four standard errors, which are wider for
+#: each percent below 85.
+MARGIN, WIDER = 0.055, 0.002
 #: Members of a bucket that meet one slice of its other members.
 SLICE = 2048
 
@@ -57,10 +60,18 @@ def minhash(shingles: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
     return low
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
+def bands_at(percent: int) -> tuple[int, int]:
+    """Bands, and samples in each, that fit a threshold."""
+    if percent >= PERCENT:
+        return BANDS, ROWS
+    fit = (r for r in range(ROWS, 1, -1) if (1 - (percent / 100) ** r) ** MORE_BANDS <= MISS)
+    return MORE_BANDS, next(fit, 1)
+
+
+def band_keys(samples: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key a band; the band's number is part of it."""
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in samples[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64).T:
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for column in samples[: bands * rows].reshape(bands, rows).astype(np.uint64).T:
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
     return key.view(np.int64)
 
@@ -72,34 +83,38 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def most_differing_bits(percent: int = PERCENT, margin: float = MARGIN) -> int:
+def most_differing_bits(percent: int = PERCENT, margin: float | None = None) -> int:
     """The XOR population count at which the estimated similarity is ``percent`` less the margin."""
+    margin = MARGIN + WIDER * max(0, PERCENT - percent) if margin is None else margin
     n, differ = SKETCH_WORDS * 64, 2 * SAMPLES * (1 - percent / 100 + margin)
     return int(np.ceil(n / 2 * (1 - np.exp(-2 * differ / n))))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    room = np.empty((_CHUNK, SAMPLES), np.uint32)
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in slices([len(t) for t in texts]):
-            n, digest, bands, sketch = [], [], [], []
-            for s in shingle_sets(texts[a:b], WORDS):
-                n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                low = minhash(s, room) if len(s) else None
-                bands.append(band_keys(low) if len(s) else [])
-                sketch.append(odd_sketch(low) if len(s) else np.zeros(SKETCH_WORDS, np.int64))
-            words = np.array(sketch, np.int64).reshape(-1, SKETCH_WORDS)
-            yield pa.record_batch(
-                [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(words[:, i]) for i in range(SKETCH_WORDS))],
-                names=["doc_id", "n_shingles", "digest", "bands", *_SKETCH],
-            )
-
-
-def signatures(rows: DataFrame) -> DataFrame:
+def _signatures(shape: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = np.empty((_CHUNK, SAMPLES), np.uint32)
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in slices([len(t) for t in texts]):
+                n, digest, bands, sketch = [], [], [], []
+                for s in shingle_sets(texts[a:b], WORDS):
+                    n.append(len(s))
+                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    low = minhash(s, room) if len(s) else None
+                    bands.append(band_keys(low, *shape) if len(s) else [])
+                    sketch.append(odd_sketch(low) if len(s) else np.zeros(SKETCH_WORDS, np.int64))
+                words = np.array(sketch, np.int64).reshape(-1, SKETCH_WORDS)
+                yield pa.record_batch(
+                    [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(words[:, i]) for i in range(SKETCH_WORDS))],
+                    names=["doc_id", "n_shingles", "digest", "bands", *_SKETCH],
+                )
+
+    return run
+
+
+def signatures(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, digest (of the whole set), bands and sketch of each whole text."""
-    return rows.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{s} long" for s in _SKETCH))
+    return rows.mapInArrow(_signatures(bands_at(percent)), "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{s} long" for s in _SKETCH))
 
 
 def _sliced_join(rows: DataFrame, key: str, table: DataFrame, rows_total: int) -> DataFrame:
@@ -173,7 +188,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark: SparkSession = docs.sparkSession
     work = Workspace(spark, "near-dedup")
     rows = doc_frame(docs, id_col, text_col)
-    sig = work.keep(signatures(rows), "signatures")
+    sig = work.keep(signatures(rows, percent), "signatures")
+    n_bands, _ = bands_at(percent)
     total = sig.count()
     full = sig.filter("n_shingles > 0")
 
@@ -187,7 +203,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     in_bands = vertices.select("doc_id", F.explode("bands").alias("bucket"))
     shared = work.keep(in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
-    members = work.keep(attach(in_bands, shared, ["bucket"], F.col("m"), BANDS * max(total, 1), "inner").select("bucket", "doc_id", "m"), "members")
+    members = work.keep(attach(in_bands, shared, ["bucket"], F.col("m"), n_bands * max(total, 1), "inner").select("bucket", "doc_id", "m"), "members")
     busy = members.groupBy("doc_id").agg(F.sum("m").alias("central"))
     sketches = work.keep(vertices.drop("bands").join(busy.hint("merge"), "doc_id"), "sketches")
     texts = work.keep(rows.join(busy.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
@@ -196,7 +212,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Each vertex meets the most central member of its buckets, by the sizes of the buckets that one is in.
     ranked = members.join(sketches.select("doc_id", "central"), "doc_id").select("bucket", "doc_id", "m", F.struct("central", (-F.col("doc_id")).alias("minus")).alias("rank"))
     heads = ranked.groupBy("bucket").agg(F.max("rank").alias("head"), F.max("m").alias("size"))
-    met = attach(members.select("bucket", "doc_id"), heads, ["bucket"], F.col("size"), BANDS * max(total, 1), "inner").groupBy("doc_id").agg(F.max("head").alias("head"))
+    met = attach(members.select("bucket", "doc_id"), heads, ["bucket"], F.col("size"), n_bands * max(total, 1), "inner").groupBy("doc_id").agg(F.max("head").alias("head"))
     star = met.select((-F.col("head.minus")).alias("u"), F.col("doc_id").alias("v")).filter("u != v")
     links = link.confirmed(star)
     labels = work.keep(components(links, work), "labels")
@@ -205,7 +221,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = members.join(labels.hint("merge"), "doc_id", "left").select("bucket", "doc_id", "m", F.coalesce("label", "doc_id").alias("label"))
     told = work.keep(told, "told")
     mixed = told.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("m").alias("size")).filter("lo != hi").select("bucket", "size")
-    open_ = work.keep(attach(told, mixed, ["bucket"], F.col("size"), BANDS * max(total, 1), "inner").select("bucket", "doc_id", "label", "size"), "open")
+    open_ = work.keep(attach(told, mixed, ["bucket"], F.col("size"), n_bands * max(total, 1), "inner").select("bucket", "doc_id", "label", "size"), "open")
     links = link.confirmed(_across(link, open_)).unionByName(labels.filter("doc_id != label").select(F.col("doc_id").alias("u"), F.col("label").alias("v")))
     labels = work.keep(components(links, work), "labels")
 

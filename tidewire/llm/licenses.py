@@ -1,7 +1,8 @@
 """Licence scans by rules over sentences: known sentences become identifiers, and sequences of identifiers make licences.
 
-A document is cut into sentences; those with a marker word are normalised (lower case, letters and digits, single spaces)
-and looked up. The identifiers found, in order, are one string; rules, longest first, are sequences looked for in it. What
+A document with a marker word is normalised (lower case, letters and digits, single spaces) and known sentences are looked
+for between the places where sentences end: punctuation, blank lines and line ends. A sentence may also run over line ends
+and the comment signs that lead lines, so wrapped notices are known as well as notices of one line. The identifiers found, in order, are one string; rules, longest first, are sequences looked for in it. What
 a rule has matched does not count for another. No row leaves its partition, and no Python runs.
 """
 
@@ -53,6 +54,7 @@ RULES: list[tuple[str, tuple[int, ...]]] = [
     ("MIT", (1,)),
     ("MIT", (2,)),
     ("Apache-2.0", (3,)),
+    ("Apache-2.0", (4,)),
     ("GPL-3.0", (8,)),
     ("GPL-2.0", (9,)),
     ("GPL-3.0-or-later", (21,)),
@@ -71,6 +73,9 @@ RULES: list[tuple[str, tuple[int, ...]]] = [
 #: Every known sentence has one of these words, and sentences end at these places.
 MARKERS = "licen[sc]e|copyright|permission|permitted|redistribut|rights reserved|free software|unencumbered|applicable law"
 BREAK = r"[.!?:;]+[ \t\r]+|[\r\n]+"
+#: Comment signs that lead a line, and what ends every sentence: punctuation before a space or line end, and blank lines.
+SIGNS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+!?|#+|--+|;+|%+|<!--)[ \t]*"
+ENDS = r"[.!?:;]+(?=\s)|(?:[ \t]*(?:\r\n|\r|\n)){2,}"
 
 
 def normalised(sentence: str) -> str:
@@ -98,9 +103,14 @@ def ordered_rules(rules: list[tuple[str, tuple[int, ...]]] = RULES) -> list[tupl
 def identifiers(text: Column, table: dict[str, int]) -> Column:
     """The known sentences of a text, in order, as one string of ``<id>``."""
     lookup = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(f"<{v}>"))])
-    marked = F.filter(F.split(text, BREAK), lambda s: F.lower(s).rlike(MARKERS))
-    clean = F.transform(marked, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.array_join(F.filter(F.transform(clean, lambda s: F.try_element_at(lookup, s)), lambda x: x.isNotNull()), "")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[|~]+", " "), SIGNS, "")
+    # "|" ends a sentence; "~" is a line end, which may end one or lie within it.
+    lines = F.regexp_replace(F.regexp_replace(plain, ENDS, " | "), r"[\r\n]+", " ~ ")
+    clean = F.concat(F.lit("| "), F.trim(F.regexp_replace(lines, "[^a-z0-9|~]+", " ")), F.lit(" |"))
+    known = "|".join(k.replace(" ", "(?: ~)? ") for k in sorted(table, key=len, reverse=True))
+    hits = F.regexp_extract_all(clean, F.lit(f"(?<=[|~] )(?:{known})(?= [|~])"), F.lit(0))
+    ids = F.array_join(F.transform(hits, lambda s: F.try_element_at(lookup, F.replace(s, F.lit(" ~"), F.lit("")))), "")
+    return F.when(F.lower(text).rlike(MARKERS.replace(" ", "[^a-z0-9]+")), ids).otherwise(F.lit(""))
 
 
 def scan_licenses(

@@ -55,6 +55,81 @@ def test_token_files_round_trip(spark, encoder):
     assert tf.read_token_digest(spark, empty).count() == 0
 
 
+@pytest.fixture(scope="module")
+def fresh():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(BPE)
+
+
+def fresh_ids(fresh, text):
+    return np.array(fresh.encode(text or "", add_special_tokens=False).ids, "<u2").tobytes()
+
+
+SPECIAL = ["<|endoftext|> a", "a <|endoftext|>", "x<|endoftext|>y z", "<|endof text|>", "No special, here."]
+
+
+def test_ids_are_those_of_a_fresh_tokenizer(encoder, fresh):
+    own = [t or "" for t in TEXTS] + SPECIAL
+    assert encoder.encode(own) == [fresh_ids(fresh, t) for t in own]
+    assert np.frombuffer(encoder.encode(SPECIAL[:1])[0], "<u2")[0] == 50256
+    text = tf.WordEncoder(BPE, special_as_text=True)
+    assert 50256 not in np.frombuffer(text.encode(SPECIAL[:1])[0], "<u2")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abZ.,'!\n é×÷ʰßжҁ҂日1_-<|>\u1e9e") | st.characters(codec="utf-8"), max_size=60), max_size=4))
+def test_many_texts_give_a_fresh_tokenizers_ids(encoder, fresh, texts):
+    assert encoder.encode(texts) == [fresh_ids(fresh, t) for t in texts]
+
+
+def test_memory_of_parts_is_bounded(encoder, fresh, monkeypatch):
+    monkeypatch.setattr(tf, "REMEMBERED", 20)
+    own = tf.WordEncoder(BPE)
+    for k in range(30):
+        texts = [f"word{'abcdefgh'[k % 8]}x common {'qrstuvwxyz'[k % 10] * j}, again.\nline" for j in range(1, 9)]
+        assert own.encode(texts) == [fresh_ids(fresh, t) for t in texts]
+        assert len(own.parts) <= 40
+
+
+def test_letters_are_letters():
+    import re
+    import unicodedata
+
+    kind = re.compile("[" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), tf.LETTERS) + "]")
+    assert all(unicodedata.category(chr(c)).startswith("L") for c in range(0x600) if kind.match(chr(c)))
+
+
+def test_token_files_of_odd_ids(spark, fresh):
+    rows = [(5, "b"), (None, "n"), (5, "a"), (5, "b"), (2, "x <|endoftext|>"), (None, None)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_tokens int")
+    out = new_folder(spark, "tok")
+    tf.write_token_files(docs, BPE, out, seq_len=4, wide=True)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tf.read_token_digest(spark, out).collect())
+    at, want = 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = np.concatenate([np.frombuffer(fresh_ids(fresh, t), "<u2"), [2]]).astype("<u4")
+        want.append((at, i, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == want
+
+
+def test_shards_say_how_large_their_batches_are(tmp_path, monkeypatch):
+    monkeypatch.setattr(tf, "BATCH_SEQS", 3)
+    fs, root = tf.file_system(f"file://{tmp_path}")
+    w = tf.ShardWriter(fs, f"{root}/s", 4, "<u4")
+    ids = np.arange(4 * 3 * 5 + 6, dtype="<u4")
+    for k in range(0, len(ids), 7):
+        w.add(k, ids[k : k + 7].tobytes())
+    w.close()
+    monkeypatch.setattr(tf, "BATCH_SEQS", 100)
+    s = tf.TokenShard(f"file://{tmp_path}/s")
+    assert len(s) == 17 and s.batch_seqs == 3 and s.ids(0, len(ids)).tolist() == ids.tolist()
+    assert [s.sequence(k)[0].tolist() for k in (16, 0, 7)] == [[64, 65, 0, 0], [0, 1, 2, 3], [28, 29, 30, 31]]
+    with pytest.raises(IndexError):
+        s.sequence(17)
+
+
 def test_sequences_are_views_of_equal_length(tmp_path):
     fs, root = tf.file_system(f"file://{tmp_path}")
     w = tf.ShardWriter(fs, f"{root}/s", 8, "<u2")

@@ -273,6 +273,53 @@ def test_main_text():
     assert [html_text.main_text(x) for x in (None, "", "<nav>a</nav>", "<p", "plain")] == ["", "", "", "", "plain"]
 
 
+PROSE = "<h1>Title of it</h1><p>" + "A long sentence of real prose that goes on. " * 4 + "</p><p>Short.</p><p>" + "Another long one, of many words again and more. " * 4 + "</p>"
+PROSE_TEXT = "\n".join(["Title of it", ("A long sentence of real prose that goes on. " * 4).strip(), "Short.", ("Another long one, of many words again and more. " * 4).strip()])
+MENU = "<nav><a href=/>Home</a> <a href=/b>More</a></nav>"
+
+
+@pytest.mark.parametrize("tag", ["div", "article", "section"])
+@pytest.mark.parametrize("names", ["content with-sidebar", "post has-sidebar", "article comment-enabled", "entry share-buttons-on", "widget-area main-content", "nav-page", "page-sidebar", "sidebar"])
+def test_names_of_wrappers_lose_nothing(tag, names):
+    page = f"<html><body>{MENU}<{tag} class='{names}'>{PROSE}</{tag}><footer>&copy; me and all the others</footer></body></html>"
+    assert html_text.main_text(page) == PROSE_TEXT
+
+
+def test_articles_marks_and_broken_markup():
+    text = html_text.main_text
+    assert text(f"<article id='post-related-1'>{PROSE}</article>") == PROSE_TEXT
+    assert text(f"<body>{MENU}<article>{PROSE}</article><article>{PROSE}</article></body>") == PROSE_TEXT + "\n" + PROSE_TEXT
+    assert text("<article><p>Some <button>x</button> more <span hidden>gone</span><span class='ad'>buy</span> words.</p></article>") == "Some more words."
+    assert text(f"<article>{PROSE}<![foo bar]><p>After it.</p></article><p class=") == PROSE_TEXT + "\nAfter it."
+    assert text(f"<article>{PROSE}</article><!-- never ended") == PROSE_TEXT and text("a < b &amp c &lt; d") == "a < b & c < d"
+    assert text(f"<form id=f><div class=sidebar><ul><li>x</li></ul></div><article>{PROSE}</article></form>") == PROSE_TEXT
+    assert text(f"<div><ul><li><a>A1</a></li><li><a>A2</a></li><li><a>A3</a></li></ul>{PROSE}</div>") == PROSE_TEXT
+    reader = f"<p>{'words of a reader. ' * 60}</p>"
+    for comments in (f"<div id=comments>{reader}</div>", f"<div id=comments><article class=comment>{reader}</article></div>", f"<article class='comment-body'>{reader}</article>", f"<form>{reader}</form>", f"<div role=complementary>{reader[:200]}</div>"):
+        assert text(f"<article>{PROSE}</article>{comments}") == PROSE_TEXT
+        assert text(f"<div>{PROSE}{comments}</div>") == PROSE_TEXT
+
+
+def test_deep_and_long_pages():
+    deep = "<div><p>" * 30_000 + "words in the deep " * 5 + "</i></q>" * 30_000
+    assert html_text.main_text(deep) == ("words in the deep " * 5).strip()
+    assert len(html_text.main_text("<p>one line of many words in it.</p>" * 20_000).split("\n")) == 20_000
+
+
+def test_pages_match_the_sql(spark):
+    """On the pages of the tables, which have one plain article each, regular expressions find the same."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    if not __import__("os").path.exists(f"{folder}/pages.parquet"):
+        pytest.skip("tables are not there")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(html_text.OP8_SQL).fetchall()}
+    got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in html_text.op8_html_text(spark, folder).collect()}
+    assert got == want and len(got) > 100
+
+
 def test_extract_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (2, None, None, "t"), (None, "v", "<p>" + "long text " * 20_000, "t")], "page_id long, url string, html string, text string")
     rows = html_text.extract_pages(pages).collect()

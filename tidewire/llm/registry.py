@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.OP2_SQL, "op4_license_scan": licenses.OP4_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
+    return {"op2_chat_format": chat.OP2_SQL, "op4_license_scan": licenses.OP4_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL, "op8_html_text": html_text.OP8_SQL}

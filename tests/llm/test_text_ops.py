@@ -353,3 +353,69 @@ def test_toxicity_learns_what_it_has_not_seen(spark):
     assert toxicity.fit([], []).score("x") < 0.5 and toxicity.fit(["a"], [1]).score("b") > 0.5
     texts, ys = toxicity.training_rows(docs, labels, rows=50)
     assert len(texts) == len(ys) == 50
+
+
+def plain_toxicity(texts, labels):
+    """The fit by dense matrices, one loop a definition."""
+    from tidewire.llm import toxicity_model as tm
+
+    y, rng = np.array(labels), np.random.default_rng(tm.SEED)
+    mixed = rng.permutation(len(texts))
+    grams = [tm.subwords(t) for t in texts]
+    used = sorted({int(g) for own in grams for g in own})
+    column = {g: k for k, g in enumerate(used)}
+    x = np.zeros((len(texts), len(used)))
+    for i, own in enumerate(grams):
+        for g in own:
+            x[i, column[int(g)]] += 1
+    holders = (x > 0).sum(axis=0)
+    size, squares = x.sum(axis=1), (x * x).sum(axis=1)
+    effective = np.divide(size**2, squares, out=np.zeros(len(texts)), where=squares > 0)
+    x = x / np.maximum(size, 1)[:, None] * (tm.SCALE * effective / (effective + tm.NEUTRAL))[:, None]
+    x[:, holders < min(tm.MIN_DOCS, -(-len(texts) // 100))] = 0
+    v = rng.normal(0, 0.05, (tm.BUCKETS, tm.DIM))[used]
+    w, b = rng.normal(0, 0.5, (tm.DIM, 2)), np.log([1 - y.mean(), y.mean()])
+    parts = [mixed[k : k + tm.BATCH] for k in range(0, len(texts), tm.BATCH)]
+    epochs = max(tm.EPOCHS, -(-tm.LEAST_STEPS // len(parts)))
+    step = 0
+    for _ in range(epochs):
+        for k in rng.permutation(len(parts)):
+            own = parts[k]
+            z = x[own] @ v
+            e = np.exp(z @ w + b)
+            p = e / e.sum(axis=1, keepdims=True)
+            p[np.arange(len(own)), y[own]] -= 1
+            p *= np.where(y[own] > 0, tm.POSITIVE, 1.0)[:, None] / len(own)
+            rate = tm.RATE * (1 - step / (epochs * len(parts)))
+            step += 1
+            moves = [x[own].T @ (p @ w.T), z.T @ p, p.sum(axis=0)]
+            for value, g in zip((v, w, b), moves, strict=True):
+                value -= rate * min(1.0, tm.CLIP / (np.sqrt((g * g).sum()) + 1e-12)) * g
+    return lambda i: 1 / (1 + np.exp(-(x[i] @ v @ (w[:, 1] - w[:, 0]) + b[1] - b[0])))
+
+
+def test_the_fit_matches_dense_matrices():
+    rows = list(toxic_rows(150))
+    texts, labels = [t for _, t, _ in rows], [y for _, _, y in rows]
+    model, plain = toxicity.fit(texts, labels), plain_toxicity(texts, labels)
+    assert max(abs(model.score(t) - plain(i)) for i, t in enumerate(texts)) < 0.01
+    assert np.mean([(model.score(t) >= 0.5) == bool(y) for t, y in zip(texts, labels, strict=True)]) > 0.9
+
+
+def test_toxicity_of_few_long_and_repeated_texts(spark):
+    rows = list(toxic_rows(60))
+    few = toxicity.fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    assert len({round(few.score(t), 6) for _, t, _ in rows}) > 30  # few labels are still no constant
+    long = rows[0][1] + " " + "ba " * 400_000
+    df = spark.createDataFrame([(1, long), (2, rows[0][1]), (2, rows[0][1]), (None, None)], "doc_id long, text string")
+    got = [r["score"] for r in toxicity.toxicity_scores(df, few).orderBy("doc_id").collect()]
+    assert got[2] == got[3] == few.score(rows[0][1]) and got[1] == few.score(long) and got[0] == few.score("")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 7), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.drop_toxic(df, labels).columns == df.columns
+    assert toxicity.drop_toxic(df, labels.limit(0)).count() == 4 and toxicity.drop_toxic(df.limit(0), labels).count() == 0
+
+
+def test_the_sample_ends_at_its_bound():
+    sample = [(0, 1, 1, "a" * 10), (1, 2, 0, "b" * 30), (2, 3, 0, "c")]
+    assert toxicity.within_bound(iter(sample), 45) == (["a" * 10, "b" * 30, "c"], [1, 0, 0])
+    assert toxicity.within_bound(iter(sample), 39) == (["a" * 10], [1])

@@ -30,20 +30,23 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
     return found.select(F.xxhash64("doc_id").alias("spin"), "doc_id", "y", "text")
 
 
-def within_bound(sample: Iterable[tuple]) -> tuple[list[str], list[int]]:
-    """Texts and labels in the order of the hash; a whole text that no longer fits TRAIN_CHARS together is left out."""
+def within_bound(sample: Iterable[tuple], chars: int = TRAIN_CHARS) -> tuple[list[str], list[int]]:
+    """Texts and labels of rows in the order of the hash, as long as they have ``chars`` characters together at most. What
+    comes after that is not held."""
     texts, ys, held = [], [], 0
-    for _, _, y, text in sorted(sample):
-        if held + len(text) <= TRAIN_CHARS:
-            texts.append(text)
-            ys.append(int(y))
-            held += len(text)
+    for _, _, y, text in sample:
+        held += len(text)
+        if held > chars:
+            break
+        texts.append(text)
+        ys.append(int(y))
     return texts, ys
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> tuple[list[str], list[int]]:
     """The bounded sample, here."""
-    return within_bound(map(tuple, training_sample(docs, labels, label_col, id_col, text_col, rows).toLocalIterator()))
+    sample = training_sample(docs, labels, label_col, id_col, text_col, rows)
+    return within_bound(map(tuple, sample.repartition(1).sortWithinPartitions("spin", "doc_id", "text").toLocalIterator()))
 
 
 def score_of(spark: SparkSession, model: Toxicity):
@@ -71,20 +74,30 @@ def toxicity_scores(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", te
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Toxicity:
-    """Fit on the bounded sample, in one task on an executor; the driver gets the table alone, whose size is fixed."""
+    """Fit on the bounded sample, in one task on an executor; the driver gets the table alone, whose size is fixed.
+
+    The sample reaches the task in the order of the hash, and no more than TRAIN_CHARS of it is held. Labels other than 0
+    and 1 and null ones are not used; of repeated labels of one id the larger counts, and repeated documents of one id are
+    all used. Null texts count as empty. Without labels every score is a constant below 0.5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)]
-        if rows:
-            model = fit(*within_bound(rows))
+        rows = (r for b in batches for k in range(0, b.num_rows, 100) for r in zip(*(c.to_pylist() for c in b.slice(k, 100).columns), strict=True))
+        texts, ys = within_bound(rows)
+        for _ in rows:
+            pass  # the rest is read, as Spark expects, and forgotten
+        if texts:
+            model = fit(texts, ys)
             yield pa.record_batch([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.constant])], names=["model", "constant"])
 
-    found = training_sample(docs, labels, label_col).repartition(1).mapInArrow(run, "model binary, constant double").collect()  # one row
+    sample = training_sample(docs, labels, label_col).repartition(1).sortWithinPartitions("spin", "doc_id", "text")
+    found = sample.mapInArrow(run, "model binary, constant double").collect()  # one row
     return Toxicity(np.frombuffer(found[0]["model"], np.float32), found[0]["constant"]) if found else fit([], [])
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows predicted toxic; all columns stay. Each row is decided where it is read."""
+    """``docs`` without the rows predicted toxic; all columns stay. Each row is decided where it is read, by its whole text
+    alone: null texts count as empty, rows without an id are decided like others, repeated rows go or stay together, and an
+    empty table stays empty. Labels are looked up by ``doc_id``; with none, nothing goes."""
     return docs.filter(score_of(docs.sparkSession, fit_on(docs, labels))(F.col(text_col)) < 0.5)
 
 
@@ -94,4 +107,4 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, fit_on(docs, labels))
 
 
-__all__ = ["Toxicity", "drop_toxic", "fit", "fit_on", "op9_toxicity", "subwords", "toxicity_scores", "training_rows"]
+__all__ = ["Toxicity", "drop_toxic", "fit", "fit_on", "op9_toxicity", "subwords", "toxicity_scores", "training_rows", "within_bound"]

@@ -9,8 +9,8 @@ SIZES, BUCKETS, DIM = (4, 5, 6, 7), 1 << 20, 8
 #: The average is multiplied by this before the softmax; so many neutral n-grams are part of each average.
 SCALE, NEUTRAL = 100.0, 300.0
 #: The model is fitted on this many labelled documents at most (a bounded sample: the first by a hash of the id), with so
-#: many characters together at most; a document that no longer fits is left out of the fit.
-TRAIN_ROWS, TRAIN_CHARS = 3_000, 10_000_000
+#: many characters together at most: the sample ends before the document that would pass it, whatever comes later.
+TRAIN_ROWS, TRAIN_CHARS = 6_000, 24_000_000
 EPOCHS, BATCH, RATE, SEED = 12, 96, 2.0, 11
 #: A gradient longer than this is shortened to it.
 CLIP = 0.25
@@ -18,7 +18,8 @@ CLIP = 0.25
 LEAST_STEPS = 500
 #: Label 1 is rarer and counts so many times in the fit.
 POSITIVE = np.float32(2.0)
-#: An n-gram that fewer training documents hold keeps a vector of zeros.
+#: An n-gram that fewer training documents hold keeps a vector of zeros; of fewer than 100 times as many documents, one
+#: that fewer than a hundredth of them hold.
 MIN_DOCS = 5
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xB5297A4D, 0x68E31DA5], np.uint32)
 
@@ -43,11 +44,17 @@ def subwords(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of a whole text's n-grams, each once, and their scaled share of all its n-grams."""
+def tallied(text: str) -> tuple[np.ndarray, np.ndarray, np.float32]:
+    """The rows of a whole text's n-grams, each once, how often it has each, and what one of them weighs."""
     g = subwords(text)
     u, n = np.unique(g, return_counts=True)
-    return u.astype(np.int32), (n * (SCALE * trust(n) / max(1, len(g)))).astype(np.float32)
+    return u.astype(np.int32), n.astype(np.int32), np.float32(SCALE * trust(n) / max(1, len(g)))
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a whole text's n-grams, each once, and their scaled share of all its n-grams."""
+    u, n, one = tallied(text)
+    return u, n * one
 
 
 def trust(counts: np.ndarray) -> float:
@@ -61,35 +68,37 @@ def trust(counts: np.ndarray) -> float:
 
 
 class Batch:
-    """Some documents' n-grams, counted, in the order of documents and in the order of rows."""
+    """Some documents' n-grams, in the order of documents and in the order of rows. Ten bytes an n-gram and document."""
 
-    def __init__(self, counted: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, common: np.ndarray):
-        rows, weights, sizes = [], [], []
-        for u, w in counted:
+    def __init__(self, texts: list[str], labels: np.ndarray, common: np.ndarray):
+        found, sizes, one = [], [], []
+        for t in texts:
+            u, n, w = tallied(t)
             keep = common[u]
-            rows.append(u[keep])
-            weights.append(w[keep])
-            sizes.append(int(keep.sum()))
-        rows, self.w = np.concatenate(rows), np.concatenate(weights)
-        self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        self.empty, self.y = np.array(sizes) == 0, labels.astype(np.float32)
+            found.append((u[keep], n[keep]))
+            sizes.append(len(found[-1][0]))
+            one.append(w)
+        rows, n = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        small = np.uint16 if n.max(initial=0) < 1 << 16 else np.int32
+        self.n, self.one, self.y = n.astype(small), np.array(one, np.float32), labels.astype(np.float32)
+        self.starts, self.empty = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), np.array(sizes) == 0
         self.rows, inverse = np.unique(rows, return_inverse=True)
         self.at = inverse.astype(np.int32)
         order = np.argsort(self.at, kind="stable")
-        self.order = order.astype(np.int32)
-        self.doc = np.repeat(np.arange(len(counted), dtype=np.int16), sizes)
+        self.doc, self.n_by_row = np.repeat(np.arange(len(texts), dtype=np.int16), sizes)[order], self.n[order]
         self.row_starts = np.searchsorted(self.at[order], np.arange(len(self.rows)))
 
     def means(self, vectors: np.ndarray) -> np.ndarray:
         """The scaled average of each document's vectors; ``vectors`` has those of ``rows``."""
         z = np.zeros((len(self.y), vectors.shape[1]), np.float32)
         if len(self.at):
-            z[~self.empty] = np.add.reduceat(vectors[self.at] * self.w[:, None], self.starts[~self.empty], axis=0)
-        return z
+            z[~self.empty] = np.add.reduceat(vectors[self.at] * self.n[:, None].astype(np.float32), self.starts[~self.empty], axis=0)
+        return z * self.one[:, None]
 
     def spread(self, g: np.ndarray) -> np.ndarray:
         """For each of ``rows`` the sum of its documents' gradients."""
-        return np.add.reduceat(g[self.doc[self.order]] * self.w[self.order, None], self.row_starts, axis=0) if len(self.at) else np.zeros((0, g.shape[1]), np.float32)
+        g = g * self.one[:, None]
+        return np.add.reduceat(g[self.doc] * self.n_by_row[:, None].astype(np.float32), self.row_starts, axis=0) if len(self.at) else np.zeros((0, g.shape[1]), np.float32)
 
 
 class Toxicity:
@@ -113,18 +122,12 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Toxicity:
         share = (float(y.sum()) + 0.5) / (len(y) + 1.0) if len(y) else 0.25
         return Toxicity(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     mixed = rng.permutation(len(texts))
-    docs = [counted(t) for t in texts]
-    in_docs = np.zeros(BUCKETS, np.int64)
-    for u, _ in docs:
-        in_docs[u] += 1
-    common = in_docs >= MIN_DOCS
-    batches = []
-    for k in range(0, len(texts), BATCH):
-        part = mixed[k : k + BATCH]
-        batches.append(Batch([docs[i] for i in part], y[part], common))
-        for i in part:
-            docs[i] = None  # what a batch holds is not held twice
-    del docs
+    in_docs = np.zeros(BUCKETS, np.int32)
+    for t in texts:
+        in_docs[np.unique(subwords(t))] += 1
+    common = in_docs >= min(MIN_DOCS, -(-len(texts) // 100))
+    del in_docs
+    batches = [Batch([texts[i] for i in part], y[part], common) for part in (mixed[k : k + BATCH] for k in range(0, len(texts), BATCH))]
     vectors = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.log(np.array([1 - y.mean(), y.mean()], np.float32))
     epochs = max(epochs, -(-LEAST_STEPS // len(batches)))

@@ -130,3 +130,96 @@ def test_components(spark):
     got = {r["doc_id"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long"), Workspace(spark, "t")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[300] == 100 and got[500] == 400 and got[1050] == 1000
     assert components(spark.createDataFrame([], "u long, v long"), Workspace(spark, "t")).count() == 0
+
+
+def test_components_of_a_star_with_a_hot_hub(spark):
+    """A hub of 100,000 edges and a chain over some of its ends; the hub's edges are joined by broadcast, not in one task."""
+    n = 100_000
+    star = spark.range(1, n + 1).select(F.lit(7_000_000).alias("u"), (F.col("id") * 3).alias("v"))
+    chain = spark.range(0, 200).select((F.col("id") + 8_000_000).alias("u"), (F.col("id") + 8_000_001).alias("v"))
+    edges = star.unionByName(chain).unionByName(spark.createDataFrame([(3, 8_000_000), (9_000_000, 9_000_001), (5, 5), (None, 3), (3, 8_000_000)], "u long, v long"))
+    found = components(edges, Workspace(spark, "star"))
+    assert found.groupBy("label").count().orderBy("label").collect() == [(3, n + 1 + 201), (9_000_000, 2)]
+    assert found.count() == found.select("doc_id").distinct().count()
+
+
+def template_rows(n, keep, seed=3):
+    """Texts that share most of their words, in one order, and are not near duplicates of one another; a few copies."""
+    rng = random.Random(seed)
+    frame_ = [f"t{k}" for k in range(200)]
+    rows = []
+    for i in range(n):
+        own = [w if (k // 10) % 10 < keep else f"o{i}x{k}" for k, w in enumerate(frame_)]
+        rows.append((i, " ".join(own)))
+    for i in range(n, n + n // 10):
+        t = rows[rng.randrange(n)][1].split()
+        t[rng.randrange(len(t))] = f"c{i}"
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+def plain_links(rows, percent):
+    """Classes by sets of fingerprints, all pairs."""
+    sets = shingle_sets([t for _, t in rows])
+    label = {i: i for i, _ in rows}
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((top(rows[a][0]), top(rows[b][0])))
+                label[y] = x
+    return {i: top(i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("slice_", [16, 2048])
+def test_large_buckets_of_texts_that_are_near_but_not_linked(spark, monkeypatch, slice_):
+    monkeypatch.setattr(nd, "SLICE", slice_)
+    rows = template_rows(250, 8)
+    got = {r["doc_id"]: r["component_id"] for r in nd.near_groups(frame(spark, rows)).collect()}
+    want = plain_links(rows, 85)
+    assert got == want and len(set(want.values())) == 250
+
+
+def test_slices_share_the_comparisons_of_a_bucket(spark, monkeypatch):
+    """Every member outside the largest class meets every other once, in tasks of bounded work."""
+    monkeypatch.setattr(nd, "SLICE", 8)
+    class Counting:
+        percent, work = 85, Workspace(spark, "counting")
+
+        def sketched(self, prefix):
+            ids = spark.range(100).withColumnRenamed("id", "doc_id").withColumn(f"{prefix}n", F.lit(100))
+            return ids.select("*", *(F.lit(0).cast("long").alias(f"{prefix}{c}") for c in nd._SKETCH))
+
+        def screen(self, a, b):
+            return F.lit(True)
+
+    members = spark.createDataFrame([(1, i, 100 if i < 90 else 1000, 9, 0 if i < 30 else i) for i in range(100)], "bucket long, doc_id long, n long, m long, label long").withColumn("size", F.lit(100))
+    pairs = {tuple(r) for r in nd._across(Counting(), members).collect()}
+    # 30 of one class and 60 alone of one size; 10 alone of a size that none of those can be linked with.
+    assert pairs == {(u, v) for u in range(90) for v in range(max(u + 1, 30), 90)} | {(u, v) for u in range(90, 100) for v in range(u + 1, 100)}
+
+
+def test_no_link_at_the_threshold_is_missed_by_bands_or_sketches():
+    """Of 4,000 pairs at the threshold none is lost; a sample agrees as often as the similarity says."""
+    rng, lost, agree = np.random.default_rng(8), 0, []
+    for k in range(4000):
+        n = (40, 100, 300)[k % 3]
+        both = -(-85 * 2 * n // 185)  # the least intersection of two sets of n that are linked
+        pool = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+        a, b = nd.minhash(pool[:n]), nd.minhash(pool[n - both : 2 * n - both])
+        x = (nd.odd_sketch(a) ^ nd.odd_sketch(b)).view(np.uint64)
+        near = sum(int(v).bit_count() for v in x) <= nd.most_differing_bits()
+        lost += not (near and (nd.band_keys(a) == nd.band_keys(b)).any())
+        agree.append((a == b).mean() - both / (2 * n - both))
+    assert lost <= 2 and abs(np.mean(agree)) < 0.003  # expected: 0.2 of 4,000
+
+
+def test_rows_that_repeat_an_id(spark):
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in nd.near_groups(frame(spark, [(4, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f"), (9, "q r s t u v")])).collect())
+    assert got == [(2, 2, True), (4, 2, False), (4, 2, False), (9, 9, True)]

@@ -73,14 +73,14 @@ def exact_groups(
 
     same = checked.filter("same").withColumn("keep_id", F.col("win"))
     if checked.filter("not same").isEmpty():
-        return alone.unionByName(flagged(same.withColumn("group_size", F.col("n"))))
+        return work.only(alone.unionByName(flagged(same.withColumn("group_size", F.col("n")))), "result")
     # Collisions, and groups in which no row has an id.
     other = checked.filter("not same")
     left_out = other.groupBy("h").agg(F.count(F.lit(1)).alias("out"))
     same = attach(same, left_out, ["h"], F.col("out"), total).withColumn("group_size", F.col("n") - F.coalesce("out", F.lit(0)))
     exact = other.groupBy("h", "text").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     apart = attach(other.select("doc_id", "h", "text", "text_sha256"), exact, ["h", "text"], F.col("group_size"), total)
-    return alone.unionByName(flagged(same)).unionByName(flagged(apart))
+    return work.only(alone.unionByName(flagged(same)).unionByName(flagged(apart)), "result")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:

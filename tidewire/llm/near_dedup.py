@@ -13,6 +13,7 @@ pass the screen are written down.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ SAMPLES, SKETCH_WORDS = 768, 32
 #: A pair is confirmed if its estimate is at most this far below the threshold: four standard errors, which are wider for
 #: each percent below 85.
 MARGIN, WIDER = 0.055, 0.002
-#: Members of a bucket that meet one slice of its other members.
+#: Members of a bucket on either side of one task's comparisons, at most on average.
 SLICE = 2048
 
 _RNG = np.random.default_rng(77_001)
@@ -201,9 +202,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         named.filter("doc_id = rep").select("doc_id", F.col("n_shingles").alias("n"), "bands", *_SKETCH).dropDuplicates(["doc_id"]), "vertices"
     )
 
-    in_bands = vertices.select("doc_id", F.explode("bands").alias("bucket"))
+    in_bands = vertices.select("doc_id", "n", F.explode("bands").alias("bucket"))
     shared = work.keep(in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
-    members = work.keep(attach(in_bands, shared, ["bucket"], F.col("m"), n_bands * max(total, 1), "inner").select("bucket", "doc_id", "m"), "members")
+    members = work.keep(attach(in_bands, shared, ["bucket"], F.col("m"), n_bands * max(total, 1), "inner").select("bucket", "doc_id", "n", "m"), "members")
     busy = members.groupBy("doc_id").agg(F.sum("m").alias("central"))
     sketches = work.keep(vertices.drop("bands").join(busy.hint("merge"), "doc_id"), "sketches")
     texts = work.keep(rows.join(busy.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
@@ -218,10 +219,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = work.keep(components(links, work), "labels")
 
     # Buckets that hold more than one class: members of different classes meet.
-    told = members.join(labels.hint("merge"), "doc_id", "left").select("bucket", "doc_id", "m", F.coalesce("label", "doc_id").alias("label"))
+    told = members.join(labels.hint("merge"), "doc_id", "left").select("bucket", "doc_id", "n", "m", F.coalesce("label", "doc_id").alias("label"))
     told = work.keep(told, "told")
     mixed = told.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("m").alias("size")).filter("lo != hi").select("bucket", "size")
-    open_ = work.keep(attach(told, mixed, ["bucket"], F.col("size"), n_bands * max(total, 1), "inner").select("bucket", "doc_id", "label", "size"), "open")
+    open_ = work.keep(attach(told, mixed, ["bucket"], F.col("size"), n_bands * max(total, 1), "inner").select("bucket", "doc_id", "n", "label", "size"), "open")
     links = link.confirmed(_across(link, open_)).unionByName(labels.filter("doc_id != label").select(F.col("doc_id").alias("u"), F.col("label").alias("v")))
     labels = work.keep(components(links, work), "labels")
 
@@ -230,25 +231,43 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = attach(of, sized, ["rep"], F.col("c"), total).select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     empty = sig.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     kept = F.when(F.col("component_id").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-    return found.unionByName(empty).withColumn("kept", kept)
+    return work.only(found.unionByName(empty).withColumn("kept", kept), "result")
+
+
+def size_cell(n: Column | str, percent: int) -> Column:
+    """Sets whose sizes leave the threshold within reach of each other are in the same cell or in neighbouring ones."""
+    width = max(math.log(100 / percent) * (1 + 1e-9), 1e-9)
+    return F.floor(F.log(n) / F.lit(width))
 
 
 def _across(link: _Linker, members: DataFrame) -> DataFrame:
     """Pairs of members of one bucket in different classes whose sketches pass the screen.
 
-    In each bucket all members outside its largest class meet all members; so a bucket costs its size times the number
-    of rows outside that class, not its square. Large buckets are cut into slices that meet in tasks of their own.
+    In each bucket the members outside its largest class meet all members, those whose sizes are in the same cell or the
+    next. So a bucket costs its size times the number of rows outside that class in comparisons, over the cells; both sides
+    of a large cell are cut into slices, and each pair of slices is a task's work of about SLICE x SLICE comparisons.
     """
+    total = max(members.count(), 1)
     sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
-    most = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top")).select("bucket", F.col("top.label").alias("top"))
-    told = members.join(most, "bucket").withColumn("slices", F.ceil(F.col("size") / F.lit(SLICE)).cast("int"))
-    own = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("slices")).cast("int")
-    a = told.filter("label != top").withColumn("slice", own).join(link.sketched("a_").hint("merge"), "doc_id")
-    a = a.select("bucket", "slice", F.col("doc_id").alias("u"), F.col("label").alias("lu"), *(f"a_{c}" for c in ("n", *_SKETCH)))
-    b = told.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).join(link.sketched("b_").hint("merge"), "doc_id")
-    b = b.select("bucket", "slice", F.col("doc_id").alias("v"), F.col("label").alias("lv"), (F.col("label") == F.col("top")).alias("in_top"), *(f"b_{c}" for c in ("n", *_SKETCH)))
-    on = (a["bucket"] == b["bucket"]) & (a["slice"] == b["slice"]) & (F.col("lu") != F.col("lv")) & (F.col("in_top") | (F.col("u") < F.col("v"))) & link.screen("a_", "b_")
-    return a.join(b, on).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    most = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size")).select("bucket", F.col("top.label").alias("top"), "size")
+    told = attach(members.drop("size"), most, ["bucket"], F.col("size"), total, "inner").select("bucket", "doc_id", "label", (F.col("label") == F.col("top")).alias("in_top"), size_cell("n", link.percent).alias("cell"))
+    told = link.work.keep(told, "told-apart")
+    a = told.filter("not in_top").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    cells = a.select("bucket", "cell", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(told.select("bucket", "cell", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    cells = cells.groupBy("bucket", "cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter((F.col("a") > 0) & (F.col("b") > 0))
+    cells = link.work.keep(cells.select("bucket", "cell", (F.col("a") + F.col("b")).alias("c"), *(F.ceil(F.col(x) / F.lit(SLICE)).cast("int").alias(f"{x}_slices") for x in "ab")), "cells")
+
+    def side(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """Rows in a slice of their own side, once for each slice of the other, with their sketches."""
+        dealt = attach(rows, cells, ["bucket", "cell"], F.col("c"), 4 * total, "inner")
+        dealt = dealt.withColumn(f"{own}_slice", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col(f"{own}_slices")).cast("int")).withColumn(f"{other}_slice", F.explode(F.sequence(F.lit(0), F.col(f"{other}_slices") - 1)))
+        return dealt.join(link.sketched(f"{own}_").hint("merge"), "doc_id")
+
+    keys = ["bucket", "cell", "a_slice", "b_slice"]
+    a = side(a, "a", "b").select(*keys, F.col("doc_id").alias("u"), F.col("label").alias("lu"), *(f"a_{c}" for c in ("n", *_SKETCH)))
+    b = side(told, "b", "a").select(*keys, F.col("doc_id").alias("v"), F.col("label").alias("lv"), "in_top", *(f"b_{c}" for c in ("n", *_SKETCH)))
+    met = a.join(b, keys).filter((F.col("lu") != F.col("lv")) & (F.col("in_top") | (F.col("u") < F.col("v"))) & link.screen("a_", "b_"))
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -5,10 +5,7 @@ Every intermediate table is written under ``spark.checkpoint.dir``, so that a lo
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +17,14 @@ HOT_PARTS = 400
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder's address. Where the session names none, as in tests on one machine, one is made and set."""
+    """The shared folder's address, which the session must name: a folder of one machine would lose rows on a cluster. A
+    session on one machine alone (a local master) gets one of its own where none is named, for tests."""
     root = spark.conf.get(SETTING, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SETTING} must name a folder that driver and executors share")
+        import tempfile
+
         root = "file://" + tempfile.mkdtemp(prefix="tidewire-")
         spark.conf.set(SETTING, root)
     return root.rstrip("/")
@@ -62,18 +64,15 @@ class Workspace:
             for f in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
                 delete(self.spark, f)
 
-    def clear(self) -> None:
-        delete(self.spark, self.root)
-
-
-@contextmanager
-def temporary(spark: SparkSession, name: str) -> Iterator[Workspace]:
-    """A workspace whose tables go when the block ends."""
-    work = Workspace(spark, name)
-    try:
-        yield work
-    finally:
-        work.clear()
+    def only(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a result, and delete every other table of this run: nothing but the result can be read after that."""
+        kept = self.keep(df, name)
+        own = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = own.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for s in files.listStatus(own):
+            if s.getPath().getName() != f"{self.n:03d}-{name}":
+                files.delete(s.getPath(), True)
+        return kept
 
 
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: Column, total: int, how: str = "left") -> DataFrame:

@@ -56,7 +56,8 @@ def test_store_keeps_every_row(spark):
         pass
     assert sorted(map(tuple, store.read().collect()), key=str) == want and store.read(old).count() == 400
     assert store.manifest().agg(F.sum("rows")).first()[0] == 400
-    assert store.vacuum() > 0 and sorted(map(tuple, store.read(shard_col="where").drop("where").collect()), key=str) == want
+    assert store.vacuum() == 0 and store.read(old).count() == 400  # all is young, and a reader of the old version has time
+    assert store.vacuum(0, 1) > 0 and sorted(map(tuple, store.read(shard_col="where").drop("where").collect()), key=str) == want
 
 
 def test_two_writers_cannot_commit_one_version(spark):
@@ -68,6 +69,71 @@ def test_two_writers_cannot_commit_one_version(spark):
     assert store.version() == 1 and store.manifest().count() == 1
 
 
+def test_vacuum_spares_a_writer_that_has_not_committed(spark, monkeypatch):
+    root = new_folder(spark, "store")
+    store, other = ShardStore(spark, root, min_run=2), ShardStore(spark, root)
+    rows = spark.range(50).selectExpr("id AS doc_id", "repeat('x', 100) AS text")
+    for _ in range(3):
+        store.append(rows.coalesce(1))
+    publish, seen = other._publish, []
+
+    def slowly(*args):
+        seen.append((store.compact(), store.vacuum(), store.vacuum(3600, 1)))
+        return publish(*args)
+
+    monkeypatch.setattr(other, "_publish", slowly)
+    other.append(rows)
+    assert seen[0][0] == 4 and seen[0][1:] == (0, 0) and store.read().count() == 200 and store.version() == 5
+    assert store.read(3).count() == 150  # a pinned version
+    assert store.vacuum(0, 1) == 3 and store.read().count() == 200
+
+
+def test_appends_during_a_compaction_are_kept(spark, monkeypatch):
+    root = new_folder(spark, "store")
+    store, other = ShardStore(spark, root, min_run=2), ShardStore(spark, root, min_run=2)
+    rows = spark.range(20).selectExpr("id AS doc_id")
+    store.append(rows.coalesce(1))
+    store.append(rows.coalesce(1))
+    publish = store._publish
+
+    def late(*args):
+        monkeypatch.undo()
+        other.append(rows.coalesce(1))
+        return publish(*args)
+
+    monkeypatch.setattr(store, "_publish", late)
+    assert store.compact() == 4 and store.read().count() == 60 and store.manifest().count() == 2
+    monkeypatch.setattr(store, "_publish", lambda *args: (other.compact(), publish(*args)))
+    with pytest.raises(CommitConflict):
+        store.compact()
+    assert store.read().count() == 60
+
+
+def test_appends_of_other_columns(spark):
+    store = ShardStore(spark, new_folder(spark, "store"), min_run=2)
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string").coalesce(1))
+    store.append(spark.createDataFrame([(2, 0.5, None)], "doc_id long, score double, TEXT string").coalesce(1), F.lit(None).cast("string"))
+    long = "long " * 200_000
+    store.append(spark.createDataFrame([(None, long), (3, ""), (3, "")], "doc_id long, note string").coalesce(1), F.lit("a/b=c %"))
+    want = {(1, "a", None, None, 1), (2, None, 0.5, None, 1), (None, None, None, long, 1), (3, None, None, "", 2)}
+    for _ in range(2):
+        assert {tuple(r) for r in store.read().groupBy("doc_id", "text", "score", "note").count().collect()} == want
+        store.compact()
+    assert store.manifest().count() == 1 and store.schema().names == ["doc_id", "text", "score", "note"] and store.schema(1).names == ["doc_id", "text"]
+    with pytest.raises(ValueError, match="doc_id"):
+        store.append(spark.createDataFrame([("x",)], "doc_id string"))
+    assert store.read(1).columns == ["doc_id", "text"] and store.read(1).count() == 1
+
+
+def test_runs_have_tasks_of_their_own(spark):
+    store = ShardStore(spark, new_folder(spark, "store"), target=1500, base=1000, min_run=2)
+    for k in range(12):
+        store.append(spark.range(k * 10, k * 10 + 10).selectExpr("id AS doc_id").coalesce(1))
+    runs = store.plan(store.manifest()).select("run").distinct().count()
+    assert runs > 2 and store.compact() and store.manifest().filter("generation > 0").count() == runs
+    assert store.read().distinct().count() == 120
+
+
 def test_empty_store(spark):
     store = ShardStore(spark, new_folder(spark, "store"))
     store.append(spark.createDataFrame([], "doc_id long, text string"))

@@ -70,6 +70,8 @@ RULES: list[tuple[str, tuple[int, ...]]] = [
     ("Unlicense", (24,)),
     ("Proprietary", (13,)),
 ]
+#: "All rights reserved." right after a copyright line is this, and a licence of its own only where no other is found.
+RESERVED, RESERVED_ID, RESERVED_NAME = "all rights reserved", 28, "Proprietary"
 #: Every known sentence has one of these words, and sentences end at these places.
 MARKERS = "licen[sc]e|copyright|permission|permitted|redistribut|rights reserved|free software|unencumbered|applicable law"
 BREAK = r"[.!?:;]+[ \t\r]+|[\r\n]+"
@@ -107,6 +109,11 @@ def identifiers(text: Column, table: dict[str, int]) -> Column:
     # "|" ends a sentence; "~" is a line end, which may end one or lie within it.
     lines = F.regexp_replace(F.regexp_replace(plain, ENDS, " | "), r"[\r\n]+", " ~ ")
     clean = F.concat(F.lit("| "), F.trim(F.regexp_replace(lines, "[^a-z0-9|~]+", " ")), F.lit(" |"))
+    if RESERVED in table:
+        table = {**table, f"copyright {RESERVED}": RESERVED_ID}
+        over = RESERVED.replace(" ", "(?: ~)? ")
+        clean = F.regexp_replace(clean, rf"(?<=[|~] )((?:c )?copyright\b[^|~]*(?:[|~] )+){over}(?= [|~])", f"$1copyright {RESERVED}")
+        lookup = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(f"<{v}>"))])
     known = "|".join(k.replace(" ", "(?: ~)? ") for k in sorted(table, key=len, reverse=True))
     hits = F.regexp_extract_all(clean, F.lit(f"(?<=[|~] )(?:{known})(?= [|~])"), F.lit(0))
     ids = F.array_join(F.transform(hits, lambda s: F.try_element_at(lookup, F.replace(s, F.lit(" ~"), F.lit("")))), "")
@@ -130,6 +137,7 @@ def scan_licenses(
         F.when(F.contains(acc["rest"], r["ids"]), F.concat(acc["names"], F.array(r["name"]))).otherwise(acc["names"]).alias("names"),
     )
     names = F.array_join(F.array_distinct(F.aggregate(table, start, step, lambda acc: acc["names"])), ",")
+    names = F.when((names == "") & F.contains("sentence_ids", F.lit(f"<{RESERVED_ID}>")), F.lit(RESERVED_NAME)).otherwise(names)
     known = (F.length("sentence_ids") - F.length(F.replace(F.col("sentence_ids"), F.lit("<"), F.lit("")))).cast("long")
     return found.select("doc_id", known.alias("n_known"), "sentence_ids", F.when(F.col("sentence_ids") == "", F.lit("")).otherwise(names).alias("licenses"))
 
@@ -140,19 +148,32 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """The same by another way: lines are cut into segments at sentence ends, and a known sentence is looked up as every
+    row of neighbouring segments of one sentence."""
     table = ", ".join(f"('{k}', '<{v}>')" for k, v in sentence_table().items())
+    most = max(len(k.split()) for k in sentence_table())
     rules = ordered_rules()
     steps = "s0 AS (SELECT doc_id, ids, ids AS rest, []::VARCHAR[] AS names FROM found)"
     for k, (name, ids) in enumerate(rules):
         steps += f",\ns{k + 1} AS (SELECT doc_id, ids, replace(rest, '{ids}', '|') AS rest, CASE WHEN contains(rest, '{ids}') AND NOT list_contains(names, '{name}') THEN list_append(names, '{name}') ELSE names END AS names FROM s{k})"
     return f"""
 WITH known(sentence, id) AS (VALUES {table}),
-cut AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '{BREAK}')) AS s, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '{BREAK}'), 1) AS k FROM documents),
-clean AS (SELECT doc_id, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM cut WHERE regexp_matches(lower(s), '{MARKERS}')),
-hit AS (SELECT doc_id, string_agg(id, '' ORDER BY k) AS ids FROM clean JOIN known ON s = sentence GROUP BY doc_id),
+doc AS (SELECT doc_id, string_split(replace(replace(lower(text), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM documents WHERE regexp_matches(lower(text), '{MARKERS.replace(" ", "[^a-z0-9]+")}')),
+line AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS k FROM doc),
+bare AS (SELECT doc_id, k, regexp_replace(l, '^[ \t]*(/[*]+|[*]+/?|//+!?|#+|--+|;+|%+|<!--)[ \t]*', '') AS l FROM line),
+cut AS (SELECT doc_id, k, string_split_regex(l || ' ', '[.!?:;]+[ \t]') AS parts, trim(l) = '' AS blank FROM bare),
+seg AS (SELECT doc_id, k, unnest(parts) AS s, generate_subscripts(parts, 1) AS j, len(parts) AS n, blank FROM cut),
+told AS (SELECT doc_id, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS s, row_number() OVER w AS r,
+  coalesce(sum((j < n OR blank)::INT) OVER (PARTITION BY doc_id ORDER BY k, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM seg WINDOW w AS (PARTITION BY doc_id ORDER BY k, j)),
+word AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY r) AS prior FROM told WHERE s <> ''),
+whole AS (SELECT doc_id, sentence, list(s ORDER BY r) AS parts, list(r ORDER BY r) AS rs, list(coalesce(prior, '') ORDER BY r) AS priors FROM word GROUP BY doc_id, sentence),
+start AS (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM whole),
+span AS (SELECT doc_id, rs[i] AS r, priors[i] AS prior, array_to_string(parts[i:e], ' ') AS s FROM (SELECT *, unnest(range(i, least(len(parts), i + {most}) + 1)) AS e FROM start)),
+hit AS (SELECT doc_id, string_agg(CASE WHEN s = '{RESERVED}' AND regexp_matches(prior, '^(c )?copyright( |$)') THEN '<{RESERVED_ID}>' ELSE id END, '' ORDER BY r) AS ids FROM span JOIN known ON s = sentence GROUP BY doc_id),
 found AS (SELECT d.doc_id, coalesce(h.ids, '') AS ids FROM documents d LEFT JOIN hit h USING (doc_id)),
 {steps}
-SELECT doc_id, length(ids) - length(replace(ids, '<', '')) AS n_known, ids AS sentence_ids, array_to_string(names, ',') AS licenses FROM s{len(rules)}
+SELECT doc_id, length(ids) - length(replace(ids, '<', '')) AS n_known, ids AS sentence_ids,
+  CASE WHEN len(names) = 0 AND contains(ids, '<{RESERVED_ID}>') THEN '{RESERVED_NAME}' ELSE array_to_string(names, ',') END AS licenses FROM s{len(rules)}
 """
 
 

@@ -47,3 +47,28 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     packed = {r["doc_id"] for r in cp.run(spark, path).collect()}
     assert packed == stages["decontamination"]
     assert [n for n, _ in cp.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"] and fit([], []) is not None
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows, extra columns whose names the operators use inside, and an empty table."""
+    path, long = f"{tmp_path}", " ".join(f"w{k}" for k in range(3000))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, rep long, bucket string, h string, n int, component_id long, _gone long, block long"
+    rows = [(1, None), (2, ""), (3, " \n"), (None, None), (None, "alone here"), (4, "a b c d e f g"), (4, "a b c d e f g"), (5, "a b c d e f g"), (6, long), (7, long + " end"), (8, "A b c d e f g")]
+    docs = spark.createDataFrame([(i, t, None, "s" if i and i % 2 else None, None, 0.5, 1, "x", "y", 2, 9, 9, 9) for i, t in rows], schema)
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, ""), (3, "nothing of this is in any document at all")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    frame, kept = docs, []
+    for name, stage in cp.STAGES:
+        frame = stage(spark, frame, path)
+        if name != "packing":
+            assert frame.columns == docs.columns
+            kept.append(sorted((str(r["doc_id"]) for r in frame.collect())))
+            frame = spark.createDataFrame(frame.collect(), schema)
+    assert kept[0] == sorted(str(i) for i, _ in rows)
+    assert kept[1] == sorted(["2", "3", "None", "5", "6", "7", "8"]) and kept[2] == sorted(["2", "3", "None", "5", "6"]) == kept[3]
+    packed = frame.collect()
+    assert {str(r["doc_id"]) for r in packed} == set(kept[3]) and "".join(r["text"] for r in sorted(packed, key=lambda r: r["piece"]) if r["doc_id"] == 6) == long
+    frame = docs.limit(0)
+    for _, stage in cp.STAGES:
+        frame = stage(spark, frame, path)
+        assert frame.count() == 0

@@ -214,6 +214,72 @@ def test_tiles_match_the_definition(a, b):
     assert tile(len(a), iter(pairs), 3) == plain_tiles(a, b, 3)
 
 
+def plain_contamination(docs, items, seed=5, coverage=0.8):
+    """Every document against every item by the definition of greedy tiling."""
+    import re
+
+    words = lambda t: re.findall("[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for d, t in docs:
+        for k, item in items:
+            a, b = words(item), words(t)
+            tiles = plain_tiles(a, b, min(seed, len(a))) if a else []
+            total = sum(x[2] for x in tiles)
+            if tiles and total >= coverage * len(a) - 1e-9:
+                out.append((d, k, len(a), total, len(tiles), max(x[2] for x in tiles)))
+    return sorted(out, key=str)
+
+
+def test_contamination_matches_brute_force(spark, monkeypatch):
+    import random
+
+    from tidewire.llm import decontaminate as dc
+
+    rng = random.Random(4)
+    draw = lambda n, m: [rng.choice([f"w{k}" for k in range(m)] + ["É", "Ab", "ab"]) for _ in range(n)]
+    items = [(k, " ".join(draw(rng.choice([1, 3, 4, 5, 6, 9, 17, 30]), 6 if k % 2 else 60))) for k in range(24)] + [(24, None), (25, ""), (26, "a a a a a a a a"), (26, "a a a a a a a a"), (None, "x y z x y z x y")]
+    docs = []
+    for k in range(60):
+        parts = [" ".join(draw(rng.randrange(0, 12), 6))]
+        for _ in range(rng.randrange(0, 3)):
+            w = (rng.choice(items)[1] or "q").split()
+            cut = rng.randrange(len(w) + 1)
+            parts += [" ".join(w[cut:]).upper(), rng.choice(["", "then", "and so on"]), "-".join(w[:cut])]
+        docs.append((k, ".\n".join(parts)))
+    docs += [(100, "a " * 60), (101, "a " * 5), (102, "x y z " * 20), (103, None), (104, ""), (None, items[5][1]), (105, docs[3][1]), (105, docs[3][1])]
+    want = plain_contamination(docs, items)
+    assert len(want) > 30 and any(r[4] > 1 for r in want)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block, portion in ((100_000, 1 << 20), (7, 5)):
+        monkeypatch.setattr(dc, "BLOCK_ITEMS", block)
+        monkeypatch.setattr(dc, "PORTION", portion)
+        assert sorted((tuple(r)[:6] for r in dc.contamination(df, bench).collect()), key=str) == want
+        found = {r[0] for r in want}
+        assert sorted((r["doc_id"] for r in dc.decontaminate(df, bench).collect()), key=str) == sorted((d for d, _ in docs if d not in found), key=str)
+
+
+def test_repetitive_texts_cost_their_matches():
+    import time
+
+    from tidewire.llm.decontaminate import Seeds
+    from tidewire.llm.wordhash import ALNUM, texts_words
+
+    block = Seeds([1], ["the " * 200], 5)
+    began = time.process_time()
+    assert [x[:5] for x in block.covered(texts_words(["the " * 100_000], ALNUM)[0], 0.8)] == [(1, 200, 200, 1, 200)]
+    assert time.process_time() - began < 20
+
+
+def test_chance_of_a_fingerprint_does_not_count(monkeypatch):
+    from tidewire.llm import decontaminate as dc
+    from tidewire.llm.wordhash import ALNUM, texts_words
+
+    block = dc.Seeds([1], ["one two three four five six"], 5)
+    words = texts_words(["one two three four five six"], ALNUM)[0]
+    assert len(list(block.covered(words, 0.8, "one two three four five six"))) == 1
+    assert list(block.covered(words, 0.8, "six other words of equal prints")) == []
+
+
 def plain_fit(pieces, capacity):
     """Best fit by its definition: of all bins with room and without conflict the fullest, then the oldest."""
     bins, out = [], []
@@ -258,6 +324,40 @@ def test_packing_keeps_everything(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_bins_rebuild_every_document(spark):
+    big = 9_007_199_254_740_993  # no float holds it
+    docs = [(big, "w " * 130, "a"), (big + 2, " \t one  two\n three ", "a"), (None, "x y z", None), (None, "x y z", "b"), (7, "é\u00a0è " * 75, "c"), (7, "other text of this id", "c"), (8, None, "d"), (9, " \n ", "d"), (10, "", None)]
+    df = spark.createDataFrame([(*d, "z", 1.5) for d in docs], "doc_id long, text string, source string, cluster string, length double")
+    rows = packing.pack(df, capacity=50, block_docs=4).collect()
+    assert {r["doc_id"] for r in rows} == {d[0] for d in docs}
+    whole, texts = {}, []
+    for r in sorted(rows, key=lambda r: (r["doc_id"] or 0, r["piece"])):
+        whole.setdefault((r["doc_id"], r["piece"]), []).append(r)
+    by = {i: "".join(r["text"] for (j, _), rs in whole.items() if j == i for r in rs) for i in (big, big + 2, 8, 9, 10)}
+    assert by == {i: t or "" for i, t, _ in docs if i in by}
+    texts = sorted(r["text"] for r in rows if r["doc_id"] == 7)
+    assert sorted(["é\u00a0è " * 50, "é\u00a0è " * 25, "other text of this id"]) == texts
+    packed = packing.pack(df, capacity=50, block_docs=4)
+    for b in packing.bins_of(packed).collect():
+        assert b["length"] == sum(len(p["text"].split(" ")) - p["text"].endswith(" ") for p in b["pieces"] if p["doc_id"] != big + 2) + 3 * any(p["doc_id"] == big + 2 for p in b["pieces"]) <= 50
+    fill = packing.fill_rate(packed, 50).first()
+    assert fill["least_bins"] <= fill["bins"] and 0 < fill["fill"] <= 1
+    assert packing.fill_rate(packing.pack(df.limit(0)), 50).first()["fill"] is None
+
+
+def test_packing_of_odd_lengths_and_given_classes(spark):
+    df = spark.createDataFrame([(i, "t", "s", None if i == 0 else -3 if i == 1 else 4, 1 if i < 6 else None) for i in range(12)], "doc_id long, text string, source string, n int, class int")
+    from pyspark.sql import functions as F
+
+    rows = packing.pack(df, capacity=10, length=F.col("n"), source_col=None, cluster=F.col("class")).collect()
+    assert sorted(r["doc_id"] for r in rows if r["bin_id"] is None) == [0, 1] and all(r["text"] == "t" for r in rows)
+    bins = {}
+    for r in rows:
+        if r["bin_id"] is not None:
+            bins.setdefault(r["bin_id"], []).append(r["doc_id"])
+    assert all(sum(i < 6 for i in own) <= 1 for own in bins.values()) and len(bins) == 5
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><a href=/>Home</a></header><nav><ul><li><a>One</a></li><li><a>Two</a></li></ul></nav><div class="cookie-notice">We use cookies to make this page better for you and for us.</div>
 <div class="ad">Buy this long and wonderful product now, it is really very good for you.</div>

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,10 @@ from .shared import text_or_empty
 
 #: Units (words, unless a length column is named) a bin holds; documents that are packed together on average.
 CAPACITY, BLOCK_DOCS = 2048, 2048
+#: Blocks a task packs, one after another, where there are many.
+TASK_BLOCKS = 16
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("bin_id", pa.int64()), ("bin_offset", pa.int64()), ("text", pa.string())])
 
 
 def words_in(text: Column) -> Column:
@@ -53,7 +58,16 @@ def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capaci
 def _numbered(values: list) -> list[int]:
     """Small numbers for values; -1 for none."""
     seen: dict = {}
-    return [-1 if v is None or v != v else seen.setdefault(v, len(seen)) for v in values]
+    return [-1 if v is None else seen.setdefault(v, len(seen)) for v in values]
+
+
+def cut_text(text: str, n_words: int, capacity: int) -> list[str]:
+    """A text of so many words as pieces of ``capacity`` words; white space stays behind the word before it, or at the
+    start, so that the pieces together are the text."""
+    if n_words <= capacity:
+        return [text]
+    starts = [m.start() for k, m in enumerate(_WORD.finditer(text)) if k % capacity == 0]
+    return [text[a:b] for a, b in zip([0, *starts[1:]], [*starts[1:], len(text)], strict=True)]
 
 
 def pack(
@@ -66,46 +80,72 @@ def pack(
     cluster: Column | None = None,
     block_docs: int = BLOCK_DOCS,
 ) -> DataFrame:
-    """One row a piece of a document: doc_id, piece, start, length, bin_id, bin_offset.
+    """One row a piece of a document: doc_id, piece, start, length, bin_id, bin_offset, text.
 
     A document longer than a bin is cut: its full pieces fill bins of their own and the rest is packed. Documents of one
-    source or one duplicate cluster (by default: equal texts) never share a bin. A null source conflicts with nothing.
-    Empty and null texts have one piece of length 0 without a bin.
+    source or one duplicate cluster never share a bin; ``cluster`` names the class of a row, such as that of its near
+    duplicates (by default: equal texts). A null source or class conflicts with nothing. Empty and null texts have one piece
+    of length 0 without a bin; null and negative lengths count as 0. Rows without an id are packed like others, rows that
+    repeat an id are each packed. An empty table gives an empty result; other columns are ignored. Texts of pieces in order
+    are the document's text, all white space included; with ``length``, whose unit is unknown, a text is not cut: it stands
+    with piece 0.
 
     Documents are dealt by a hash of id and cluster into blocks of ``block_docs`` on average; a block is packed alone, in
-    order of falling length, then id, so that the result depends on the rows and their number only. A hot source or
-    cluster is dealt over all blocks like any other. Only ids, lengths, sources and hashes are shuffled.
+    order of falling length, then id, then cluster, so that the result depends on the rows and their number only. A hot
+    source or cluster is dealt over all blocks like any other. A block's texts are in one task's memory.
     """
+    text = text_or_empty(text_col)
     size = length if length is not None else words_in(F.col(text_col))
     base = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t"), (F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")).alias("source"),
-        size.cast("long").alias("n"), (cluster if cluster is not None else F.xxhash64(text_or_empty(text_col), F.octet_length(text_or_empty(text_col)))).cast("long").alias("cluster"),
+        F.col(id_col).cast("long").alias("doc_id"), (F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")).alias("source"),
+        F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("n"), (cluster if cluster is not None else F.xxhash64(text, F.octet_length(text))).cast("long").alias("cluster"), text.alias("text"),
     )
     blocks = max(1, -(-docs.count() // block_docs))
-    rows = base.select("doc_id", "source", F.coalesce("n", F.lit(0)).alias("n"), "cluster", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(blocks)).alias("block"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "doc_id", "cluster"], ascending=[False, True, True], kind="stable")
-        ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-        sources, clusters = _numbered(pdf["source"].tolist()), _numbered(pdf["cluster"].tolist())
-        base, rests, out, full = int(key[0]) << 32, [], [], 0
-        for i, n, s, c in zip(ids, pdf["n"].tolist(), sources, clusters, strict=True):
-            whole, rest = divmod(int(n), capacity)
+    rows = base.select("*", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(blocks)).alias("block"))
+    by_words = length is None
+    # Tasks hold so many blocks at any size of the table; few blocks are dealt over the tasks there are.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(max(-(-blocks // TASK_BLOCKS), min(blocks, parts)), "block")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids, sources, sizes, clusters = (table.column(c).to_pylist() for c in ("doc_id", "source", "n", "cluster"))
+        texts, base = table.column("text"), key[0].as_py() << 32
+        order = sorted(range(len(ids)), key=lambda r: (-sizes[r], ids[r] is None, ids[r] or 0, clusters[r] is None, clusters[r] or 0, texts[r].as_py() if ids[r] is None else ""))
+        source, group = _numbered(sources), _numbered(clusters)
+        rests, out, full = [], [], 0
+        for r in order:
+            whole, rest = divmod(sizes[r], capacity)
+            own = texts[r].as_py()
+            own = cut_text(own, sizes[r], capacity) if by_words else [own]
+            own += [""] * (whole + 1 - len(own))
             for k in range(whole):
-                out.append((i, k, k * capacity, capacity, base + full, 0))
+                out.append((ids[r], k, k * capacity, capacity, base + full, 0, own[k]))
                 full += 1
             if rest:
-                rests.append((rest, i, s, c, whole))
+                rests.append((rest, ids[r], source[r], group[r], whole, own[whole]))
             elif not whole:
-                out.append((i, 0, 0, 0, None, None))
+                out.append((ids[r], 0, 0, 0, None, None, own[0]))
         rests.sort(key=lambda r: -r[0])  # stable: ids stay in order within one length
-        for (n, i, _, _, k), (b, at) in zip(rests, best_fit([r[0] for r in rests], [r[2] for r in rests], [r[3] for r in rests], capacity), strict=True):
-            out.append((i, k, k * capacity, n, base + full + b, at))
-        return pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "bin_id", "bin_offset"]).astype("Int64")
+        for (n, i, _, _, k, t), (b, at) in zip(rests, best_fit([r[0] for r in rests], [r[2] for r in rests], [r[3] for r in rests], capacity), strict=True):
+            out.append((i, k, k * capacity, n, base + full + b, at, t))
+        return pa.table([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_PIECES)], schema=_PIECES)
+
+    return rows.groupBy("block").applyInArrow(run, "doc_id long, piece long, start long, length long, bin_id long, bin_offset long, text string")
+
+
+def bins_of(packed: DataFrame) -> DataFrame:
+    """One row a bin: bin_id, n_pieces, length, pieces (doc_id, piece, text, in order). A bin holds its capacity at most."""
+    pieces = F.array_sort(F.collect_list(F.struct("bin_offset", "doc_id", "piece", "text")))
+    found = packed.filter("bin_id is not null").groupBy("bin_id").agg(pieces.alias("pieces"), F.sum("length").alias("length"))
+    return found.select("bin_id", F.size("pieces").alias("n_pieces"), "length", F.transform("pieces", lambda p: p.dropFields("bin_offset")).alias("pieces"))
+
 
-    return rows.groupBy("block").applyInPandas(run, "doc_id long, piece long, start long, length long, bin_id long, bin_offset long")
+def fill_rate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: bins, least_bins (that hold as much without conflicts or whole pieces), and the share of room used."""
+    total = packed.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("units"), F.countDistinct("bin_id").alias("bins"))
+    return total.select("bins", F.ceil(F.col("units") / F.lit(capacity)).alias("least_bins"), F.when(F.col("bins") > 0, F.col("units") / (F.col("bins") * F.lit(capacity))).alias("fill"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of ``documents``, by words."""
+    """All of ``documents``, by words; equal texts are one cluster."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -27,16 +27,18 @@ def processing_order() -> list[Column]:
 
 
 def with_position(df: DataFrame) -> DataFrame:
-    """Add ``pos``: the row's place in the processing order.
+    """Add ``pos``: the row's place in the processing order, a total order over an issue's stories."""
+    return numbered(df, processing_order(), "pos")
 
-    A total order over an issue's stories; sorted by range and numbered by the sizes of the ranges before, so that no
-    task sees all rows."""
-    order = processing_order()
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add each row's place, from 0, in a total order. Rows are sorted by range and numbered by the sizes of the ranges
+    before, so that no task sees all rows."""
     ranged = cut(df.repartitionByRange(max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order).withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))  # as many rows as there are ranges
     before = sizes.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_local", local).join(before, "_range").withColumn("pos", F.col("_before") + F.col("_local") - 1).drop("_range", "_local", "_before")
+    return ranged.withColumn("_local", local).join(before, "_range").withColumn(name, F.col("_before") + F.col("_local") - 1).drop("_range", "_local", "_before")
 
 
 class _Event:

@@ -161,6 +161,16 @@ def build_events(assigned: DataFrame) -> DataFrame:
     return about.join(event_confidence(assigned), "event_id")
 
 
+def event_anchors_of(features: DataFrame, event: str = "event_id") -> DataFrame:
+    """What an event is about: the union of its stories' entities, models, themes and actions, sorted. Each value is reduced
+    to one a task before it is shuffled."""
+    kinds = ("entities", "models", "themes", "effective")
+    named = lambda k: F.transform(f"f_{k}", lambda v: F.struct(F.lit(k).alias("k"), v.alias("v")))
+    pairs = F.concat(*map(named, kinds))
+    values = features.select(event, F.explode_outer(pairs).alias("x")).select(event, "x.*").distinct()
+    return values.groupBy(event).agg(*(F.array_sort(F.collect_list(F.when(F.col("k") == k, F.col("v")))).alias(k) for k in kinds))
+
+
 def bridge(assigned: DataFrame) -> DataFrame:
     return assigned.select("event_id", "article_id", "relationship", "similarity")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share. Where the session names none, as in tests on
-    one machine, a temporary one is made."""
+    """A new folder under spark.checkpoint.dir, which all executors share. A session on one machine alone (a local master)
+    gets one of its own where none is named, for tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
+
         root = "file://" + tempfile.mkdtemp(prefix="tidewire-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -18,6 +18,17 @@ def feed_counts(feeds: DataFrame, level: str = "evidence_level") -> DataFrame:
     )
 
 
+def local_day(at: str, zone: str) -> F.Column:
+    """The calendar day of an instant in a time zone, as text, whatever the session's zone is."""
+    shifted = F.unix_seconds(F.from_utc_timestamp(at, zone))
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(shifted / F.lit(86_400)).cast("int")).cast("string")
+
+
+def daily_counts(rows: DataFrame, zone: str = "UTC", at: str = "published_at") -> DataFrame:
+    """(day, n): rows a calendar day of a time zone."""
+    return rows.groupBy(local_day(at, zone).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _share(test) -> F.Column:
     return F.coalesce(F.count_if(test) / F.nullif(F.count(F.lit(1)), F.lit(0)) * 100.0, F.lit(0.0))
 
@@ -56,4 +67,4 @@ def run_metrics(feeds: DataFrame, articles: DataFrame, events: DataFrame, collec
     return out.withColumns({"articles_collected": F.lit(collected), "duplicate_suppression_count": F.lit(suppressed), "articles_after_dedupe": F.col("articles_selected")})
 
 
-__all__ = ["event_metrics", "feed_counts", "run_metrics", "story_metrics", "top_metrics"]
+__all__ = ["daily_counts", "event_metrics", "feed_counts", "run_metrics", "story_metrics", "top_metrics"]

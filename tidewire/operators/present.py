@@ -10,7 +10,9 @@ from tidewire import rules
 from tidewire.functions.sources import evidence_level
 from tidewire.functions.text import contains_any, names_where, strings
 from tidewire.operators.classify import by_key
+from tidewire.operators.cluster import numbered
 from tidewire.operators.evidence import label_ko
+from tidewire.operators.graph import cut
 from tidewire.operators.score import level_rank, priority_level
 
 
@@ -67,15 +69,16 @@ def weight() -> Column:
 
 
 def featured(articles: DataFrame, least: float = 60.0, want: int = 3) -> DataFrame:
-    """Stories of the first threshold (60, 45, 30) that at least ``want`` reach; the last that any reach; else all."""
-    w = weight()
+    """Stories of the first threshold (60, 45, 30) that at least ``want`` reach; the last that any reach; else all. Rows are
+    written once, as they are counted and then chosen: their scores are not worked out twice."""
+    articles, w = cut(articles), weight()
     steps = (least, 45.0, 30.0)
     counts = articles.agg(*(F.count_if(w >= s).alias(f"n{i}") for i, s in enumerate(steps)), F.count_if(w > 0).alias("scored"))
-    cut = (
+    reached = (
         F.when(F.col("scored") == 0, F.lit(float("-inf"))).when(F.col("n0") >= want, F.lit(steps[0])).when(F.col("n1") >= want, F.lit(steps[1]))
         .when(F.col("n2") > 0, F.lit(steps[2])).otherwise(F.lit(float("-inf")))
     )
-    return articles.join(F.broadcast(counts.select(cut.alias("_cut"))), w >= F.col("_cut")).drop("_cut")
+    return articles.join(F.broadcast(counts.select(reached.alias("_cut"))), w >= F.col("_cut")).drop("_cut")
 
 
 def sections(articles: DataFrame, room: int = rules.SECTION_ROOM, position: str = "position") -> DataFrame:
@@ -265,6 +268,19 @@ def sort_table(df: DataFrame, column: str, ascending: bool = True, tie: str = "a
     return df.orderBy(F.col(column).asc_nulls_last() if ascending else F.col(column).desc_nulls_last(), F.col(tie).asc())
 
 
+def placed_table(df: DataFrame, column: str, ascending: bool = True, tie: str = "article_id", place: str = "place") -> DataFrame:
+    """Add each row's place in the sorted table; no task holds all rows."""
+    if column not in SORTABLE:
+        raise ValueError(f"cannot sort by {column}")
+    return numbered(df, [F.col(column).asc_nulls_last() if ascending else F.col(column).desc_nulls_last(), F.col(tie).asc()], place)
+
+
+def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
+    """(kind, value): every value of each column once, in one pass with partial aggregation."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in columns))
+    return df.select(F.explode(pairs).alias("x")).select("x.*").distinct()
+
+
 def page(df: DataFrame, number: int, size: int | None, order: list[Column]) -> DataFrame:
     """One page, the number kept within what there is; ``size`` None is all."""
     if size is None:

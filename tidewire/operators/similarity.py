@@ -111,6 +111,17 @@ def pair_similarity(a: str = "a_", b: str = "b_", window_hours: float = rules.WI
     return F.when(same, F.lit(1.0)).when(barred, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score - penalty)))
 
 
+def near_in_time(rows: DataFrame, key: str, pos: str, seconds: str, hours: float = rules.WINDOW_HOURS) -> DataFrame:
+    """(key, u, v), u before v, of rows that share a key within so many hours: rows meet in cells of that length, each in
+    its own and on one side in the next too, so that only neighbours in time are compared."""
+    width = int(hours * 3600)
+    named = rows.select(F.col(key).alias("key"), F.col(pos).alias("p"), F.col(seconds).alias("s"), F.floor(F.col(seconds) / F.lit(width)).alias("cell")).filter("s is not null")
+    a = named.select("key", "cell", F.col("p").alias("pa"), F.col("s").alias("sa"))
+    b = named.select("key", F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"), F.col("cell").alias("own"), F.col("p").alias("pb"), F.col("s").alias("sb"))
+    met = a.join(b, ["key", "cell"]).filter((F.abs(F.col("sa") - F.col("sb")) <= width) & ((F.col("own") < F.col("cell")) | (F.col("pa") < F.col("pb"))) & (F.col("pa") != F.col("pb")))
+    return met.select("key", F.least("pa", "pb").alias("u"), F.greatest("pa", "pb").alias("v"))
+
+
 CARRIED = ("article_id", "canonical_url", "url", "published_at")
 
 

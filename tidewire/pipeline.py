@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators.classify import with_taxonomy, with_template_summary
-from tidewire.operators.cluster import assign_events, with_event_ids
+from tidewire.operators.cluster import assign_events, numbered, with_event_ids
 from tidewire.operators.dedupe import deduplicate
 from tidewire.operators.evidence import bridge, build_events, enrich
 from tidewire.operators.graph import cut
@@ -52,8 +52,7 @@ def run_day(spark: SparkSession, store: IssueStore, entries: DataFrame, feeds: D
     recent = recent.withColumn("seq", F.monotonically_increasing_id())
     run = collect(entries, ref_time, cut(recent))
     metrics = run_metrics(feeds, run.articles, run.events, run.collected, run.collected - run.kept)
-    # Within one issue: the window is over a day's stories.
-    place = F.row_number().over(Window.orderBy(F.col("priority_score").desc(), F.col("event_pos"), F.col("member_pos"))) - 1
+    place = [F.col("priority_score").desc(), F.col("event_pos"), F.col("member_pos")]
     drop = [c for c in run.articles.columns if c.startswith("f_")]
-    store.save_issue(day.isoformat(), run.articles.drop(*drop).withColumn("position", place), run.events, run.bridge, metrics, warnings, at=ref_time)
+    store.save_issue(day.isoformat(), numbered(run.articles.drop(*drop), place, "position"), run.events, run.bridge, metrics, warnings, at=ref_time)
     return run

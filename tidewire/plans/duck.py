@@ -34,7 +34,8 @@ def names_where(tests: dict[str, str]) -> str:
 
 
 def with_articles(body: str, *steps: tuple[str, str]) -> str:
-    extra = "".join(f",\n{n} AS ({s})" for n, s in steps)
+    """Steps are materialised: later ones name a column several times, and its patterns are to be matched once."""
+    extra = "".join(f",\n{n} AS MATERIALIZED ({s})" for n, s in steps)
     return f"WITH a AS ({ARTICLES}){extra}\n{body}"
 
 

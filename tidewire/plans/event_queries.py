@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire import rules
-from tidewire.operators import cluster, evidence, metrics, present, score, store
+from tidewire.operators import cluster, evidence, metrics, present, score, similarity, store
 from tidewire.operators.graph import cut
 from tidewire.plans import duck
-from tidewire.plans.story_queries import normal, scored
+from tidewire.plans.story_queries import _FEATURES, _TEMPLATE, normal, scored
 from tidewire.plans.views import articles, ref_time, table
-from tidewire.sources import catalog
-from tidewire.sources.page_text import page_text, usable_text
+from tidewire.sources import catalog, feeds, pages
+from tidewire.sources.page_text import BOILERPLATE, MOST_CHARS, page_text, usable_text
 from tidewire.streaming import incremental
 
 
@@ -72,16 +72,9 @@ def a6(spark, d):
 
 
 def a9(spark, d):
-    """What an event is about: the union of its stories' entities and themes."""
-    a = articles(spark, d).withColumn("low", F.lower(F.concat_ws(" ", "title", "excerpt")))
-    f = a.select((F.col("doc_id") % 97).alias("event"), evidence_entities("low").alias("e"))
-    return f.groupBy("event").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("e")))), ",").alias("entities"))
-
-
-def evidence_entities(c):
-    from tidewire.functions.text import entities_in
-
-    return entities_in(c)
+    """What an event is about: the union of its stories' entities, models, themes and actions."""
+    f = similarity.with_features(articles(spark, d)).withColumn("event", F.col("doc_id") % 97)
+    return evidence.event_anchors_of(f, "event").select("event", *JOINED("entities", "models", "themes", "effective"))
 
 
 def a10(spark, d):
@@ -163,14 +156,12 @@ def o9(spark, d):
 
 def o8(spark, d):
     """The table sorted by publisher, with a place."""
-    s = scored(spark, d).select("doc_id", "source")
-    return s.withColumn("rank", F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("source"))).groupBy("source", "rank").agg(F.count(F.lit(1)).alias("n"))
+    return present.placed_table(scored(spark, d).select("doc_id", "source"), "source", False, "doc_id")
 
 
 def a15(spark, d):
     """Categories and sources there are."""
-    n = normal(spark, d)
-    return n.select(F.explode(F.array(F.struct(F.lit("category").alias("kind"), F.col("primary_category").alias("value")), F.struct(F.lit("source").alias("kind"), F.col("source").alias("value")))).alias("x")).select("x.*").distinct()
+    return present.distinct_values(normal(spark, d), "primary_category", "source")
 
 
 def j1(spark, d):
@@ -181,14 +172,17 @@ def j1(spark, d):
 
 def a14(spark, d):
     """Stories a calendar day of a time zone: tumbling windows."""
-    e = table(spark, d, "events")
-    return e.groupBy(F.date_format(F.from_utc_timestamp("ts", "Europe/Berlin"), "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return metrics.daily_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "Europe/Berlin", "ts")
 
 
 def j2(spark, d):
     """Stories with the columns of their event of the same day."""
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    return docs.join(labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+    m = cut(members(spark, d).withColumn("event_id", F.when(F.col("doc_id") % 10 != 0, F.col("event_id"))))
+    about = {"title": F.concat(F.lit("about "), "event_id"), "official_source_url": F.lit("u"), "official_source_name": F.lit("n"), "article_ids": F.array("event_id")}
+    e = evidence.enrich(m, evidence.event_confidence(m.filter("event_id is not null")).withColumns(about))
+    names = [c for c in evidence.ON_ARTICLE if c not in ("event_confidence_explanation_ko",)]
+    lists = [c for c in names if c.endswith("_sources") and not c.startswith("event_has") or c == "related_article_ids"]
+    return e.select("doc_id", *(c for c in names if c not in lists), *JOINED(*lists))
 
 
 def j3(spark, d):
@@ -246,21 +240,53 @@ def p18(spark, d):
     return table(spark, d, "pages").select("page_id", page_text("html").alias("text"))
 
 
-def p18_sql(spark, d):
-    """Paragraph texts by patterns alone: the part of extraction that SQL can check."""
-    body = F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1)
-    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(body, "<[^>]*>", " "), r"\s+", " ")).alias("text"))
-
-
 def p19(spark, d):
     """The first usable text of an entry."""
-    some = lambda k, c: F.when(F.col("doc_id") % k == 0, c).otherwise("")
-    t = F.col("text")
-    u = usable_text(some(5, t), some(7, t), some(3, F.substring(t, 1, 100)), some(2, F.substring(t, 1, 60)), F.lit(" short "), F.lit("title"))
+    some = lambda *langs: F.when(F.col("lang").isin(*langs), F.col("text")).otherwise("")
+    u = usable_text(some("en"), some("en", "fr"), some("fr", "de"), some("de", "es"), F.lit(" short "), F.lit("title"))
     x = table(spark, d, "documents").select("doc_id", u.alias("u"))
     return x.select("doc_id", F.length("u.text").alias("n"), F.col("u.source_type").alias("kind"), F.col("u.is_short_excerpt").alias("short"))
 
 
+def _canned(method, url, seconds):
+    """A network of eight hosts: one shows no rules, one forbids a part, one is down, one leads elsewhere."""
+    host, path = url.split("/")[2], "/".join(url.split("/")[3:])
+    number = path.rsplit("-", 1)[-1]
+    if host == "h2.example":
+        raise OSError("down")
+    if path == "robots.txt":
+        return (403, "", url) if host == "h0.example" else (200, "User-agent: *\nDisallow: /no", url) if host == "h1.example" else (404, "", url)
+    if host == "news.google.com":
+        return (200, "", f"https://target.example/{number}?utm_source=x") if int(number) % 2 else (404, "", url)
+    body = f"<html><body><nav><p>A menu that is long enough to be a paragraph.</p></nav><article><p>Page {number} has one paragraph of some length.</p></article></body></html>"
+    return (500, "", url) if number.endswith("0") else (200, body, url)
+
+
+def _addresses(spark, d):
+    n = F.col("doc_id")
+    host = F.when(n % 8 == 7, "news.google.com").otherwise(F.concat(F.lit("h"), (n % 8).cast("string"), F.lit(".example")))
+    part = F.when(n % 3 == 0, "no").otherwise("yes")
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("https://"), host, F.lit("/"), part, F.lit("/p-"), n.cast("string")).alias("url"))
+
+
+def s8(spark, d):
+    """Pages of allowed addresses."""
+    return pages.fetch_pages(_addresses(spark, d), "doc_id", fetch=_canned).select("doc_id", "allowed", F.coalesce("status", F.lit(-1)).alias("status"), "text")
+
+
+def s9(spark, d):
+    """Addresses after redirects."""
+    return pages.resolved_urls(_addresses(spark, d), "doc_id", fetch=_canned)
+
+
+def a17(spark, d):
+    """Feeds that answered."""
+    named = catalog.feeds(spark).select(F.col("rank").alias("k"), F.col("id").alias("feed_id"))
+    at = F.col("doc_id") % 50
+    raw = table(spark, d, "documents").select(at.alias("k"), F.lit("t").alias("title"), F.when((F.col("doc_id") % 7 == 0) & (at % 2 == 0), "down").alias("error"), F.lit(200).alias("http_status"), F.lit(1.0).alias("response_time"), F.lit(None).cast("string").alias("parsing_error"))
+    return feeds.health_ok(feeds.feed_health(raw.join(F.broadcast(named), "k"), catalog.feeds(spark)))
+
+
 def p22(spark, d):
     """Summaries by a model, the template's where it fails."""
     from tidewire.operators.classify import with_model_summary, with_template_summary
@@ -321,7 +347,7 @@ QUERIES = {
     "A1_publisher_levels": a1, "A2_publisher_strength": a2, "A3_event_evidence": a3, "A4_event_signals": a4, "A6_event_members": a6, "A8_event_confidence": a8, "A9_event_anchor": a9, "A10_feed_counts": a10,
     "A11_run_metrics": a11, "A12_facet_counts": facets, "P26_story_facets": p26, "A13_priority_counts": a13, "O5_top_prioritised": o5, "F3_featured": f3, "O6_sections": o6, "O3_primary_story": o3, "P23_display": p23,
     "P25_transparency": p25, "F4_dashboard_filter": f4, "F5_table_filter": f5, "O8_table_order": o8, "O9_page": o9, "A15_distinct_values": a15, "J1_issue_counts": j1, "A14_daily_counts": a14, "J2_enrichment": j2,
-    "J3_delete_matching": j3, "F2_look_back": f2, "K1_save_issue": k1, "K2_upsert": k2, "K3_insert_ignore": k3, "K6_plain_edition": k6, "S10_latest_issue": s10, "P18_page_text": p18, "P18_page_text_patterns": p18_sql,
+    "J3_delete_matching": j3, "F2_look_back": f2, "K1_save_issue": k1, "K2_upsert": k2, "K3_insert_ignore": k3, "K6_plain_edition": k6, "S10_latest_issue": s10, "P18_page_text": p18, "S8_page_fetch": s8, "S9_redirects": s9, "A17_feeds_ok": a17,
     "P19_usable_text": p19, "P22_model_summary": p22, "stream_first_by_url": stream_first, "stream_daily_counts": stream_days, "stream_exact_dedupe": stream_exact,
 }
 
@@ -362,7 +388,7 @@ ORACLES = {
     "A8_event_confidence": duck.with_articles(f"SELECT event_id, confidence_score, confidence_label, {_EXPLAIN} AS confidence_explanation_en, len(evidence_sources) AS source_count, len(independent_sources) AS independent_source_count FROM cf", *_EV),
     "A6_event_members": duck.with_articles("SELECT doc_id % 97 AS event_pos, arg_min(publisher, doc_id) FILTER (is_official) AS official_source_name, count(*)::INT AS n_members FROM m GROUP BY 1", *_M),
     "O3_primary_story": duck.with_articles("SELECT x.doc_id, 'ev_' || sha256(h.url)[:16] AS event_id, CASE WHEN x.url = h.url THEN 'primary' ELSE 'coverage' END AS relationship, CASE WHEN x.url = h.url THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END AS similarity FROM pr x JOIN pr h ON h.rk = 1 AND h.doc_id % 97 = x.doc_id % 97", *_M, _PRIMARY),
-    "A9_event_anchor": duck.with_articles("SELECT event, array_to_string(list_sort(list_distinct(flatten(list(e)))), ',') AS entities FROM x GROUP BY 1", ("x", f"SELECT doc_id % 97 AS event, {duck.entities('(title || chr(32) || excerpt)')} AS e FROM a")),
+    "A9_event_anchor": duck.with_articles("SELECT pos % 97 AS event, " + ", ".join(f"array_to_string(list_sort(list_distinct(flatten(list({c})))), ',') AS {n}" for c, n in (("entities", "entities"), ("models", "models"), ("themes", "themes"), ("acts", "effective"))) + " FROM g GROUP BY 1", *_FEATURES),
     "A10_feed_counts": "SELECT {t} AS feeds_total, {primary} AS primary_feeds, {research} AS research_feeds, {independent} AS independent_media_feeds, {community} AS community_feeds, {discovery} AS discovery_feeds, {industry_media} AS industry_media_feeds".format(t=len(rules.FEEDS), **{lv: sum(f[10] == lv for f in rules.FEEDS) for lv in rules.EVIDENCE_LEVELS}),
     "A11_run_metrics": duck.with_articles(f"""SELECT count(*) AS articles_selected, {duck.half_even("100.0::DOUBLE * count(*) FILTER (is_independent_source OR evidence_level = 'independent' OR len(independent_sources) > 0) / count(*)", 1)} AS percentage_with_independent_reporting,
   {duck.half_even("100.0::DOUBLE * count(*) FILTER (is_discovery_source OR evidence_level = 'discovery') / count(*)", 1)} AS percentage_discovery_only, (SELECT count(*) FROM ev) AS events_created,
@@ -375,21 +401,37 @@ ORACLES = {
     "F3_featured": duck.with_articles("SELECT doc_id FROM ft", *_SCORED, _FEATURED),
     "F4_dashboard_filter": duck.with_articles(f"SELECT doc_id, {duck.level()} AS level FROM s JOIN (SELECT doc_id, regions, topic_keys FROM fc) USING (doc_id) WHERE list_contains(regions, 'us') AND list_contains(topic_keys, 'frontier_models') AND evidence_level = 'industry_media'", *_SCORED, *_FACET[-2:]),
     "F5_table_filter": duck.with_articles("SELECT doc_id FROM s WHERE source_type = 'media' AND contains(lower(title || ' ' || source || ' ' || primary_category), 'openai')", *_SCORED),
-    "O8_table_order": duck.with_articles("SELECT source, dense_rank() OVER (ORDER BY source)::INT AS rank, count(*) AS n FROM s GROUP BY source", *_SCORED),
+    "O8_table_order": duck.with_articles("SELECT doc_id, source, row_number() OVER (ORDER BY source DESC, doc_id) - 1 AS place FROM s", *_SCORED),
     "O9_page": duck.with_articles("SELECT doc_id, priority_score FROM s ORDER BY priority_score DESC, doc_id LIMIT 20 OFFSET 40", *_SCORED),
-    "A15_distinct_values": duck.with_articles("SELECT DISTINCT 'category' AS kind, primary_category AS value FROM n UNION SELECT DISTINCT 'source', source FROM n", *duck.normal()),
+    "A15_distinct_values": duck.with_articles("SELECT DISTINCT 'primary_category' AS kind, primary_category AS value FROM n UNION SELECT DISTINCT 'source', source FROM n", *duck.normal()),
     "J1_issue_counts": "SELECT d AS issue_date, count(*) FILTER (event_type = 'signup') AS n_articles FROM (SELECT strftime(ts, '%Y-%m-%d') AS d, event_type FROM events) GROUP BY 1",
-    "A14_daily_counts": "SELECT strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1",
-    "J2_enrichment": "SELECT doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM documents LEFT JOIN labels USING (doc_id)",
+    "A14_daily_counts": "SELECT strftime(timezone('Europe/Berlin', timezone('UTC', ts::TIMESTAMP)), '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1",
+    "J2_enrichment": duck.with_articles(f"""SELECT m.doc_id, 'about ' || ec.event_id AS event_title, len(ec.evidence_sources) AS event_source_count, len(ec.independent_sources) AS event_independent_source_count, ec.has_official_source AS event_has_official_source,
+  ec.has_regulatory_source AS event_has_regulatory_source, ec.has_major_media_source AS event_has_major_media_source, CASE WHEN ec.event_id IS NOT NULL THEN 'u' END AS event_official_source_url, CASE WHEN ec.event_id IS NOT NULL THEN 'n' END AS event_official_source_name,
+  ec.evidence_diversity AS event_evidence_diversity, ec.verification_status AS event_verification_status, ec.confidence_score AS event_confidence_score, ec.confidence_label AS event_confidence_label, ec.explained AS event_confidence_explanation_en,
+  ec.related_sources AS event_related_sources, array_to_string(ec.evidence_sources, ',') AS event_evidence_sources, array_to_string(ec.primary_sources, ',') AS event_primary_sources, array_to_string(ec.independent_sources, ',') AS event_independent_sources, ec.event_id AS related_article_ids
+  FROM m LEFT JOIN ec USING (event_id)""", *[(n, s.replace("(doc_id % 97 AS VARCHAR) AS event_id", "(doc_id % 97 AS VARCHAR) AS event_key, CASE WHEN doc_id % 10 <> 0 THEN 'e' || CAST(doc_id % 97 AS VARCHAR) END AS event_id") if n == "m" else s) for n, s in _EV], ("ec", f"SELECT *, {_EXPLAIN} AS explained FROM cf WHERE event_id IS NOT NULL")),
     "J3_delete_matching": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
     "F2_look_back": "SELECT count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE ts >= TIMESTAMP '2024-01-17 00:00:00'",
     "K2_upsert": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0",
     "K3_insert_ignore": "SELECT l_linenumber, count(*) AS n FROM (SELECT DISTINCT ON (l_orderkey, l_suppkey) * FROM (SELECT l_orderkey, l_suppkey, l_linenumber FROM lineitem) ORDER BY l_orderkey, l_suppkey, l_linenumber) GROUP BY 1",
     "K1_save_issue": "SELECT d AS issue_date, CASE WHEN d = '2026-09-17' THEN n2 ELSE n END AS n_articles, n2 AS n_read, n2 AS n_enriched FROM (VALUES ('2026-09-16'), ('2026-09-17')) v(d), (SELECT count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS n2 FROM documents)",
     "S10_latest_issue": "SELECT max(strftime(ts, '%Y-%m-%d')) AS issue_date FROM events",
-    "P18_page_text_patterns": "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages",
-    "P19_usable_text": """SELECT doc_id, length(x) AS n, kind, length(x) < 250 AS short FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN text WHEN doc_id % 3 = 0 THEN text[:100] WHEN doc_id % 2 = 0 AND length(trim(text[:60])) >= 50 THEN text[:60] ELSE 'short' END AS x,
-  CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 'rss_content' WHEN doc_id % 3 = 0 THEN 'rss_summary' WHEN doc_id % 2 = 0 AND length(trim(text[:60])) >= 50 THEN 'page_extraction' ELSE 'fallback' END AS kind FROM documents)""",
+    "P18_page_text": f"""WITH x AS (SELECT page_id, list_transform(string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>|</p>'), lambda p: regexp_replace(p, '<h1>.*</h1>', ''))[2:] AS ps FROM pages),
+  y AS (SELECT page_id, list_transform(ps, lambda p: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '[ \\t]+', ' ', 'g'))) AS ps FROM x),
+  z AS (SELECT page_id, array_to_string(list_filter(ps, lambda p: length(p) > 25 AND NOT regexp_matches(lower(p), '{"|".join(BOILERPLATE)}')), chr(10) || chr(10)) AS t FROM y)
+  SELECT page_id, CASE WHEN length(t) > {MOST_CHARS} THEN regexp_replace(left(t, {MOST_CHARS}), ' [^ ]*$', '') || '…' ELSE t END AS text FROM z""",
+    "S8_page_fetch": """SELECT doc_id, h NOT IN (0, 7) AND NOT (h = 1 AND no) AS allowed, CASE WHEN h IN (0, 2, 7) OR h = 1 AND no THEN -1 WHEN doc_id % 10 = 0 THEN 500 ELSE 200 END AS status,
+  CASE WHEN h IN (0, 2, 7) OR h = 1 AND no OR doc_id % 10 = 0 THEN '' ELSE 'Page ' || doc_id || ' has one paragraph of some length.' END AS text FROM (SELECT doc_id, doc_id % 8 AS h, doc_id % 3 = 0 AS no FROM documents)""",
+    "S9_redirects": "SELECT doc_id, CASE WHEN doc_id % 8 = 7 AND doc_id % 2 = 1 THEN 'https://target.example/' || doc_id ELSE 'https://' || CASE WHEN doc_id % 8 = 7 THEN 'news.google.com' ELSE 'h' || (doc_id % 8) || '.example' END || CASE WHEN doc_id % 3 = 0 THEN '/no' ELSE '/yes' END || '/p-' || doc_id END AS url FROM documents",
+    "A17_feeds_ok": f"SELECT {len(rules.FEEDS)} - count(DISTINCT doc_id % 50) AS feeds_ok, {len(rules.FEEDS)} AS feeds_total FROM documents WHERE doc_id % 7 = 0 AND doc_id % 50 % 2 = 0 AND doc_id % 50 < {len(rules.FEEDS)}",
+    "P23_display": duck.with_articles("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN coalesce(nullif(excerpt, ''), title) WHEN hangul THEN title || '. Updates in the ' || en || ' sector reported by ' || publisher || '.' WHEN trim(excerpt) <> '' THEN trim(excerpt) ELSE title || '. Strategic updates in the ' || en || ' ecosystem.' END AS display_summary_en,
+  en AS category_label_en, coalesce(strftime(make_timestamp(published_s * 1000000), '%Y-%m-%d %H:%M'), '') AS published_time, CASE WHEN len(topics) > 0 THEN array_to_string(topics[:3], ', ') ELSE ko || ' (' || en || ')' END AS topics_display, publisher AS publisher_display,
+  CASE WHEN len(entities) > 0 THEN '주요 기업/모델 (Entities): ' || array_to_string(entities[:4], ', ') ELSE '' END AS points FROM t""", *_TEMPLATE),
+    "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)",
+    "P19_usable_text": """SELECT doc_id, length(x) AS n, kind, length(x) < 250 AS short FROM (SELECT doc_id, CASE WHEN any_text AND (lang <> 'es' OR long_text) THEN text ELSE 'short' END AS x,
+  CASE WHEN any_text AND lang IN ('en', 'fr') THEN 'rss_content' WHEN any_text AND lang = 'de' THEN 'rss_summary' WHEN long_text AND lang = 'es' THEN 'page_extraction' ELSE 'fallback' END AS kind
+  FROM (SELECT doc_id, text, lang, length(trim(coalesce(text, ''))) > 0 AS any_text, length(trim(coalesce(text, ''))) >= 50 AS long_text FROM documents))""",
     "P22_model_summary": duck.with_articles("SELECT doc_id, CASE WHEN NOT contains(title, 'GPT') THEN upper(title) WHEN trim(excerpt) <> '' THEN trim(excerpt) ELSE title || '. Strategic updates in the ' || en || ' ecosystem.' END AS summary_en FROM t", *duck.classified(), ("t", "SELECT *, " + duck.case([(f"primary_category = {duck.q(k)}", duck.q(v[1])) for k, v in rules.CATEGORIES.items()], "''") + " AS en FROM c")),
     "stream_first_by_url": "SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY 1",
 }

@@ -189,9 +189,7 @@ def j7(spark, d):
 def j9(spark, d):
     """Stories within 72 hours of one another that share a model, counted."""
     a = _features(spark, d).select("pos", "published_s", F.explode("f_models").alias("model"))
-    b = a.select(F.col("pos").alias("pos2"), F.col("published_s").alias("s2"), "model")
-    near = a.join(b, "model").filter((F.col("pos") < F.col("pos2")) & (F.abs(F.col("published_s") - F.col("s2")) <= 72 * 3600))
-    return near.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    return similarity.near_in_time(a, "model", "pos", "published_s").groupBy(F.col("key").alias("model")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def o2(spark, d):
@@ -298,7 +296,7 @@ ORACLES = {
     "scores": duck.with_articles("SELECT doc_id, source_score, evidence_quality_score, relevance_score, impact_score, novelty_score, recency_score, priority_score FROM s", *_SCORED),
     "score_explanation": duck.with_articles(f"SELECT doc_id, array_to_string(CASE WHEN len(r) > 0 THEN r[:3] ELSE ['General AI ecosystem reference'] END, ' · ') AS evidence_explanation_en FROM (SELECT doc_id, {_REASONS} AS r FROM (SELECT *, CASE WHEN lv = 'research' AND {_PRE} THEN 'preprint' ELSE lv END AS explained FROM (SELECT *, {_LEVEL} AS lv FROM s)))", *_SCORED),
     "priority_level": duck.with_articles(f"SELECT doc_id, {duck.level()} AS level, round_even(priority_score, 0)::INT AS score FROM s", *_SCORED),
-    "J8_novelty_past": duck.with_articles("SELECT DISTINCT x.doc_id FROM z x JOIN z y ON x.doc_id % 3 = 0 AND y.doc_id % 3 = 1 AND y.doc_id < 200 AND x.url <> y.url AND len(list_intersect(x.t, y.t)) >= 4 AND len(list_intersect(x.t, y.t)) / greatest(len(x.t), len(y.t)) >= 0.75", ("z", f"SELECT doc_id, url, {duck.tokens(duck.plain('title'), rules.NOVELTY_STOP_WORDS, 3)} AS t FROM a")),
+    "J8_novelty_past": duck.with_articles("SELECT DISTINCT x.doc_id FROM z x JOIN z y ON y.doc_id < x.doc_id AND x.url <> y.url AND len(list_intersect(x.t, y.t)) >= 4 AND len(list_intersect(x.t, y.t)) / greatest(len(x.t), len(y.t)) >= 0.75", ("z", f"SELECT doc_id, url, {duck.tokens(duck.plain('title'), rules.NOVELTY_STOP_WORDS, 3)} AS t FROM a")),
     "D1_url_dedupe": duck.with_articles("SELECT min(seq) AS doc_id FROM k GROUP BY url_key", *_DK),
     "D2_title_dedupe": duck.with_articles("SELECT min(seq) AS doc_id FROM k GROUP BY publisher_key, title_key", *_DK),
     "D3_similar_titles": duck.with_articles("SELECT x.seq AS u, y.seq AS v FROM k x JOIN k y ON x.publisher_key = y.publisher_key AND x.seq < y.seq AND list_has_any(x.tokens, y.tokens) AND " + duck.similar(("x.title_key", "y.title_key"), ("x.numbers", "y.numbers"), ("x.tokens", "y.tokens")), *_DK),

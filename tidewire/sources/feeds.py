@@ -176,6 +176,11 @@ def feed_health(raw: DataFrame, feeds: DataFrame) -> DataFrame:
     )
 
 
+def health_ok(health: DataFrame) -> DataFrame:
+    """One row: how many feeds answered, and how many there are."""
+    return health.agg(F.count_if(F.col("status") == "ok").alias("feeds_ok"), F.count(F.lit(1)).alias("feeds_total"))
+
+
 def warnings(raw: DataFrame, feeds: DataFrame) -> DataFrame:
     """``name: error`` of each failed feed, and its two parts."""
     named = raw.filter("error is not null").join(F.broadcast(feeds.select(F.col("id").alias("feed_id"), "name")), "feed_id")

@@ -380,7 +380,39 @@ _SCORED = duck.scored()
 _PRIMARY = ("pr", "SELECT *, row_number() OVER (PARTITION BY doc_id % 97 ORDER BY (is_official)::INT DESC, coalesce(nullif(p, 0), p) DESC, source_authority DESC, doc_id) AS rk FROM m")
 _FEATURED = ("ft", "SELECT s.* FROM s, (SELECT count(*) FILTER (priority_score >= 60) AS n0, count(*) FILTER (priority_score >= 45) AS n1, count(*) FILTER (priority_score >= 30) AS n2 FROM s) c WHERE priority_score >= CASE WHEN n0 >= 3 THEN 60 WHEN n1 >= 3 THEN 45 WHEN n2 > 0 THEN 30 ELSE -1 END")
 
+
+
+def _sections(room: int = rules.SECTION_ROOM) -> list[tuple[str, str]]:
+    """Sections one after another: each takes its best of what is left; the first ones by place that none took go to the
+    first section."""
+    steps, taken = [], "SELECT NULL::BIGINT AS doc_id"
+    for i, (_, category) in enumerate(rules.SECTIONS):
+        steps.append((f"g{i}", f"SELECT doc_id, priority_score AS w, row_number() OVER (ORDER BY priority_score DESC, doc_id) - 1 AS place FROM ft WHERE primary_category = {duck.q(category)} AND doc_id NOT IN (SELECT doc_id FROM ({taken}) WHERE doc_id IS NOT NULL) QUALIFY place < {room}"))
+        taken += f" UNION ALL SELECT doc_id FROM g{i}"
+    steps.append(("rest", f"SELECT doc_id, priority_score AS w FROM ft WHERE doc_id NOT IN (SELECT doc_id FROM ({taken}) WHERE doc_id IS NOT NULL) ORDER BY doc_id LIMIT {room}"))
+    steps.append(("first", f"SELECT doc_id, row_number() OVER (ORDER BY w DESC, late, p) - 1 AS place FROM (SELECT doc_id, w, 0 AS late, place AS p FROM g0 UNION ALL SELECT doc_id, w, 1, doc_id FROM rest) QUALIFY place < {room}"))
+    return steps
+
+
+_SHOWN = " UNION ALL ".join(f"SELECT {duck.q(name)} AS section, {i} AS section_pos, place::INT AS place, doc_id::VARCHAR AS article_id FROM {'first' if i == 0 else f'g{i}'}" for i, (name, _) in enumerate(rules.SECTIONS))
+_SEEN = [
+    *_EV,
+    ("tr0", """SELECT m.doc_id, trim(publisher) AS who, evidence_level AS lv, source_type AS kind, is_primary_source, is_discovery_source, string_split(cf.related_sources, ',') AS rel, verification_status AS given, confidence_label AS had,
+  list_transform(list_concat(primary_sources, independent_sources), lambda x: lower(x)) AS named, coalesce(nullif(source_authority, 0), 70) >= 90 AS strong,
+  is_official OR is_primary_source OR source_type = 'official' OR evidence_level = 'primary' AS official, is_independent_source OR evidence_level = 'independent' AS alone FROM m JOIN cf USING (event_id)"""),
+    ("tr1", """SELECT *, lv = 'research' OR kind = 'research' AS paper, lv = 'industry_media' OR kind IN ('media', 'korean_media') AS press FROM tr0"""),
+    ("tr2", """SELECT *, CASE WHEN given NOT IN ('', 'insufficient_evidence') THEN given WHEN len(rel) > 1 THEN 'multi_source' WHEN official THEN 'primary_only' WHEN alone THEN 'independently_reported' WHEN paper THEN 'primary_only' WHEN press THEN 'independently_reported'
+  WHEN lv = 'discovery' OR is_discovery_source THEN 'discovery_only' ELSE 'insufficient_evidence' END AS status FROM tr1"""),
+]
+_BADGE = duck.case([(f"lv = {duck.q(k)}", duck.q(v[1])) for k, v in present.BADGES.items()], duck.q(present.BADGES["industry_media"][1]))
+_LEVEL_SAID = duck.case([(f"lv = {duck.q(k)}", duck.q(v[1])) for k, v in present.LEVEL_SAID.items()], "'Aggregator / Discovery'")
+
 ORACLES = {
+    "O6_sections": duck.with_articles(_SHOWN, *_SCORED, _FEATURED, *_sections()),
+    "P25_transparency": duck.with_articles(f"""SELECT doc_id, {_BADGE} AS badge_en, status, CASE WHEN status = 'multi_source' THEN 'Multi-source independent reporting' WHEN status = 'independently_reported' THEN 'Primary + independent reporting'
+  WHEN status = 'primary_only' AND paper AND NOT (is_primary_source OR kind = 'official') THEN 'Research publication' WHEN status = 'primary_only' THEN 'Primary announcement' WHEN status = 'discovery_only' THEN 'Aggregator discovery' ELSE {_LEVEL_SAID} END AS evidence_label_en,
+  CASE WHEN had <> '' AND NOT (had = 'Low' AND status IN ('multi_source', 'independently_reported', 'primary_only')) THEN had WHEN status = 'multi_source' OR official AND alone THEN 'High' WHEN official OR alone OR paper THEN CASE WHEN strong THEN 'High' ELSE 'Medium' END WHEN press THEN 'Medium' ELSE 'Low' END AS confidence_label,
+  array_to_string(rel[:4], ' · ') || CASE WHEN len(rel) > 4 THEN ' (+' || (len(rel) - 4) || ')' ELSE '' END AS sources_display, len(list_filter(rel, lambda x: NOT list_contains(named, lower(x)))) AS n_other FROM tr2""", *_SEEN),
     "A1_publisher_levels": duck.with_articles("SELECT event_id, pk AS publisher_key, array_to_string(list_sort(list(DISTINCT evidence_level)), ',') AS levels FROM m GROUP BY 1, 2", *_M),
     "A2_publisher_strength": duck.with_articles("SELECT * FROM st", *_M, _STRONG),
     "A3_event_evidence": duck.with_articles("SELECT event_id, array_to_string(evidence_sources, ',') AS evidence_sources, array_to_string(primary_sources, ',') AS primary_sources, array_to_string(independent_sources, ',') AS independent_sources, evidence_diversity, verification_status FROM ev", *_EV),

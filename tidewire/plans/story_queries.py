@@ -224,6 +224,22 @@ _KEYS_CTE = _FEED_CTE + ", keys AS (SELECT k, arg_min(id, rank) AS feed_id, arg_
 _NORMAL = duck.normal()
 _SCORED = duck.scored()
 _DK = [("k", f"SELECT doc_id AS seq, {duck.url('url')} AS url_key, {duck.publisher('publisher')} AS publisher_key, {duck.clean_title('title')} AS title_key, {duck.numbers('title')} AS numbers, {duck.title_tokens('title')} AS tokens FROM a")]
+
+
+def _suppression(body: str, old: str = "false") -> str:
+    """The decision row by row: a recursive step takes the next row unless what is kept so far conflicts with it. Rows that
+    ``old`` holds for are kept from the start."""
+    alike = duck.similar(("x.title_key", "y.title_key"), ("x.numbers", "y.numbers"), ("x.tokens", "y.tokens"))
+    steps = [
+        ("k0", "SELECT *, " + old + " AS old FROM k WHERE url_key <> '' AND title_key <> ''"),
+        ("conf", f"SELECT y.seq AS v, list(x.seq) AS us FROM k0 x JOIN k0 y ON NOT y.old AND (x.old OR x.seq < y.seq) AND (x.url_key = y.url_key OR x.publisher_key = y.publisher_key AND (x.title_key = y.title_key OR list_has_any(x.tokens, y.tokens) AND {alike})) GROUP BY 1"),
+        ("o", "SELECT seq, row_number() OVER (ORDER BY seq) AS i, coalesce(us, []) AS us FROM k0 LEFT JOIN conf ON v = seq WHERE NOT old"),
+    ]
+    loop = "r(i, kept) AS (SELECT 0::BIGINT, coalesce((SELECT list(seq) FROM k0 WHERE old), []::BIGINT[]) UNION ALL SELECT o.i, CASE WHEN list_has_any(o.us, r.kept) THEN r.kept ELSE list_append(r.kept, o.seq) END FROM r JOIN o ON o.i = r.i + 1)"
+    done = "d AS (SELECT seq, list_contains((SELECT kept FROM r ORDER BY i DESC LIMIT 1), seq) AS kept FROM o)"
+    return duck.with_articles("", *_DK, *steps).replace("WITH a AS", "WITH RECURSIVE a AS", 1).rstrip() + f",\n{loop},\n{done}\n{body}"
+
+
 _SAID = [("explained = " + duck.q(k), duck.q(v[1])) for k, v in score.SAID_OF_EVIDENCE.items()]
 _PRE = duck.parts("(lower(source) || ' ' || lower(publisher) || ' ' || lower(url))", score.PREPRINT)
 _LEVEL = duck.case([("is_discovery_source OR source_type = 'aggregator' OR contains(lower(source), 'google news')", "'discovery'"), ("is_primary_source AND evidence_level <> 'discovery'", "'primary'"), ("is_independent_source AND evidence_level NOT IN ('discovery', 'industry_media', 'community')", "'independent'")], "evidence_level")
@@ -300,6 +316,10 @@ ORACLES = {
     "D1_url_dedupe": duck.with_articles("SELECT min(seq) AS doc_id FROM k GROUP BY url_key", *_DK),
     "D2_title_dedupe": duck.with_articles("SELECT min(seq) AS doc_id FROM k GROUP BY publisher_key, title_key", *_DK),
     "D3_similar_titles": duck.with_articles("SELECT x.seq AS u, y.seq AS v FROM k x JOIN k y ON x.publisher_key = y.publisher_key AND x.seq < y.seq AND list_has_any(x.tokens, y.tokens) AND " + duck.similar(("x.title_key", "y.title_key"), ("x.numbers", "y.numbers"), ("x.tokens", "y.tokens")), *_DK),
+    "D4_fuzzy_dedupe": _suppression("SELECT * FROM d"),
+    "D5_lookback_dedupe": _suppression("SELECT * FROM d", "seq % 4 = 0"),
+    "D6_suppression_count": _suppression("SELECT count(*) FILTER (NOT kept) AS suppressed, count(*) FILTER (kept) AS kept FROM d"),
+    "stream_exact_dedupe": _suppression("SELECT seq FROM d WHERE kept"),
     "F1_empty_keys": duck.with_articles(f"SELECT doc_id FROM a WHERE doc_id % 9 <> 0 AND doc_id % 10 <> 0 AND {duck.clean_title('title')} <> ''"),
     "J7_event_similarity": duck.with_articles("SELECT u, v, round_even(similarity, 6) AS similarity FROM w3 WHERE similarity >= 0.6::DOUBLE * 0.65::DOUBLE", *_FEATURES, *_similarity_steps()),
     "J9_time_band": duck.with_articles("SELECT m AS model, count(*) AS n FROM (SELECT pos, published_s, unnest(models) AS m FROM g) x JOIN (SELECT pos AS pos2, published_s AS s2, unnest(models) AS m FROM g) y USING (m) WHERE pos < pos2 AND abs(published_s - s2) <= 259200 GROUP BY 1", *_FEATURES),

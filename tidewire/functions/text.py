@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import cache
+from string import ascii_lowercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -174,18 +176,93 @@ def matches(text: Column, pattern: str) -> Column:
     return text.rlike(UNICODE + pattern)
 
 
+def _branches(words: list[str]) -> str:
+    """One pattern for all words, that tries longer ones first and each beginning once."""
+    after: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            after.setdefault(w[0], []).append(w[1:])
+    parts = [re.escape(c) + _branches(rest) for c, rest in sorted(after.items())]
+    if not parts:
+        return ""
+    one = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+    return f"(?:{one})?" if "" in words else one
+
+
+class Lexicon:
+    """Names with words that stand for them. All are looked for in one pass over a text: at each place where a word may
+    begin the longest that stands there is taken; shorter ones that it begins with are known beforehand.
+
+    ``whole`` words are looked for between edges, others anywhere. ``edges`` are what is before and after a whole word;
+    ``parted`` says whether two neighbouring characters within a word are such an edge."""
+
+    def __init__(self, lists: dict[str, Iterable[str]], whole: Callable[[str], bool], edges: tuple[str, str] = (r"\b", r"\b"), parted: Callable[[str, str], bool] | None = None):
+        named: dict[str, set[str]] = {}
+        for name, words in lists.items():
+            for w in words:
+                named.setdefault(w, set()).add(name)
+        parted = parted or (lambda a, b: bool(re.match(r"\w", a)) != bool(re.match(r"\w", b)))
+        self.patterns, self.names = [], {}
+        for kind in (True, False):
+            own = sorted(w for w in named if w and bool(whole(w)) is kind)
+            if not own:
+                continue
+            before, after = edges if kind else ("", "")
+            if before == r"\b" and all(re.match(r"\w", w) for w in own):
+                before = r"(?<![a-z0-9_])\b"  # most places are ruled out without the tables of Unicode
+            self.patterns.append(f"{UNICODE if kind else ''}{before}(?=({_branches(own)}){after})")
+            for w in own:
+                begun = [v for v in own if w.startswith(v) and (v == w or not kind or parted(w[len(v) - 1], w[len(v)]))]
+                self.names[w] = sorted(set().union(*(named[v] for v in begun)))
+
+    def found(self, text: Column) -> Column:
+        """The names whose words are in the text, each once, in no order; null text has none."""
+        hits = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in self.patterns)))
+        # One literal for the whole table, folded once; its separators are in no word.
+        told = F.str_to_map(F.lit("\x1d".join(f"{w}\x1e" + "\x1f".join(names) for w, names in self.names.items())), F.lit("\x1d"), F.lit("\x1e"))
+        names = F.flatten(F.transform(F.array_distinct(hits), lambda w: F.split(F.element_at(told, w), "\x1f")))
+        return F.array_distinct(F.coalesce(names, strings([])))
+
+
+def _hangul(word: str) -> bool:
+    return bool(re.search("[가-힣]", word))
+
+
+@cache
+def entity_lexicon() -> Lexicon:
+    return Lexicon({e[0]: [e[0].lower(), *rules.words(e[4])] for e in rules.ENTITIES}, lambda w: not _hangul(w))
+
+
 def entities_in(text: Column | str) -> Column:
     """Sorted names of the entities mentioned."""
-    low = F.lower(col(text))
-    tests = {}
-    for name, _, _, _, aliases in sorted(rules.ENTITIES):
-        tests[name] = matches(low, alias_pattern(dict.fromkeys([name.lower(), *rules.words(aliases)])))
-    return names_where(tests)
+    return F.array_sort(entity_lexicon().found(F.lower(col(text))))
+
+
+@cache
+def topic_lexicon() -> Lexicon:
+    """The topics' patterns are words, between edges or not; a letter before a question mark may be missing, and any letter
+    may stand for one."""
+    lists, whole = {}, set()
+    for name, pattern in rules.TOPICS.items():
+        lists[name] = []
+        for part in pattern.split("|"):
+            words = [part.removeprefix(r"\b").removesuffix(r"\b")]
+            while "?" in words[0]:
+                words = [v for w in words for v in (w.replace("?", "", 1), w[: w.index("?") - 1] + w[w.index("?") + 1 :])]
+            while "[a-z]" in words[0]:
+                words = [w.replace("[a-z]", c, 1) for w in words for c in ascii_lowercase]
+            edges = part.startswith(r"\b") + part.endswith(r"\b")
+            if edges == 1 or any(re.search(r"[\\()\[\].*+]", w) for w in words):
+                raise ValueError(f"not a list of words: {pattern}")
+            lists[name] += words
+            whole.update(words if edges else ())
+    return Lexicon(lists, whole.__contains__)
 
 
 def topics_in(text: Column | str) -> Column:
-    low = F.lower(col(text))
-    return names_where({n: matches(low, p) for n, p in rules.TOPICS.items()})
+    """Topics in the order of the rules."""
+    found = topic_lexicon().found(F.lower(col(text)))
+    return F.array_intersect(strings(rules.TOPICS), found)
 
 
 def models_in(text: Column | str) -> Column:
@@ -196,7 +273,7 @@ def models_in(text: Column | str) -> Column:
 
 def keyed(text: Column, lists: dict[str, str]) -> Column:
     """Sorted names of the keyword lists that the lower-case text matches."""
-    return F.array_sort(names_where({n: matches(text, keyword_pattern(rules.words(k))) for n, k in lists.items()}))
+    return F.array_sort(Lexicon({n: rules.words(k) for n, k in lists.items()}, _ASCII_KEYWORD.fullmatch).found(text))
 
 
 def effective_actions(actions: Column, themes: Column) -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire import rules
-from tidewire.functions.text import contains_any, matches, novelty_tokens
+from tidewire.functions.text import Lexicon, contains_any, matches, novelty_tokens, strings
 from tidewire.operators.graph import cut
 
 PREPRINT = ("arxiv", "biorxiv", "medrxiv", "preprint")
@@ -77,9 +78,14 @@ def core_terms_found() -> Column:
 
     Every topic and tag is part of the text, but its edges need not be, so both are looked at.
     """
-    text, own = _wide_text(), F.transform(F.concat("topics", "tags"), F.lower)
-    tests = [matches(text, rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])") | F.array_contains(own, t) for t in rules.CORE_TOPICS]
-    return sum((t.cast("int") for t in tests), F.lit(0))
+    own = F.array_intersect(F.transform(F.concat("topics", "tags"), F.lower), strings(rules.CORE_TOPICS))
+    return F.size(F.array_union(core_lexicon().found(_wide_text()), F.coalesce(own, strings([]))))
+
+
+@cache
+def core_lexicon() -> Lexicon:
+    inner = re.compile("[a-z0-9]")
+    return Lexicon({t: [t] for t in rules.CORE_TOPICS}, lambda w: True, ("(?<![a-z0-9])", "(?![a-z0-9])"), lambda a, b: not inner.match(b))
 
 
 def relevance() -> Column:

@@ -102,14 +102,19 @@ def p26(spark, d):
     return n.select("doc_id", F.array_join(present.regions(), ",").alias("regions"), F.array_join(present.topic_keys(), ",").alias("topics"), present.source_kind().alias("kind"))
 
 
+def issue(spark, d):
+    """Scored stories as an issue keeps them: written once, as the dashboard reads them from the store."""
+    return cut(scored(spark, d))
+
+
 def a13(spark, d):
     """Stories by priority level."""
-    return present.priority_counts(scored(spark, d))
+    return present.priority_counts(issue(spark, d))
 
 
 def o5(spark, d):
     """The five stories of the highest level and score."""
-    return present.top_prioritised(scored(spark, d), 5, "doc_id").select("doc_id", "level", "rounded")
+    return present.top_prioritised(issue(spark, d), 5, "doc_id").select("doc_id", "level", "rounded")
 
 
 def f3(spark, d):
@@ -119,13 +124,13 @@ def f3(spark, d):
 
 def o6(spark, d):
     """Sections, with room for six."""
-    s = scored(spark, d).withColumns({"article_id": F.col("doc_id").cast("string"), "position": F.col("doc_id")})
+    s = issue(spark, d).withColumns({"article_id": F.col("doc_id").cast("string"), "position": F.col("doc_id")})
     return present.sections(s)
 
 
 def p23(spark, d):
     """What is shown, with fallbacks."""
-    t = present.with_display(scored(spark, d).withColumn("summary_en", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("summary_en"))))
+    t = present.with_display(issue(spark, d).withColumn("summary_en", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("summary_en"))))
     return t.select("doc_id", "display_summary_en", "category_label_en", "published_time", "topics_display", "publisher_display", F.array_join("display_key_points", "|").alias("points"))
 
 
@@ -139,24 +144,24 @@ def p25(spark, d):
 
 def f4(spark, d):
     """All facets of the dashboard at once."""
-    n = scored(spark, d).withColumns({"regions": present.regions(), "topic_keys": present.topic_keys(), "source_kind": present.source_kind(), "level": score.priority_level()})
+    n = issue(spark, d).withColumns({"regions": present.regions(), "topic_keys": present.topic_keys(), "source_kind": present.source_kind(), "level": score.priority_level()})
     return present.filter_dashboard(n, region="us", topic="frontier_models", source="industry_media").select("doc_id", "level")
 
 
 def f5(spark, d):
     """Search and equality in the table."""
-    return present.filter_table(scored(spark, d), "  OpenAI ", source_type="media").select("doc_id")
+    return present.filter_table(issue(spark, d), "  OpenAI ", source_type="media").select("doc_id")
 
 
 def o9(spark, d):
     """The third page of twenty stories, by priority."""
-    s = scored(spark, d).select("doc_id", "priority_score")
+    s = issue(spark, d).select("doc_id", "priority_score")
     return present.page(s, 3, 20, [F.col("priority_score").desc(), F.col("doc_id").asc()])
 
 
 def o8(spark, d):
     """The table sorted by publisher, with a place."""
-    return present.placed_table(scored(spark, d).select("doc_id", "source"), "source", False, "doc_id")
+    return present.placed_table(issue(spark, d).select("doc_id", "source"), "source", False, "doc_id")
 
 
 def a15(spark, d):
@@ -305,7 +310,7 @@ def k6(spark, d):
     """The plain-text edition."""
     from tidewire.operators.mail import issue_text
 
-    s = present.with_display(scored(spark, d)).withColumns({"article_id": F.col("doc_id").cast("string"), "position": F.col("doc_id")})
+    s = present.with_display(issue(spark, d)).withColumns({"article_id": F.col("doc_id").cast("string"), "position": F.col("doc_id")})
     s = cut(s)
     return issue_text(s.join(present.sections(s), "article_id"), "2026-09-17").select("total", "critical", "high", F.length("text").alias("n_chars"))
 

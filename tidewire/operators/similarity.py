@@ -122,7 +122,7 @@ def near_in_time(rows: DataFrame, key: str, pos: str, seconds: str, hours: float
     return met.select("key", F.least("pa", "pb").alias("u"), F.greatest("pa", "pb").alias("v"))
 
 
-CARRIED = ("article_id", "canonical_url", "url", "published_at")
+IDENTITIES = ("article_id", "canonical_url", "url")
 
 
 def similar_articles(features: DataFrame, least: float, order: str = "pos", window_hours: float = rules.WINDOW_HOURS) -> DataFrame:
@@ -130,27 +130,40 @@ def similar_articles(features: DataFrame, least: float, order: str = "pos", wind
 
     A pair that shares no word, entity, model, id or address stays at 0.30 or below, so stories meet on those. Words, names
     and models meet within the window only: each story stands in the cell of its own time and, on one side, in the cells
-    beside it. Identities meet at any time. A pair is judged once however many keys it shares.
+    beside it. Stories of one cell with the same features are one class; classes meet and are judged, and only the members
+    of similar classes are paired, so that repeated stories cost their pairs once and not once for each shared word.
+    Identities meet at any time. ``order`` has no repeated values.
     """
     if least <= 0.30:
         raise ValueError("below 0.30 pairs that share nothing would count")
-    cell = F.floor(F.unix_micros("published_at") / F.lit(int(window_hours * 3600 * 1e6)))
+    wanted = [c for c in features.columns if c.startswith("f_")]
+    seconds = F.unix_micros("published_at")
+    cell = F.floor(seconds / F.lit(int(window_hours * 3600 * 1e6)))
+    print_ = F.sha2(F.to_json(F.struct(*wanted, cell.alias("cell"))), 256)
+    base = features.select(F.col(order).alias("pos"), *IDENTITIES, seconds.alias("at"), cell.alias("cell"), print_.alias("g"), *wanted)
+    classes = cut(base.groupBy("g").agg(F.first("cell").alias("cell"), *(F.first(c).alias(c) for c in wanted)))
     tagged = lambda c, t: F.transform(c, lambda v: F.concat(F.lit(t), v))
     keys = F.concat(tagged(F.col("f_tokens"), "t:"), tagged(F.col("f_entities"), "e:"), tagged(F.col("f_models"), "m:"))
-    same = F.filter(F.array(F.col("article_id"), F.col("canonical_url"), F.col("url")), lambda v: v.isNotNull() & (v != ""))
-    base = features.select(F.col(order).alias("pos"), cell.alias("cell"), keys.alias("keys"), same.alias("same"))
-    cells = F.when(F.col("cell").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array("cell"))
-    beside = F.when(F.col("cell").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("cell") + d))
-    placed = lambda at: base.withColumn("at", at).select("pos", F.explode("keys").alias("k"), "at").select("pos", "k", F.explode("at").alias("cell"))
-    a, b = placed(cells), placed(beside)
-    u, v = a.select(F.col("pos").alias("u"), "k", "cell"), b.select(F.col("pos").alias("v"), "k", "cell")
-    timed = u.filter("cell is not null").join(v.filter("cell is not null"), ["k", "cell"]).select("u", "v")
-    timeless = v.filter("cell is null").select(F.col("v"), "k")
-    anytime = base.select(F.col("pos").alias("u"), F.explode("keys").alias("k")).join(timeless, "k").select("u", "v")
-    own = base.select("pos", F.explode("same").alias("k"))
-    identical = own.select(F.col("pos").alias("u"), "k").join(own.select(F.col("pos").alias("v"), "k"), "k").select("u", "v")
-    met = timed.unionByName(anytime).unionByName(identical).filter("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    wanted = [c for c in features.columns if c.startswith("f_")] + list(CARRIED)
-    side = lambda p, key: features.select(F.col(order).alias(key), *(F.col(c).alias(f"{p}{c}") for c in wanted))
-    scored = met.join(side("a_", "u"), "u").join(side("b_", "v"), "v").select("u", "v", pair_similarity(window_hours=window_hours).alias("similarity"))
-    return cut(scored.filter(F.col("similarity") >= least))
+    keyed = classes.select("g", "cell", F.explode(keys).alias("k"))
+    beside = keyed.filter("cell is not null").select(F.col("g").alias("h"), "k", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("cell") + d)).alias("cell"))
+    timed = keyed.filter("cell is not null").join(beside, ["k", "cell"]).select("g", "h")
+    anytime = keyed.select("g", "k").join(keyed.filter("cell is null").select(F.col("g").alias("h"), "k"), "k").select("g", "h")
+    met = timed.unionByName(anytime).filter("g <= h").unionByName(anytime.filter("g > h").select(F.col("h").alias("g"), F.col("g").alias("h"))).distinct()
+    # Classes are judged by what they say; whether two of their members are one story, or too far apart, is asked later.
+    nobody = [F.lit(None).cast("string").alias(c) for c in IDENTITIES] + [F.lit(None).cast("timestamp").alias("published_at")]
+    told = classes.select("g", *wanted, *nobody)
+    side = lambda p, key: told.select(F.col("g").alias(key), *(F.col(c).alias(f"{p}{c}") for c in (*wanted, *IDENTITIES, "published_at")))
+    judged = met.join(side("a_", "g"), "g").join(side("b_", "h"), "h").select("g", "h", pair_similarity(window_hours=window_hours).alias("similarity"))
+    judged = cut(judged.filter(F.col("similarity") >= least))
+    members = cut(base.select("pos", "g", "at", *IDENTITIES))
+    one = members.select(F.col("g"), *(F.col(c).alias(f"a_{c}") for c in ("pos", "at", *IDENTITIES)))
+    two = members.select(F.col("g").alias("h"), *(F.col(c).alias(f"b_{c}") for c in ("pos", "at", *IDENTITIES)))
+    same = F.lit(False)
+    for c in IDENTITIES:
+        same = same | F.coalesce((F.col(f"a_{c}") == F.col(f"b_{c}")) & (F.col(f"a_{c}") != ""), F.lit(False))
+    far = F.coalesce(F.abs(F.col("a_at") - F.col("b_at")) / F.lit(1e6) / F.lit(3600.0) > window_hours, F.lit(False))
+    paired = judged.join(one, "g").join(two, "h").filter(((F.col("g") != F.col("h")) | (F.col("a_pos") < F.col("b_pos"))) & ~far & ~same)
+    like = paired.select(F.least("a_pos", "b_pos").alias("u"), F.greatest("a_pos", "b_pos").alias("v"), "similarity")
+    own = members.select("pos", *IDENTITIES).select("pos", F.posexplode(F.array(*IDENTITIES)).alias("kind", "k")).filter("k is not null and k != ''")
+    identical = own.select(F.col("pos").alias("u"), "kind", "k").join(own.select(F.col("pos").alias("v"), "kind", "k"), ["kind", "k"]).filter("u < v").select("u", "v").distinct()
+    return cut(like.unionByName(identical.withColumn("similarity", F.lit(1.0))))

@@ -65,7 +65,7 @@ def canonical_url(url: Column | str) -> Column:
     scheme, host = F.lower(part(1)), F.lower(part(2))
     path = F.regexp_replace(part(3), "/{2,}", "/")
     path = F.when((F.length(path) > 1) & path.endswith("/"), F.regexp_replace(path, "/$", "")).otherwise(path)
-    kept = F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(rules.TRACKING_PARAMS))
+    kept = F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*rules.TRACKING_PARAMS))
     query = F.array_join(F.transform(kept, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("=")))), "&")
     start = F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""))
     return F.concat(start, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
@@ -98,6 +98,7 @@ def event_id(url: Column | str) -> Column:
 
 def clean_title(title: Column | str) -> Column:
     """A title for comparison: no brackets, no publisher at the end, lower case, letters, digits and Hangul."""
+    # What goes from a title.
     t = F.regexp_replace(col(title), r"^\[.*?\]|【.*?】|\(.*?\)", " ")
     t = F.regexp_replace(t, r"(\s+[-–—]\s+|\s+\|\s+)[^–—|\-]+$", "")
     t = F.regexp_replace(F.lower(t), r"[^a-z0-9가-힣\s]", " ")
@@ -114,15 +115,18 @@ def title_tokens(title: Column | str) -> Column:
 
 
 def plain_words(text: Column | str) -> Column:
+    # Fixed value: the characters of a word.
     cleaned = F.regexp_replace(F.lower(col(text)), r"[^a-z0-9가-힣\s]", " ")
     return F.trim(F.regexp_replace(cleaned, r"\s+", " "))
 
 
 def novelty_tokens(title: Column | str) -> Column:
+    # Fixed value: the least length of a word.
     return tokens(plain_words(title), rules.NOVELTY_STOP_WORDS, 3)
 
 
 def title_numbers(title: Column | str) -> Column:
+    # Fixed value: what counts as a number.
     return sorted_set(F.regexp_extract_all(F.lower(col(title)), F.lit(r"\b\d+[a-z]?\b"), F.lit(0)))
 
 
@@ -130,6 +134,7 @@ def similar_titles(norm_a: Column, norm_b: Column, numbers_a: Column, numbers_b:
     """Equal once cleaned; or the same numbers and most words in common."""
     common = F.size(F.array_intersect(tokens_a, tokens_b))
     small, large = F.least(F.size(tokens_a), F.size(tokens_b)), F.greatest(F.size(tokens_a), F.size(tokens_b))
+    # Words and shares that two titles have in common.
     most = (common >= 4) & ((common / large >= 0.65) | (common / small >= 0.8))
     jaccard = common / F.size(F.array_union(tokens_a, tokens_b))
     near = (common >= 3) & (small >= 4) & (jaccard >= 0.75)
@@ -141,6 +146,7 @@ def similar_titles(norm_a: Column, norm_b: Column, numbers_a: Column, numbers_b:
 
 def normal_publisher(name: Column | str) -> Column:
     """One key for the spellings of a publisher: lower case, no domain end, one descriptive word less."""
+    # Ends of names.
     n = F.regexp_replace(F.lower(F.trim(col(name))), r"\.com$|\.net$|\.org$|\.io$", "")
     cut = None
     for s in rules.PUBLISHER_SUFFIXES:

@@ -85,6 +85,7 @@ def with_template_summary(df: DataFrame, category: str = "primary_category") ->
     few = lambda c: F.array_join(F.slice(F.col(c), 1, 4), ", ")
     named = F.when(F.size("entities") > 0, say("주요 기업/모델 (Entities): ", few("entities")))
     about = F.when(F.size("topics") > 0, say("핵심 분야 (Topics): ", few("topics"))).otherwise(say("핵심 분야 (Topics): ", ko, " (", en, ")"))
+    # The sentences of the templates.
     return df.withColumns(
         {
             "title_ko": F.when(hangul, title).otherwise(say("[AI 동향] ", title)),

@@ -192,6 +192,7 @@ def with_transparency(df: DataFrame) -> DataFrame:
     official = flag("is_official") | flag("is_primary_source") | (kind == "official") | (lv == "primary")
     alone = flag("is_independent_source") | (lv == "independent")
     given = c("event_verification_status")
+    # Fixed values, here and below: states, labels and the words of explanations.
     guess = (
         F.when(many, "multi_source").when(official, "primary_only").when(alone, "independently_reported").when((lv == "research") | (kind == "research"), "primary_only")
         .when((lv == "industry_media") | kind.isin("media", "korean_media"), "independently_reported")

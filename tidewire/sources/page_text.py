@@ -16,6 +16,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BODY_CLASS = re.compile(r"article[-_]?(content|body)|story[-_]?content|post[-_]?content", re.I)
 BOILERPLATE = ("cookie policy", "terms of service", "privacy policy", "all rights reserved", "subscribe to read", "sign up for newsletter", "advertisement")
 MOST_CHARS = 6000
+#: Characters of a paragraph that counts (more than), of a page that is used, and of a text that is no short
+#: excerpt.
+PARAGRAPH_CHARS, PAGE_CHARS, WHOLE_CHARS = 25, 50, 250
 
 
 class _Reader(HTMLParser):
@@ -72,7 +75,7 @@ def article_text(html: str | None, most: int = MOST_CHARS) -> str:
                 held = True
     if held or any(True for i in paragraphs if box is None):
         parts = [" ".join(p) for p in paragraphs.values() if p]
-        clean = "\n\n".join(p for p in parts if len(p) > 25 and not any(b in p.lower() for b in BOILERPLATE))
+        clean = "\n\n".join(p for p in parts if len(p) > PARAGRAPH_CHARS and not any(b in p.lower() for b in BOILERPLATE))
     else:
         clean = "\n".join(t for t, _ in inside)
     clean = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", clean)).strip()
@@ -88,12 +91,12 @@ def usable_text(content: Column, encoded: Column, summary: Column, page: Column,
     """The first text there is, as a struct (text, source_type, is_short_excerpt): the feed's content, its encoded
     content, its summary, the page if it has 50 characters, the excerpt, the title."""
     some = lambda c: F.when(F.length(F.trim(c)) > 0, c)
-    text = F.coalesce(some(content), some(encoded), some(summary), F.when(F.length(F.trim(page)) >= 50, page), F.trim(some(excerpt)), F.trim(title), F.lit(""))
+    text = F.coalesce(some(content), some(encoded), some(summary), F.when(F.length(F.trim(page)) >= PAGE_CHARS, page), F.trim(some(excerpt)), F.trim(title), F.lit(""))
     kind = (
         F.when(some(content).isNotNull() | some(encoded).isNotNull(), "rss_content").when(some(summary).isNotNull(), "rss_summary")
-        .when(F.length(F.trim(page)) >= 50, "page_extraction").otherwise("fallback")
+        .when(F.length(F.trim(page)) >= PAGE_CHARS, "page_extraction").otherwise("fallback")
     )
-    return F.struct(text.alias("text"), kind.alias("source_type"), (F.length(text) < 250).alias("is_short_excerpt"))
+    return F.struct(text.alias("text"), kind.alias("source_type"), (F.length(text) < WHOLE_CHARS).alias("is_short_excerpt"))
 
 
 __all__ = ["article_text", "page_text", "usable_text"]

@@ -176,6 +176,19 @@ def test_rewriting_templates_are_noticed():
     assert r.rewrites and r.turns[2] is None and r.turns[0] == (0, 1)
 
 
+def test_templates_that_append_give_what_prefixes_give():
+    import random
+
+    rng = random.Random(2)
+    both = chat.AppendTemplate(lambda r, t: chat.marked_template([(r, t)]), lambda r: chat.marked_template([], r))
+    odd = chat.AppendTemplate(lambda r, t: t.upper() + r, lambda r: "?")
+    for n in (0, 1, 7, 40):
+        turns = [(rng.choice(["user", "assistant"]), rng.choice(["", "x", "</s>", "a\\b\n"])) for _ in range(n)]
+        for template, plain in ((both, chat.marked_template), (odd, lambda t, c=None: odd(t, c))):
+            a, b = chat.render(turns, template), chat.render(turns, plain)
+            assert (a.text, a.turns, a.texts, a.rewrites) == (b.text, b.turns, b.texts, b.rewrites)
+
+
 def test_tiling_catches_reordered_passages(spark):
     item = "one two three four five six. Seven eight nine ten eleven twelve!"
     docs = [(1, f"x y {item} z"), (2, "Seven eight, nine ten eleven twelve and then one two THREE four five six"), (3, "one two three four five and no more"), (4, None), (5, ""), (6, "hi there"), (7, item + " " + "pad " * 50_000), (None, item)]

@@ -70,8 +70,21 @@ class Rendered:
         self.text, self.turns, self.texts, self.rewrites = text, turns, texts, rewrites
 
 
+class AppendTemplate:
+    """A template that adds to its output for each turn: ``turn(role, text)``, after ``prompt(role)`` for one to come. It is
+    rendered turn by turn, so long conversations cost their length; any other template renders each prefix anew."""
+
+    def __init__(self, turn: Callable[[str, str], str], prompt: Callable[[str], str]):
+        self.turn, self.prompt = turn, prompt
+
+    def __call__(self, turns: Turns, coming: str | None = None) -> str:
+        return "".join(self.turn(r, t) for r, t in turns) + (self.prompt(coming) if coming is not None else "")
+
+
 def render(turns: Turns, template: Template = marked_template) -> Rendered:
     """Render successive prefixes and locate each turn by comparing consecutive outputs."""
+    if isinstance(template, AppendTemplate):
+        return _appended(turns, template)
     before, spans, texts, rewrites = template([], None), [], [], False
     for k, (role, text) in enumerate(turns):
         now = template(turns[: k + 1], None)
@@ -92,6 +105,23 @@ def render(turns: Turns, template: Template = marked_template) -> Rendered:
     return Rendered(before, spans, texts, rewrites)
 
 
+def _appended(turns: Turns, template: AppendTemplate) -> Rendered:
+    """The same, of what each turn adds: nothing before it can change."""
+    parts, spans, texts, at = [], [], [], 0
+    for role, text in turns:
+        own, prompt, blank = template.turn(role, text), template.prompt(role), template.turn(role, "")
+        inside = None
+        if own.startswith(prompt) and blank.startswith(prompt):
+            tail = blank[len(prompt) :]
+            if own.endswith(tail) and len(prompt) + len(tail) <= len(own):
+                inside = (at + len(prompt), at + len(own) - len(tail))
+        parts.append(own)
+        spans.append((at, at + len(own)))
+        texts.append(inside)
+        at += len(own)
+    return Rendered("".join(parts), spans, texts, False)
+
+
 def format_conversations(
     turns: DataFrame,
     template: Template = marked_template,

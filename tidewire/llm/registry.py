@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, html_text, licenses, near_dedup, packing, shards, token_files, toxicity
+from . import chat, decontaminate, exact_dedup, fill_middle, html_text, licenses, line_dedup, near_dedup, packing, shards, spelling, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": html_text.op8_html_text,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "op11_line_dedup": line_dedup.op11_line_dedup,
+        "op12_fill_middle": fill_middle.op12_fill_middle,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.OP2_SQL, "op4_license_scan": licenses.OP4_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL, "op8_html_text": html_text.OP8_SQL}
+    return {
+        "op2_chat_format": chat.OP2_SQL,
+        "op4_license_scan": licenses.OP4_SQL,
+        "op5_exact_dedup": exact_dedup.OP5_SQL,
+        "op8_html_text": html_text.OP8_SQL,
+        "op11_line_dedup": line_dedup.OP11_SQL,
+        "op12_fill_middle": fill_middle.OP12_SQL,
+    }

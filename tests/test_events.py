@@ -54,6 +54,26 @@ def test_five_and_three_stories_make_two_events(spark):
     assert events_of(spark, rows) == want == events_of(spark, rows[::-1])
 
 
+def plain_events(rows, sims, tie, near):
+    """One pass over all stories in order, which looks at every member of every event. Rows are (pos, traits)."""
+    events, out = [], {}
+    for pos, f in rows:
+        best, best_mean = None, -1.0
+        for k, (members, about) in enumerate(events):
+            values = [sims.get((m, pos), 0.0) for m in members]
+            if max(values) < tie or min(values) < near or min(values) <= 0.0 or not cluster.agrees(f, about):
+                continue
+            mean = round(sum(values) / len(values), 12)
+            if mean > best_mean:
+                best, best_mean = k, mean
+        if best is None:
+            events.append(([pos], f))
+        else:
+            events[best] = (events[best][0] + [pos], events[best][1] | f)
+        out[pos] = events[len(events) - 1 if best is None else best][0][0]
+    return out
+
+
 @pytest.mark.parametrize("step", [1, 3])
 def test_events_match_one_pass_over_all_stories(spark, step):
     """Connected groups one by one give what a single pass over all stories, with every pair's similarity, gives."""
@@ -66,10 +86,11 @@ def test_events_match_one_pass_over_all_stories(spark, step):
     want = pairs[pairs.similarity >= near]
     key = lambda f: sorted(zip(f.u, f.v, f.similarity.round(9), strict=True))
     assert key(got) == key(want) and len(want) > 50
-    rows = placed.select("pos", "f_models", "f_entities", "f_themes", "f_effective", "f_anchors").toPandas().sort_values("pos")
-    known = {p: (list(f.u), list(f.similarity)) for p, f in pairs.groupby("v")}
-    rows["near_pos"], rows["near_sim"] = [known.get(p, ([], []))[0] for p in rows.pos], [known.get(p, ([], []))[1] for p in rows.pos]
-    plain = dict(zip(rows.pos, cluster.assign_in_order(rows, rules.SIMILARITY, near), strict=True))
+    rows = [
+        (r["pos"], cluster.Traits(*(frozenset(r[f"f_{n}"]) for n in ("models", "entities", "themes", "effective")), frozenset(map(tuple, r["f_anchors"]))))
+        for r in placed.select("pos", "f_models", "f_entities", "f_themes", "f_effective", "f_anchors").orderBy("pos").collect()
+    ]
+    plain = plain_events(rows, {(u, v): x for u, v, x in zip(pairs.u, pairs.v, pairs.similarity, strict=True)}, rules.SIMILARITY, near)
     found = {r["pos"]: r["event_pos"] for r in cluster.assign_events(s).select("pos", "event_pos").collect()}
     assert found == plain and 1 < len(set(plain.values())) < len(plain)
 

@@ -2,19 +2,25 @@
 
 To join, a story must be similar to one member, near to all members and free of conflict with what the event is about.
 An event therefore lies within one connected group of similar stories; groups are found first, and the ordered pass runs
-in each group on its own. Only features and the similarities of near pairs are sent there.
+in each group on its own. Stories with the same features in the same cell of time are one class: classes are compared, not
+stories, and an event is known by how many stories of each class it has. So a story that is told a thousand times costs a
+thousand rows, and no table of pairs is made.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire import rules
 from tidewire.functions.text import event_id
-from tidewire.operators.graph import components, cut
-from tidewire.operators.similarity import similar_articles, with_features
+from tidewire.operators.graph import components, cut, spread_join
+from tidewire.operators.similarity import class_pairs, story_classes, with_features
 
 
 def processing_order() -> list[Column]:
@@ -41,28 +47,32 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return ranged.withColumn("_local", local).join(before, "_range").withColumn(name, F.col("_before") + F.col("_local") - 1).drop("_range", "_local", "_before")
 
 
-class _Event:
-    """What is known of an event while the pass runs."""
+@dataclass(frozen=True)
+class Traits:
+    """What a class of stories says, or what all stories of an event say together."""
+
+    models: frozenset = frozenset()
+    entities: frozenset = frozenset()
+    themes: frozenset = frozenset()
+    actions: frozenset = frozenset()
+    anchors: frozenset = frozenset()
 
-    def __init__(self) -> None:
-        self.members: list[int] = []
-        self.models, self.entities, self.themes, self.actions, self.anchors = set(), set(), set(), set(), set()
+    def __or__(self, other: Traits) -> Traits:
+        return Traits(*(getattr(self, f) | getattr(other, f) for f in _TRAITS))
 
-    def add(self, pos: int, f: dict) -> None:
-        self.members.append(pos)
-        for n in ("models", "entities", "themes", "actions", "anchors"):
-            getattr(self, n).update(f[n])
 
+_TRAITS = ("models", "entities", "themes", "actions", "anchors")
 
-def _concrete(anchors: set, action: str | None = None) -> set:
+
+def _concrete(anchors: frozenset, action: str | None = None) -> set:
     return {(e, m) for a, e, m in anchors if e and m and (action is None or a == action)}
 
 
-def _allowed(mine: str, theirs: str, f: dict, ev: _Event) -> bool:
+def _allowed(mine: str, theirs: str, f: Traits, ev: Traits) -> bool:
     """Whether a conflicting pair of actions can belong to one event after all."""
-    pair, model_tie = {mine, theirs}, bool(_concrete(f["anchors"]) & _concrete(ev.anchors))
-    several, themes = len(f["entities"] & ev.entities) >= 2, f["themes"] & ev.themes
-    mine_released = "release" in f["actions"]
+    pair, model_tie = {mine, theirs}, bool(_concrete(f.anchors) & _concrete(ev.anchors))
+    several, themes = len(f.entities & ev.entities) >= 2, f.themes & ev.themes
+    mine_released = "release" in f.actions
     both_released = mine_released and "release" in ev.actions
     moves = {"office_expansion", "executive_movement"}
     if pair & moves:
@@ -72,78 +82,146 @@ def _allowed(mine: str, theirs: str, f: dict, ev: _Event) -> bool:
     if pair == {"partnership", "legal"}:
         return several and bool(themes & {"legal_policy", "partnership"})
     topic = "legal" if "legal" in pair else "security"  # against a release
-    if model_tie and mine_released and (mine == topic or both_released or topic == "legal" and "legal" in f["actions"]):
+    if model_tie and mine_released and (mine == topic or both_released or topic == "legal" and "legal" in f.actions):
         return True
     if topic == "legal":
         return several and "legal_policy" in themes
     return bool(themes & {"security_safety", "partnership"}) and (model_tie or several)
 
 
-def _fits(f: dict, ev: _Event, sims: dict[int, float], tie: float, near: float) -> float | None:
-    """The mean similarity to an event's members, or None if the story may not join."""
-    values = [sims.get(m, 0.0) for m in ev.members]
-    if max(values) < tie:
-        return None
-    acts = f["actions"]
-    if ("pricing" in acts and "release" in ev.actions) or ("release" in acts and "pricing" in ev.actions):
-        launched = _concrete(f["anchors"], "release") & _concrete(ev.anchors, "pricing") | _concrete(f["anchors"], "pricing") & _concrete(ev.anchors, "release")
+def agrees(f: Traits, ev: Traits) -> bool:
+    """Whether a story may join an event by what both are about."""
+    if ("pricing" in f.actions and "release" in ev.actions) or ("release" in f.actions and "pricing" in ev.actions):
+        launched = _concrete(f.anchors, "release") & _concrete(ev.anchors, "pricing") | _concrete(f.anchors, "pricing") & _concrete(ev.anchors, "release")
         if not launched:
-            return None
-    if f["models"] and ev.models and not f["models"] & ev.models:
-        shared = f["themes"] & ev.themes & {"partnership", "security_safety", "legal_policy", "benchmarking"} or acts & ev.actions & {"partnership", "security", "legal"}
-        if not (shared or len(f["entities"] & ev.entities) >= 2):
-            return None
-    for x, y in rules.CONFLICTS:
-        for mine, theirs in ((x, y), (y, x)):
-            if mine in acts and theirs in ev.actions and not _allowed(mine, theirs, f, ev):
+            return False
+    if f.models and ev.models and not f.models & ev.models:
+        shared = f.themes & ev.themes & {"partnership", "security_safety", "legal_policy", "benchmarking"} or f.actions & ev.actions & {"partnership", "security", "legal"}
+        if not (shared or len(f.entities & ev.entities) >= 2):
+            return False
+    return all(_allowed(mine, theirs, f, ev) for x, y in rules.CONFLICTS for mine, theirs in ((x, y), (y, x)) if mine in f.actions and theirs in ev.actions)
+
+
+@dataclass
+class _Event:
+    """An event as the pass knows it: how many stories of which class it has, and the first and last time of each class."""
+
+    first: int
+    traits: Traits
+    n: int = 0
+    counts: dict[int, list] = field(default_factory=dict)  # class: [number, first, last time]
+
+
+class OrderedPass:
+    """One pass over the stories of a group in order. It holds classes, their similarities and events; not stories."""
+
+    def __init__(self, tie: float, near: float, window_hours: float):
+        self.tie, self.near, self.hours = tie, near, window_hours
+        self.traits: dict[int, Traits] = {}
+        self.like: dict[int, dict[int, tuple[float, bool]]] = {}
+        self.events: list[_Event] = []
+        self.where: dict[int, dict[Traits, set[int]]] = {}  # class: the events that have it, by what they are about
+        self.known: dict[tuple[int, Traits], bool] = {}
+
+    def learn(self, g: int, traits: Traits, like: dict[int, tuple[float, bool]]) -> None:
+        self.traits[g], self.like[g] = traits, like
+
+    def _far(self, a: int | None, b: int | None) -> bool:
+        return a is not None and b is not None and abs(a - b) / 1e6 / 3600.0 > self.hours
+
+    def _agrees(self, g: int, about: Traits) -> bool:
+        """Asked once for a class and what an event is about, however many such events there are."""
+        if (g, about) not in self.known:
+            self.known[g, about] = agrees(self.traits[g], about)
+        return self.known[g, about]
+
+    def _mean(self, g: int, at: int | None, event: _Event) -> float | None:
+        """The mean similarity to an event's stories, each class counting as often as it is there; None if one of them is
+        not near or none is similar."""
+        best, parts = 0.0, []
+        for h, (n, lo, hi) in event.counts.items():
+            value, same = self.like[g].get(h, (0.0, False))
+            if value < self.near or value <= 0.0 or not same and (self._far(at, lo) or self._far(at, hi)):
                 return None
-    total = 0.0
-    for v in values:
-        if v < near or v <= 0.0:
-            return None
-        total += v
-    return total / len(values)
-
-
-def assign_in_order(rows: pd.DataFrame, tie: float, near: float) -> list[int]:
-    """The event of each row, named by its first member's position; rows are in order."""
-    events: list[_Event] = []
-    where: dict[int, int] = {}
-    out = []
-    for r in rows.itertuples(index=False):
-        f = {"models": set(r.f_models), "entities": set(r.f_entities), "themes": set(r.f_themes), "actions": set(r.f_effective), "anchors": {(x["action"], x["entity"], x["model"]) for x in r.f_anchors}}
-        sims = dict(zip([] if r.near_pos is None else r.near_pos, [] if r.near_sim is None else r.near_sim, strict=True))
+            best = max(best, value)
+            parts.append(n * value)
+        return round(math.fsum(parts) / event.n, 12) if best >= self.tie else None
+
+    def place(self, pos: int, g: int, at: int | None) -> int:
+        """The first story of the event that the story joins, or itself."""
+        found = {k for h in self.like[g] for about, ks in self.where.get(h, {}).items() if self._agrees(g, about) for k in ks}
         best, best_mean = None, -1.0
-        for k in sorted({where[p] for p in sims if p in where}):  # others have no similar member
-            mean = _fits(f, events[k], sims, tie, near)
+        for k in sorted(found):
+            mean = self._mean(g, at, self.events[k])
             if mean is not None and mean > best_mean:
                 best, best_mean = k, mean
         if best is None:
-            best = len(events)
-            events.append(_Event())
-        events[best].add(r.pos, f)
-        where[r.pos] = best
-        out.append(events[best].members[0])
-    return out
+            best = len(self.events)
+            self.events.append(_Event(pos, self.traits[g]))
+        self._add(best, g, at)
+        return self.events[best].first
+
+    def _add(self, k: int, g: int, at: int | None) -> None:
+        event = self.events[k]
+        about, fresh = event.traits | self.traits[g], g not in event.counts
+        if about != event.traits:
+            for h in event.counts:
+                self.where[h][event.traits].discard(k)
+                if not self.where[h][event.traits]:
+                    del self.where[h][event.traits]
+                self.where[h].setdefault(about, set()).add(k)
+            event.traits = about
+        if fresh:
+            event.counts[g] = [0, at, at]
+            self.where.setdefault(g, {}).setdefault(about, set()).add(k)
+        own = event.counts[g]
+        event.n, own[0] = event.n + 1, own[0] + 1
+        if at is not None:
+            own[1], own[2] = min(own[1], at), max(own[2], at)
+
+
+def _passes(tie: float, near: float, window_hours: float):
+    """The pass over partitions in which each group's classes come first and then its stories in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, state = None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["component"] != group:
+                    group, state = r["component"], OrderedPass(tie, near, window_hours)
+                if r["pos"] is None:
+                    sets = [frozenset(r[f"f_{n}"]) for n in ("models", "entities", "themes", "effective")]
+                    anchors = frozenset((x["action"], x["entity"], x["model"]) for x in r["f_anchors"])
+                    state.learn(r["g"], Traits(*sets, anchors), {x["h"]: (x["similarity"], x["same"]) for x in r["like"] or ()})
+                else:
+                    out.append((r["pos"], state.place(r["pos"], r["g"], r["at"])))
+            yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["pos", "event_pos"])
+
+    return run
 
 
 def assign_events(articles: DataFrame, similarity: float = rules.SIMILARITY, window_hours: float = rules.WINDOW_HOURS) -> DataFrame:
     """Articles (normalised, scored) with ``pos`` and ``event_pos``, the position of the event's first story, and
-    ``member_pos``, the place within the event."""
+    ``member_pos``, the place within the event.
+
+    Means are compared to 12 digits, so that the order in which similarities are added does not decide."""
     near = similarity * rules.COHESION
     placed = cut(with_features(with_position(articles)))
-    pairs = similar_articles(placed, near, window_hours=window_hours)
-    groups = components(pairs.filter(F.col("similarity") >= similarity))
-    feats = ["pos", "f_models", "f_entities", "f_themes", "f_effective", "f_anchors"]
-    known = pairs.groupBy(F.col("v").alias("pos")).agg(F.collect_list("u").alias("near_pos"), F.collect_list("similarity").alias("near_sim"))
-    rows = placed.select(*feats).join(groups, placed["pos"] == groups["id"]).drop("id").join(known, "pos", "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        return pd.DataFrame({"pos": pdf["pos"], "event_pos": assign_in_order(pdf, similarity, near)})
-
-    told = rows.groupBy("component").applyInPandas(run, "pos long, event_pos long")
-    out = placed.join(told, "pos", "left").withColumn("event_pos", F.coalesce("event_pos", "pos"))
+    found = story_classes(placed, window_hours=window_hours)
+    pairs = class_pairs(found, near, window_hours)
+    tied = components(pairs.filter(F.col("similarity") >= similarity).select(F.col("g").alias("u"), F.col("h").alias("v")))
+    classes = found.classes.join(tied.withColumnRenamed("id", "g"), "g", "left").withColumn("component", F.coalesce("component", "g"))
+    told = F.struct(F.col("h"), F.col("similarity"), F.col("same"))
+    like = pairs.select("g", told.alias("like")).unionByName(pairs.filter("g != h").select(F.col("h").alias("g"), F.struct(F.col("g").alias("h"), "similarity", "same").alias("like"))).groupBy("g").agg(F.collect_list("like").alias("like"))
+    sizes = classes.groupBy("component").agg(F.sum("n").alias("size"))
+    classes = cut(classes.join(sizes.filter("size > 1"), "component").join(like, "g", "left").select("component", "g", "n", "f_models", "f_entities", "f_themes", "f_effective", "f_anchors", "like"))
+    stories = spread_join(found.members, classes.select("g", "n", "component"), ["g"], "n", placed.count()).select("component", "g", "pos", "at")
+    both = classes.drop("n").unionByName(stories, allowMissingColumns=True)
+    # Sorted within a partition, a group is read as a stream: classes first, as they have no place.
+    ordered = both.repartition("component").sortWithinPartitions(F.col("component"), F.col("pos").asc_nulls_first())
+    events = ordered.mapInArrow(_passes(similarity, near, window_hours), "pos long, event_pos long")
+    out = cut(placed.join(events, "pos", "left").withColumn("event_pos", F.coalesce("event_pos", "pos")))
     return out.withColumn("member_pos", F.row_number().over(Window.partitionBy("event_pos").orderBy("pos")) - 1)
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire import rules
 from tidewire.functions.text import concrete_pairs, effective_actions, entities_in, event_anchors, keyed, models_in, plain_words, tokens
-from tidewire.operators.graph import cut
+from tidewire.operators.graph import cut, forget, spread_join
 
 FEATURES = ("models", "entities", "tokens", "themes", "actions", "effective", "anchors", "pairs")
 
@@ -125,45 +127,101 @@ def near_in_time(rows: DataFrame, key: str, pos: str, seconds: str, hours: float
 IDENTITIES = ("article_id", "canonical_url", "url")
 
 
-def similar_articles(features: DataFrame, least: float, order: str = "pos", window_hours: float = rules.WINDOW_HOURS) -> DataFrame:
-    """(u, v, similarity), u before v in ``order``, of all pairs that reach ``least``, which must exceed 0.30.
+def _seconds_apart(a: Column, b: Column) -> Column:
+    return F.abs(a - b) / F.lit(1e6) / F.lit(3600.0)
 
-    A pair that shares no word, entity, model, id or address stays at 0.30 or below, so stories meet on those. Words, names
-    and models meet within the window only: each story stands in the cell of its own time and, on one side, in the cells
-    beside it. Stories of one cell with the same features are one class; classes meet and are judged, and only the members
-    of similar classes are paired, so that repeated stories cost their pairs once and not once for each shared word.
-    Identities meet at any time. ``order`` has no repeated values.
-    """
-    if least <= 0.30:
-        raise ValueError("below 0.30 pairs that share nothing would count")
+
+@dataclass
+class StoryClasses:
+    """Stories by class: ``members`` (pos, g, at) name each story's class, ``classes`` (g, n, cell, lo, hi, same and the
+    features) what it says. A class is named by its first story; ``at`` are microseconds."""
+
+    members: DataFrame
+    classes: DataFrame
+
+
+def story_classes(features: DataFrame, order: str = "pos", window_hours: float = rules.WINDOW_HOURS) -> StoryClasses:
+    """Stories of one cell of time, with the same features and the same shared identities, are one class.
+
+    An identity (id or address) counts only where two stories share it; so the class settles which pairs are one story, and
+    within a cell no pair is too far apart. ``order`` has no repeated values."""
     wanted = [c for c in features.columns if c.startswith("f_")]
-    seconds = F.unix_micros("published_at")
-    cell = F.floor(seconds / F.lit(int(window_hours * 3600 * 1e6)))
-    print_ = F.sha2(F.to_json(F.struct(*wanted, cell.alias("cell"))), 256)
-    base = features.select(F.col(order).alias("pos"), *IDENTITIES, seconds.alias("at"), cell.alias("cell"), print_.alias("g"), *wanted)
-    classes = cut(base.groupBy("g").agg(F.first("cell").alias("cell"), *(F.first(c).alias(c) for c in wanted)))
+    own = features.select(F.col(order).alias("pos"), F.posexplode(F.array(*IDENTITIES)).alias("kind", "k")).filter("k is not null and k != ''")
+    repeated = cut(own.groupBy("kind", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared = spread_join(own, repeated, ["kind", "k"], "n", features.count()).groupBy("pos").agg(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "k"))).alias("same"))
+    at = F.unix_micros("published_at")
+    cell = F.floor(at / F.lit(int(window_hours * 3600 * 1e6)))
+    told = features.select(F.col(order).alias("pos"), at.alias("at"), cell.alias("cell"), *wanted).join(shared, "pos", "left").withColumn("same", F.coalesce("same", F.array().cast("array<string>")))
+    told = cut(told.withColumn("print", F.unhex(F.sha2(F.to_json(F.struct(*wanted, "cell", "same")), 256))))
+    kept = ["cell", "same", *wanted]
+    by_print = told.groupBy("print").agg(F.min("pos").alias("g"), F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    by_print = cut(by_print)
+    members = cut(spread_join(told.select("pos", "at", "print"), by_print.select("print", "g", "n"), ["print"], "n", told.count()).select("pos", "g", "at"))
+    says = told.select(F.col("pos").alias("g"), *kept)
+    classes = cut(by_print.drop("print").join(says, "g"))
+    forget(told, by_print, repeated)
+    return StoryClasses(members, classes)
+
+
+#: Classes of one word and cell that one task pairs with all others of it.
+SLICE = 512
+
+
+def _meeting(classes: DataFrame, least: float) -> DataFrame:
+    """(g, h), g up to h, of classes that may be similar: they share an entity, a model, an identity or one of their first
+    words, in the same or the next cell of time (identities at any time).
+
+    Pairs that share neither entity nor model must owe at least ``least - 0.30`` to words, as themes and actions add no more.
+    So the words that two such stories share are too many to be all among the last ones of both: words in one order, long
+    ones first, meet without as many of the last as can be missed. Keys that very many classes have are dealt out in slices."""
     tagged = lambda c, t: F.transform(c, lambda v: F.concat(F.lit(t), v))
-    keys = F.concat(tagged(F.col("f_tokens"), "t:"), tagged(F.col("f_entities"), "e:"), tagged(F.col("f_models"), "m:"))
+    ranked = F.array_sort(F.transform("f_tokens", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    n = F.size("f_tokens")
+    first = F.slice(ranked, F.lit(1), F.greatest(F.lit(0), n - F.ceil(n * F.lit(least - 0.30 - 1e-9)).cast("int") + 1))["w"]
+    keys = F.concat(tagged(first, "t:"), tagged(F.col("f_entities"), "e:"), tagged(F.col("f_models"), "m:"))
     keyed = classes.select("g", "cell", F.explode(keys).alias("k"))
-    beside = keyed.filter("cell is not null").select(F.col("g").alias("h"), "k", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("cell") + d)).alias("cell"))
-    timed = keyed.filter("cell is not null").join(beside, ["k", "cell"]).select("g", "h")
-    anytime = keyed.select("g", "k").join(keyed.filter("cell is null").select(F.col("g").alias("h"), "k"), "k").select("g", "h")
-    met = timed.unionByName(anytime).filter("g <= h").unionByName(anytime.filter("g > h").select(F.col("h").alias("g"), F.col("g").alias("h"))).distinct()
-    # Classes are judged by what they say; whether two of their members are one story, or too far apart, is asked later.
+    some = keyed.filter("cell is not null")
+    beside = some.select(F.col("g").alias("h"), "k", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("cell") + d)).alias("cell"))
+    # A story without a time is near in time to all: such classes meet under no cell, with all others and one another.
+    none = keyed.filter("cell is null").select("g", "k")
+    identical = classes.select("g", F.explode(tagged(F.col("same"), "i:")).alias("k"))
+    no_cell = F.lit(None).cast("long").alias("cell")
+    left = some.select("g", "k", "cell").unionByName(none.select("g", "k", no_cell)).unionByName(identical.select("g", "k", no_cell))
+    right = beside.unionByName(keyed.select(F.col("g").alias("h"), "k", no_cell)).unionByName(identical.select(F.col("g").alias("h"), "k", no_cell))
+    slices = cut(right.groupBy("k", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE)).cast("int").alias("s")))
+    many = F.broadcast(slices.filter("s > 1")) if slices.filter("s > 1").count() <= SLICE else slices.filter("s > 1")
+    dealt = lambda df: df.withColumn("cell", F.coalesce("cell", F.lit(-(1 << 40)))).join(many.withColumn("cell", F.coalesce("cell", F.lit(-(1 << 40)))), ["k", "cell"], "left").withColumn("s", F.coalesce("s", F.lit(1)))
+    one = dealt(left).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).drop("s")
+    two = dealt(right).withColumn("slice", F.pmod(F.xxhash64("h"), F.col("s")).cast("int")).drop("s")
+    met = one.join(two, ["k", "cell", "slice"])
+    return met.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
+
+
+def class_pairs(found: StoryClasses, least: float, window_hours: float = rules.WINDOW_HOURS) -> DataFrame:
+    """(g, h, similarity, same), g up to h, of classes whose members reach ``least``, which must exceed 0.30: all of them
+    where ``same``, else those within the window, of which there are some. A class of several members is paired with itself.
+
+    A pair that shares no word, entity, model, id or address stays at 0.30 or below."""
+    if least <= 0.30:
+        raise ValueError("below 0.30 pairs that share nothing would count")
+    wanted = [c for c in found.classes.columns if c.startswith("f_")]
     nobody = [F.lit(None).cast("string").alias(c) for c in IDENTITIES] + [F.lit(None).cast("timestamp").alias("published_at")]
-    told = classes.select("g", *wanted, *nobody)
-    side = lambda p, key: told.select(F.col("g").alias(key), *(F.col(c).alias(f"{p}{c}") for c in (*wanted, *IDENTITIES, "published_at")))
-    judged = met.join(side("a_", "g"), "g").join(side("b_", "h"), "h").select("g", "h", pair_similarity(window_hours=window_hours).alias("similarity"))
-    judged = cut(judged.filter(F.col("similarity") >= least))
-    members = cut(base.select("pos", "g", "at", *IDENTITIES))
-    one = members.select(F.col("g"), *(F.col(c).alias(f"a_{c}") for c in ("pos", "at", *IDENTITIES)))
-    two = members.select(F.col("g").alias("h"), *(F.col(c).alias(f"b_{c}") for c in ("pos", "at", *IDENTITIES)))
-    same = F.lit(False)
-    for c in IDENTITIES:
-        same = same | F.coalesce((F.col(f"a_{c}") == F.col(f"b_{c}")) & (F.col(f"a_{c}") != ""), F.lit(False))
-    far = F.coalesce(F.abs(F.col("a_at") - F.col("b_at")) / F.lit(1e6) / F.lit(3600.0) > window_hours, F.lit(False))
-    paired = judged.join(one, "g").join(two, "h").filter(((F.col("g") != F.col("h")) | (F.col("a_pos") < F.col("b_pos"))) & ~far & ~same)
-    like = paired.select(F.least("a_pos", "b_pos").alias("u"), F.greatest("a_pos", "b_pos").alias("v"), "similarity")
-    own = members.select("pos", *IDENTITIES).select("pos", F.posexplode(F.array(*IDENTITIES)).alias("kind", "k")).filter("k is not null and k != ''")
-    identical = own.select(F.col("pos").alias("u"), "kind", "k").join(own.select(F.col("pos").alias("v"), "kind", "k"), ["kind", "k"]).filter("u < v").select("u", "v").distinct()
-    return cut(like.unionByName(identical.withColumn("similarity", F.lit(1.0))))
+    told = found.classes.select("g", "lo", "hi", "same", *wanted, *nobody)
+    side = lambda p, key: told.select(F.col("g").alias(key), *(F.col(c).alias(f"{p}{c}") for c in told.columns if c != "g"))
+    same = F.arrays_overlap("a_same", "b_same")
+    gap = _seconds_apart(F.greatest("a_lo", "b_lo"), F.least("a_hi", "b_hi"))
+    near = F.coalesce((F.greatest("a_lo", "b_lo") <= F.least("a_hi", "b_hi")) | (gap <= window_hours), F.lit(True))
+    met = _meeting(found.classes, least).join(side("a_", "g"), "g").join(side("b_", "h"), "h")
+    judged = met.select("g", "h", F.when(same, F.lit(1.0)).when(near, pair_similarity(window_hours=window_hours)).otherwise(F.lit(0.0)).alias("similarity"), same.alias("same"))
+    return cut(judged.filter(F.col("similarity") >= least))
+
+
+def similar_articles(features: DataFrame, least: float, order: str = "pos", window_hours: float = rules.WINDOW_HOURS) -> DataFrame:
+    """(u, v, similarity), u before v in ``order``, of all pairs of stories that reach ``least``: classes that are similar,
+    and their members. Rows grow with the square of a repeated story; ``class_pairs`` and the members of the classes say the
+    same in fewer."""
+    found = story_classes(features, order, window_hours)
+    one, two = (found.members.select(F.col("g").alias(key), F.col("pos").alias(f"{p}pos"), F.col("at").alias(f"{p}at")) for p, key in (("a_", "g"), ("b_", "h")))
+    far = F.coalesce(_seconds_apart(F.col("a_at"), F.col("b_at")) > window_hours, F.lit(False))
+    paired = class_pairs(found, least, window_hours).join(one, "g").join(two, "h").filter(((F.col("g") != F.col("h")) | (F.col("a_pos") < F.col("b_pos"))) & (F.col("same") | ~far))
+    return cut(paired.select(F.least("a_pos", "b_pos").alias("u"), F.greatest("a_pos", "b_pos").alias("v"), "similarity"))

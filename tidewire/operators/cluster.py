@@ -2,8 +2,7 @@
 
 To join, a story must be similar to one member, near to all members and free of conflict with what the event is about.
 An event therefore lies within one connected group of similar stories; groups are found first, and the ordered pass runs
-in each group on its own. Stories with the same features in the same cell of time are one class: classes are compared, not
-stories, and an event is known by how many stories of each class it has. So a story that is told a thousand times costs a
+in each group on its own. Stories with the same features are one class: classes are compared, not stories, and an event is known by how many stories of each class it has. So a story that is told a thousand times costs a
 thousand rows, and no table of pairs is made.
 """
 
@@ -19,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tidewire import rules
 from tidewire.functions.text import event_id
-from tidewire.operators.graph import components, cut, spread_join
-from tidewire.operators.similarity import class_pairs, story_classes, with_features
+from tidewire.operators.graph import components, cut, forget, spread_join
+from tidewire.operators.similarity import NO_CELL, StoryClasses, beside, class_pairs, story_classes, with_features
 
 
 def processing_order() -> list[Column]:
@@ -104,12 +103,19 @@ def agrees(f: Traits, ev: Traits) -> bool:
 
 @dataclass
 class _Event:
-    """An event as the pass knows it: how many stories of which class it has, and the first and last time of each class."""
+    """An event as the pass knows it: how many stories of which class, and their first and last time."""
 
     first: int
-    traits: Traits
+    about: int  # what it is about, by number
+    at: tuple[int, int]  # cell and class of the first story
     n: int = 0
-    counts: dict[int, list] = field(default_factory=dict)  # class: [number, first, last time]
+    lo: int | None = None
+    hi: int | None = None
+    counts: dict[tuple[int, tuple], list] = field(default_factory=dict)  # class and shared identities: [number, first, last time]
+
+
+def _wider(lo: int | None, hi: int | None, at: int | None) -> tuple[int | None, int | None]:
+    return (lo, hi) if at is None else (at if lo is None else min(lo, at), at if hi is None else max(hi, at))
 
 
 class OrderedPass:
@@ -118,66 +124,98 @@ class OrderedPass:
     def __init__(self, tie: float, near: float, window_hours: float):
         self.tie, self.near, self.hours = tie, near, window_hours
         self.traits: dict[int, Traits] = {}
-        self.like: dict[int, dict[int, tuple[float, bool]]] = {}
+        self.like: dict[int, dict[int, float]] = {}
         self.events: list[_Event] = []
-        self.where: dict[int, dict[Traits, set[int]]] = {}  # class: the events that have it, by what they are about
-        self.known: dict[tuple[int, Traits], bool] = {}
-
-    def learn(self, g: int, traits: Traits, like: dict[int, tuple[float, bool]]) -> None:
+        # Who joins is near to all, so to the first: events by its cell and class, and by what they are about.
+        self.opened: dict[int, dict[int, dict[int, set[int]]]] = {}
+        self.named: dict[str, set[int]] = {}  # identity: the events that have it
+        self.numbers: dict[Traits, int] = {}
+        self.subjects: list[Traits] = []
+        self.known: dict[tuple[int, int], bool] = {}
+
+    def learn(self, g: int, traits: Traits, like: dict[int, float]) -> None:
         self.traits[g], self.like[g] = traits, like
 
-    def _far(self, a: int | None, b: int | None) -> bool:
-        return a is not None and b is not None and abs(a - b) / 1e6 / 3600.0 > self.hours
+    def _far(self, at: int | None, lo: int | None, hi: int | None) -> bool:
+        return at is not None and lo is not None and max(at - lo, hi - at) / 1e6 / 3600.0 > self.hours
 
-    def _agrees(self, g: int, about: Traits) -> bool:
-        """Asked once for a class and what an event is about, however many such events there are."""
-        if (g, about) not in self.known:
-            self.known[g, about] = agrees(self.traits[g], about)
-        return self.known[g, about]
+    def _number(self, traits: Traits) -> int:
+        """What events are about, numbered."""
+        if traits not in self.numbers:
+            self.numbers[traits] = len(self.subjects)
+            self.subjects.append(traits)
+        return self.numbers[traits]
 
-    def _mean(self, g: int, at: int | None, event: _Event) -> float | None:
+    def _agrees(self, g: int, about: int) -> bool:
+        """Asked once for a class and what an event is about, however many such events there are."""
+        found = self.known.get((g, about))
+        if found is None:
+            found = self.known[g, about] = agrees(self.traits[g], self.subjects[about])
+        return found
+
+    def _found(self, g: int, cell: int, same: tuple) -> set[int]:
+        """Events whose first story may be near this one, and that nothing speaks against."""
+        out = {k for name in same for k in self.named.get(name, ()) if self._agrees(g, self.events[k].about)}
+        like = self.like[g].keys()
+        for c in list(self.opened) if cell == NO_CELL else (cell - 1, cell, cell + 1, NO_CELL):
+            there = self.opened.get(c, {})
+            for h in like & there.keys():
+                for about, ks in there[h].items():
+                    if self._agrees(g, about):
+                        out |= ks
+        return out
+
+    def _mean(self, g: int, at: int | None, same: tuple, event: _Event) -> float | None:
         """The mean similarity to an event's stories, each class counting as often as it is there; None if one of them is
         not near or none is similar."""
+        if not same and self._far(at, event.lo, event.hi):
+            return None
+        like, names = self.like[g], set(same)
         best, parts = 0.0, []
-        for h, (n, lo, hi) in event.counts.items():
-            value, same = self.like[g].get(h, (0.0, False))
-            if value < self.near or value <= 0.0 or not same and (self._far(at, lo) or self._far(at, hi)):
-                return None
+        for (h, theirs), (n, lo, hi) in event.counts.items():
+            if names and not names.isdisjoint(theirs):
+                value = 1.0
+            else:
+                value = like.get(h, 0.0)
+                if value < self.near or value <= 0.0 or names and self._far(at, lo, hi):
+                    return None
             best = max(best, value)
             parts.append(n * value)
         return round(math.fsum(parts) / event.n, 12) if best >= self.tie else None
 
-    def place(self, pos: int, g: int, at: int | None) -> int:
+    def place(self, pos: int, g: int, at: int | None, cell: int, same: tuple) -> int:
         """The first story of the event that the story joins, or itself."""
-        found = {k for h in self.like[g] for about, ks in self.where.get(h, {}).items() if self._agrees(g, about) for k in ks}
         best, best_mean = None, -1.0
-        for k in sorted(found):
-            mean = self._mean(g, at, self.events[k])
+        for k in sorted(self._found(g, cell, same)):
+            mean = self._mean(g, at, same, self.events[k])
             if mean is not None and mean > best_mean:
                 best, best_mean = k, mean
         if best is None:
             best = len(self.events)
-            self.events.append(_Event(pos, self.traits[g]))
-        self._add(best, g, at)
+            self.events.append(_Event(pos, self._number(self.traits[g]), (cell, g)))
+            self._open(best)
+        self._add(best, g, at, same)
         return self.events[best].first
 
-    def _add(self, k: int, g: int, at: int | None) -> None:
+    def _open(self, k: int) -> None:
+        cell, g = self.events[k].at
+        self.opened.setdefault(cell, {}).setdefault(g, {}).setdefault(self.events[k].about, set()).add(k)
+
+    def _add(self, k: int, g: int, at: int | None, same: tuple) -> None:
         event = self.events[k]
-        about, fresh = event.traits | self.traits[g], g not in event.counts
-        if about != event.traits:
-            for h in event.counts:
-                self.where[h][event.traits].discard(k)
-                if not self.where[h][event.traits]:
-                    del self.where[h][event.traits]
-                self.where[h].setdefault(about, set()).add(k)
-            event.traits = about
-        if fresh:
-            event.counts[g] = [0, at, at]
-            self.where.setdefault(g, {}).setdefault(about, set()).add(k)
-        own = event.counts[g]
-        event.n, own[0] = event.n + 1, own[0] + 1
-        if at is not None:
-            own[1], own[2] = min(own[1], at), max(own[2], at)
+        about = self._number(self.subjects[event.about] | self.traits[g])
+        if about != event.about:
+            here = self.opened[event.at[0]][event.at[1]]
+            here[event.about].discard(k)
+            if not here[event.about]:
+                del here[event.about]
+            event.about = about
+            self._open(k)
+        for name in same:
+            self.named.setdefault(name, set()).add(k)
+        own = event.counts.setdefault((g, same), [0, None, None])
+        own[0], (own[1], own[2]) = own[0] + 1, _wider(own[1], own[2], at)
+        event.n, (event.lo, event.hi) = event.n + 1, _wider(event.lo, event.hi, at)
 
 
 def _passes(tie: float, near: float, window_hours: float):
@@ -193,14 +231,35 @@ def _passes(tie: float, near: float, window_hours: float):
                 if r["pos"] is None:
                     sets = [frozenset(r[f"f_{n}"]) for n in ("models", "entities", "themes", "effective")]
                     anchors = frozenset((x["action"], x["entity"], x["model"]) for x in r["f_anchors"])
-                    state.learn(r["g"], Traits(*sets, anchors), {x["h"]: (x["similarity"], x["same"]) for x in r["like"] or ()})
+                    state.learn(r["g"], Traits(*sets, anchors), {x["h"]: x["similarity"] for x in r["like"] or ()})
                 else:
-                    out.append((r["pos"], state.place(r["pos"], r["g"], r["at"])))
+                    out.append((r["pos"], state.place(r["pos"], r["g"], r["at"], r["cell"], tuple(r["same"]))))
             yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["pos", "event_pos"])
 
     return run
 
 
+def story_groups(found: StoryClasses, pairs: DataFrame, window_hours: float) -> DataFrame:
+    """(g, cell, component): stories of one class and cell of time, and the group of all that they may share an event with.
+
+    Those of two similar classes are connected if they lie in one cell, or in neighbouring ones with ends near in time;
+    shared ids and addresses connect them at any time."""
+    nodes = cut(found.members.groupBy("g", "cell").agg(F.min("pos").alias("node"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n")))
+    a, b = (nodes.select(F.col("g").alias(key), "cell", *(F.col(c).alias(f"{p}{c}") for c in ("node", "lo", "hi"))) for p, key in (("a_", "g"), ("b_", "h")))
+    mine = pairs.select("g", "h").join(a, "g")
+    apart = (F.greatest("a_lo", "b_lo") - F.least("a_hi", "b_hi")) / F.lit(1e6) / F.lit(3600.0)
+    timed = beside(mine.filter(F.col("cell") != NO_CELL)).join(b.filter(F.col("cell") != NO_CELL), ["h", "cell"]).filter(apart <= window_hours)
+    any_time = mine.filter(F.col("cell") == NO_CELL).drop("cell").join(b.drop("cell"), "h").unionByName(mine.filter(F.col("cell") != NO_CELL).drop("cell").join(b.filter(F.col("cell") == NO_CELL).drop("cell"), "h"))
+    edges = timed.select("a_node", "b_node").unionByName(any_time.select("a_node", "b_node")).toDF("u", "v")
+    own = found.members.select("pos", "g", "cell", F.explode("same").alias("key")).join(nodes.select("g", "cell", "node"), ["g", "cell"])
+    firsts = own.groupBy("key").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("m"))
+    named = spread_join(own.select("key", F.col("node").alias("v")), firsts, ["key"], "m", found.members.count()).select("u", "v")
+    tied = components(edges.unionByName(named))
+    out = cut(nodes.join(tied.withColumnRenamed("id", "node"), "node", "left").select("g", "cell", "n", F.coalesce("component", "node").alias("component")))
+    forget(nodes)
+    return out
+
+
 def assign_events(articles: DataFrame, similarity: float = rules.SIMILARITY, window_hours: float = rules.WINDOW_HOURS) -> DataFrame:
     """Articles (normalised, scored) with ``pos`` and ``event_pos``, the position of the event's first story, and
     ``member_pos``, the place within the event.
@@ -209,15 +268,15 @@ def assign_events(articles: DataFrame, similarity: float = rules.SIMILARITY, win
     near = similarity * rules.COHESION
     placed = cut(with_features(with_position(articles)))
     found = story_classes(placed, window_hours=window_hours)
-    pairs = class_pairs(found, near, window_hours)
-    tied = components(pairs.filter(F.col("similarity") >= similarity).select(F.col("g").alias("u"), F.col("h").alias("v")))
-    classes = found.classes.join(tied.withColumnRenamed("id", "g"), "g", "left").withColumn("component", F.coalesce("component", "g"))
-    told = F.struct(F.col("h"), F.col("similarity"), F.col("same"))
-    like = pairs.select("g", told.alias("like")).unionByName(pairs.filter("g != h").select(F.col("h").alias("g"), F.struct(F.col("g").alias("h"), "similarity", "same").alias("like"))).groupBy("g").agg(F.collect_list("like").alias("like"))
-    sizes = classes.groupBy("component").agg(F.sum("n").alias("size"))
-    classes = cut(classes.join(sizes.filter("size > 1"), "component").join(like, "g", "left").select("component", "g", "n", "f_models", "f_entities", "f_themes", "f_effective", "f_anchors", "like"))
-    stories = spread_join(found.members, classes.select("g", "n", "component"), ["g"], "n", placed.count()).select("component", "g", "pos", "at")
-    both = classes.drop("n").unionByName(stories, allowMissingColumns=True)
+    pairs = class_pairs(found, near)
+    groups = story_groups(found, pairs.filter(F.col("similarity") >= similarity), window_hours)
+    several = groups.groupBy("component").agg(F.sum("n").alias("size")).filter("size > 1")
+    groups = cut(groups.join(several.select("component"), "component"))
+    told = F.struct(F.col("h"), F.col("similarity"))
+    like = pairs.select("g", told.alias("like")).unionByName(pairs.filter("g != h").select(F.col("h").alias("g"), F.struct(F.col("g").alias("h"), "similarity").alias("like"))).groupBy("g").agg(F.collect_list("like").alias("like"))
+    classes = found.classes.select("g", "f_models", "f_entities", "f_themes", "f_effective", "f_anchors").join(like, "g", "left").join(groups.select("component", "g").distinct(), "g")
+    stories = spread_join(found.members, groups, ["g", "cell"], "n", placed.count())
+    both = classes.unionByName(stories, allowMissingColumns=True)
     # Sorted within a partition, a group is read as a stream: classes first, as they have no place.
     ordered = both.repartition("component").sortWithinPartitions(F.col("component"), F.col("pos").asc_nulls_first())
     events = ordered.mapInArrow(_passes(similarity, near, window_hours), "pos long, event_pos long")

@@ -131,35 +131,35 @@ def _seconds_apart(a: Column, b: Column) -> Column:
     return F.abs(a - b) / F.lit(1e6) / F.lit(3600.0)
 
 
+#: The cell of stories without a time, which are near in time to all.
+NO_CELL = -(1 << 40)
+
+
 @dataclass
 class StoryClasses:
-    """Stories by class: ``members`` (pos, g, at) name each story's class, ``classes`` (g, n, cell, lo, hi, same and the
-    features) what it says. A class is named by its first story; ``at`` are microseconds."""
+    """Stories by what they say: ``members`` (pos, g, at, cell, same) name each story's class, its time in microseconds, its
+    cell of time and the identities it shares; ``classes`` (g, n and the features) say it. A class is named by its first
+    story."""
 
     members: DataFrame
     classes: DataFrame
 
 
 def story_classes(features: DataFrame, order: str = "pos", window_hours: float = rules.WINDOW_HOURS) -> StoryClasses:
-    """Stories of one cell of time, with the same features and the same shared identities, are one class.
-
-    An identity (id or address) counts only where two stories share it; so the class settles which pairs are one story, and
-    within a cell no pair is too far apart. ``order`` has no repeated values."""
+    """Stories with the same features are one class. An identity (id or address) is kept only where two stories share it.
+    ``order`` has no repeated values."""
     wanted = [c for c in features.columns if c.startswith("f_")]
     own = features.select(F.col(order).alias("pos"), F.posexplode(F.array(*IDENTITIES)).alias("kind", "k")).filter("k is not null and k != ''")
     repeated = cut(own.groupBy("kind", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     shared = spread_join(own, repeated, ["kind", "k"], "n", features.count()).groupBy("pos").agg(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "k"))).alias("same"))
     at = F.unix_micros("published_at")
-    cell = F.floor(at / F.lit(int(window_hours * 3600 * 1e6)))
+    cell = F.coalesce(F.floor(at / F.lit(int(window_hours * 3600 * 1e6))), F.lit(NO_CELL))
     told = features.select(F.col(order).alias("pos"), at.alias("at"), cell.alias("cell"), *wanted).join(shared, "pos", "left").withColumn("same", F.coalesce("same", F.array().cast("array<string>")))
-    told = cut(told.withColumn("print", F.unhex(F.sha2(F.to_json(F.struct(*wanted, "cell", "same")), 256))))
-    kept = ["cell", "same", *wanted]
-    by_print = told.groupBy("print").agg(F.min("pos").alias("g"), F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    by_print = cut(by_print)
-    members = cut(spread_join(told.select("pos", "at", "print"), by_print.select("print", "g", "n"), ["print"], "n", told.count()).select("pos", "g", "at"))
-    says = told.select(F.col("pos").alias("g"), *kept)
-    classes = cut(by_print.drop("print").join(says, "g"))
-    forget(told, by_print, repeated)
+    told = cut(told.withColumn("print", F.unhex(F.sha2(F.to_json(F.struct(*wanted)), 256))))
+    prints = cut(told.groupBy("print").agg(F.min("pos").alias("g"), F.count(F.lit(1)).alias("n")))
+    members = cut(spread_join(told.select("pos", "at", "cell", "same", "print"), prints, ["print"], "n", told.count()).select("pos", "g", "at", "cell", "same"))
+    classes = cut(prints.drop("print").join(told.select(F.col("pos").alias("g"), *wanted), "g"))
+    forget(told, prints, repeated)
     return StoryClasses(members, classes)
 
 
@@ -167,9 +167,14 @@ def story_classes(features: DataFrame, order: str = "pos", window_hours: float =
 SLICE = 512
 
 
-def _meeting(classes: DataFrame, least: float) -> DataFrame:
-    """(g, h), g up to h, of classes that may be similar: they share an entity, a model, an identity or one of their first
-    words, in the same or the next cell of time (identities at any time).
+def beside(df: DataFrame, cell: str = "cell") -> DataFrame:
+    """Each row under its own cell of time and the two beside it."""
+    return df.withColumn(cell, F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col(cell) + d)))
+
+
+def _meeting(found: StoryClasses, least: float) -> DataFrame:
+    """(g, h), g up to h, of classes that may be similar: they share an entity, a model or one of their first words, and have
+    stories in the same cell of time or the next.
 
     Pairs that share neither entity nor model must owe at least ``least - 0.30`` to words, as themes and actions add no more.
     So the words that two such stories share are too many to be all among the last ones of both: words in one order, long
@@ -179,49 +184,58 @@ def _meeting(classes: DataFrame, least: float) -> DataFrame:
     n = F.size("f_tokens")
     first = F.slice(ranked, F.lit(1), F.greatest(F.lit(0), n - F.ceil(n * F.lit(least - 0.30 - 1e-9)).cast("int") + 1))["w"]
     keys = F.concat(tagged(first, "t:"), tagged(F.col("f_entities"), "e:"), tagged(F.col("f_models"), "m:"))
-    keyed = classes.select("g", "cell", F.explode(keys).alias("k"))
-    some = keyed.filter("cell is not null")
-    beside = some.select(F.col("g").alias("h"), "k", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("cell") + d)).alias("cell"))
-    # A story without a time is near in time to all: such classes meet under no cell, with all others and one another.
-    none = keyed.filter("cell is null").select("g", "k")
-    identical = classes.select("g", F.explode(tagged(F.col("same"), "i:")).alias("k"))
-    no_cell = F.lit(None).cast("long").alias("cell")
-    left = some.select("g", "k", "cell").unionByName(none.select("g", "k", no_cell)).unionByName(identical.select("g", "k", no_cell))
-    right = beside.unionByName(keyed.select(F.col("g").alias("h"), "k", no_cell)).unionByName(identical.select(F.col("g").alias("h"), "k", no_cell))
-    slices = cut(right.groupBy("k", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE)).cast("int").alias("s")))
-    many = F.broadcast(slices.filter("s > 1")) if slices.filter("s > 1").count() <= SLICE else slices.filter("s > 1")
-    dealt = lambda df: df.withColumn("cell", F.coalesce("cell", F.lit(-(1 << 40)))).join(many.withColumn("cell", F.coalesce("cell", F.lit(-(1 << 40)))), ["k", "cell"], "left").withColumn("s", F.coalesce("s", F.lit(1)))
+    when = found.members.select("g", "cell").distinct()
+    keyed = cut(found.classes.select("g", F.explode(keys).alias("k")).join(when, "g"))
+    some, none = keyed.filter(F.col("cell") != NO_CELL), keyed.filter(F.col("cell") == NO_CELL)
+    # Without a time a class meets all others under no cell; with one, those of its own and the next cells.
+    right = beside(some).unionByName(keyed.withColumn("cell", F.lit(NO_CELL)).distinct()).withColumnRenamed("g", "h")
+    left = some.unionByName(none)
+    slices = cut(right.groupBy("k", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE)).cast("int").alias("s")).filter("s > 1"))
+    many = F.broadcast(slices) if slices.count() <= SLICE else slices
+    dealt = lambda df: df.join(many, ["k", "cell"], "left").withColumn("s", F.coalesce("s", F.lit(1)))
     one = dealt(left).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).drop("s")
     two = dealt(right).withColumn("slice", F.pmod(F.xxhash64("h"), F.col("s")).cast("int")).drop("s")
-    met = one.join(two, ["k", "cell", "slice"])
-    return met.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
+    met = cut(one.join(two, ["k", "cell", "slice"]).select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct())
+    forget(keyed, slices)
+    return met
 
 
-def class_pairs(found: StoryClasses, least: float, window_hours: float = rules.WINDOW_HOURS) -> DataFrame:
-    """(g, h, similarity, same), g up to h, of classes whose members reach ``least``, which must exceed 0.30: all of them
-    where ``same``, else those within the window, of which there are some. A class of several members is paired with itself.
+def class_pairs(found: StoryClasses, least: float) -> DataFrame:
+    """(g, h, similarity), g up to h, of classes whose stories reach ``least``, which must exceed 0.30, where they are near in
+    time. A class is paired with itself, too, unless it has no words.
 
-    A pair that shares no word, entity, model, id or address stays at 0.30 or below."""
+    A pair that shares no word, entity or model stays at 0.30 or below."""
     if least <= 0.30:
         raise ValueError("below 0.30 pairs that share nothing would count")
-    wanted = [c for c in found.classes.columns if c.startswith("f_")]
+    # What is alike by id or address, or too far apart, is a matter of stories.
     nobody = [F.lit(None).cast("string").alias(c) for c in IDENTITIES] + [F.lit(None).cast("timestamp").alias("published_at")]
-    told = found.classes.select("g", "lo", "hi", "same", *wanted, *nobody)
+    told = found.classes.drop("n").select("*", *nobody)
     side = lambda p, key: told.select(F.col("g").alias(key), *(F.col(c).alias(f"{p}{c}") for c in told.columns if c != "g"))
-    same = F.arrays_overlap("a_same", "b_same")
-    gap = _seconds_apart(F.greatest("a_lo", "b_lo"), F.least("a_hi", "b_hi"))
-    near = F.coalesce((F.greatest("a_lo", "b_lo") <= F.least("a_hi", "b_hi")) | (gap <= window_hours), F.lit(True))
-    met = _meeting(found.classes, least).join(side("a_", "g"), "g").join(side("b_", "h"), "h")
-    judged = met.select("g", "h", F.when(same, F.lit(1.0)).when(near, pair_similarity(window_hours=window_hours)).otherwise(F.lit(0.0)).alias("similarity"), same.alias("same"))
-    return cut(judged.filter(F.col("similarity") >= least))
+    met = _meeting(found, least)
+    judged = cut(met.join(side("a_", "g"), "g").join(side("b_", "h"), "h").select("g", "h", pair_similarity().alias("similarity")).filter(F.col("similarity") >= least))
+    forget(met)
+    return judged
+
+
+def identical(members: DataFrame) -> DataFrame:
+    """(key, pos, first): stories that share an id or address, with the first story that has it."""
+    keyed = members.select("pos", F.explode("same").alias("key"))
+    firsts = keyed.groupBy("key").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
+    return spread_join(keyed, firsts, ["key"], "n", members.count())
 
 
 def similar_articles(features: DataFrame, least: float, order: str = "pos", window_hours: float = rules.WINDOW_HOURS) -> DataFrame:
-    """(u, v, similarity), u before v in ``order``, of all pairs of stories that reach ``least``: classes that are similar,
-    and their members. Rows grow with the square of a repeated story; ``class_pairs`` and the members of the classes say the
-    same in fewer."""
+    """(u, v, similarity), u before v in ``order``, of all pairs of stories that reach ``least``: members of similar classes
+    within the window, and stories of one id or address at any time. Rows grow with the square of a repeated story;
+    ``class_pairs`` with the members of the classes, and ``identical``, say the same in fewer."""
     found = story_classes(features, order, window_hours)
-    one, two = (found.members.select(F.col("g").alias(key), F.col("pos").alias(f"{p}pos"), F.col("at").alias(f"{p}at")) for p, key in (("a_", "g"), ("b_", "h")))
+    one, two = (found.members.select(F.col("g").alias(key), "cell", *(F.col(c).alias(f"{p}{c}") for c in ("pos", "at", "same"))) for p, key in (("a_", "g"), ("b_", "h")))
+    pairs = class_pairs(found, least).join(one, "g")
+    near = beside(pairs.filter(F.col("cell") != NO_CELL)).join(two.filter(F.col("cell") != NO_CELL), ["h", "cell"])
+    any_time = pairs.filter(F.col("cell") == NO_CELL).drop("cell").join(two.drop("cell"), "h").unionByName(pairs.filter(F.col("cell") != NO_CELL).drop("cell").join(two.filter(F.col("cell") == NO_CELL).drop("cell"), "h"))
     far = F.coalesce(_seconds_apart(F.col("a_at"), F.col("b_at")) > window_hours, F.lit(False))
-    paired = class_pairs(found, least, window_hours).join(one, "g").join(two, "h").filter(((F.col("g") != F.col("h")) | (F.col("a_pos") < F.col("b_pos"))) & (F.col("same") | ~far))
-    return cut(paired.select(F.least("a_pos", "b_pos").alias("u"), F.greatest("a_pos", "b_pos").alias("v"), "similarity"))
+    met = near.drop("cell").unionByName(any_time).filter(((F.col("g") != F.col("h")) | (F.col("a_pos") < F.col("b_pos"))) & ~far & ~F.arrays_overlap("a_same", "b_same"))
+    like = met.select(F.least("a_pos", "b_pos").alias("u"), F.greatest("a_pos", "b_pos").alias("v"), "similarity")
+    keyed = found.members.select("pos", F.explode("same").alias("key"))
+    one_story = keyed.withColumnRenamed("pos", "u").join(keyed.withColumnRenamed("pos", "v"), "key").filter("u < v").select("u", "v").distinct()
+    return cut(like.unionByName(one_story.withColumn("similarity", F.lit(1.0))))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidewire import rules
 from tidewire.functions.text import event_id
 from tidewire.operators.graph import components, cut, forget, spread_join
-from tidewire.operators.similarity import NO_CELL, StoryClasses, beside, class_pairs, story_classes, with_features
+from tidewire.operators.similarity import NO_CELL, StoryClasses, class_cells, class_pairs, near_cells, story_classes, with_features
 
 
 def processing_order() -> list[Column]:
@@ -244,13 +244,8 @@ def story_groups(found: StoryClasses, pairs: DataFrame, window_hours: float) ->
 
     Those of two similar classes are connected if they lie in one cell, or in neighbouring ones with ends near in time;
     shared ids and addresses connect them at any time."""
-    nodes = cut(found.members.groupBy("g", "cell").agg(F.min("pos").alias("node"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n")))
-    a, b = (nodes.select(F.col("g").alias(key), "cell", *(F.col(c).alias(f"{p}{c}") for c in ("node", "lo", "hi"))) for p, key in (("a_", "g"), ("b_", "h")))
-    mine = pairs.select("g", "h").join(a, "g")
-    apart = (F.greatest("a_lo", "b_lo") - F.least("a_hi", "b_hi")) / F.lit(1e6) / F.lit(3600.0)
-    timed = beside(mine.filter(F.col("cell") != NO_CELL)).join(b.filter(F.col("cell") != NO_CELL), ["h", "cell"]).filter(apart <= window_hours)
-    any_time = mine.filter(F.col("cell") == NO_CELL).drop("cell").join(b.drop("cell"), "h").unionByName(mine.filter(F.col("cell") != NO_CELL).drop("cell").join(b.filter(F.col("cell") == NO_CELL).drop("cell"), "h"))
-    edges = timed.select("a_node", "b_node").unionByName(any_time.select("a_node", "b_node")).toDF("u", "v")
+    nodes = class_cells(found)
+    edges = near_cells(nodes, pairs, window_hours).select("u", "v")
     own = found.members.select("pos", "g", "cell", F.explode("same").alias("key")).join(nodes.select("g", "cell", "node"), ["g", "cell"])
     firsts = own.groupBy("key").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("m"))
     named = spread_join(own.select("key", F.col("node").alias("v")), firsts, ["key"], "m", found.members.count()).select("u", "v")

@@ -217,6 +217,24 @@ def class_pairs(found: StoryClasses, least: float) -> DataFrame:
     return judged
 
 
+def class_cells(found: StoryClasses) -> DataFrame:
+    """(g, cell, node, lo, hi, n): stories of one class and cell of time, named by the first, with their first and last
+    time."""
+    return cut(found.members.groupBy("g", "cell").agg(F.min("pos").alias("node"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n")))
+
+
+def near_cells(nodes: DataFrame, pairs: DataFrame, window_hours: float = rules.WINDOW_HOURS) -> DataFrame:
+    """(g, h, u, v): of each pair of classes, the cells that hold two stories within the window: the same cell, one beside it
+    whose nearest end is near, and any where one of the two has no time."""
+    a, b = (nodes.select(F.col("g").alias(key), "cell", *(F.col(c).alias(f"{p}{c}") for c in ("node", "lo", "hi"))) for p, key in (("a_", "g"), ("b_", "h")))
+    mine = pairs.select("g", "h").join(a, "g")
+    timed, untimed = mine.filter(F.col("cell") != NO_CELL), mine.filter(F.col("cell") == NO_CELL).drop("cell")
+    apart = (F.greatest("a_lo", "b_lo") - F.least("a_hi", "b_hi")) / F.lit(1e6) / F.lit(3600.0)
+    near = beside(timed).join(b.filter(F.col("cell") != NO_CELL), ["h", "cell"]).filter(apart <= window_hours).drop("cell")
+    any_time = untimed.join(b.drop("cell"), "h").unionByName(timed.drop("cell").join(b.filter(F.col("cell") == NO_CELL).drop("cell"), "h"))
+    return near.unionByName(any_time).select("g", "h", F.col("a_node").alias("u"), F.col("b_node").alias("v"))
+
+
 def identical(members: DataFrame) -> DataFrame:
     """(key, pos, first): stories that share an id or address, with the first story that has it."""
     keyed = members.select("pos", F.explode("same").alias("key"))

@@ -147,8 +147,8 @@ def d2(spark, d):
 
 
 def d3(spark, d):
-    """Similar titles of one publisher: pairs."""
-    return dedupe.similar_pairs(cut(dedupe.dedupe_keys(articles(spark, d))))
+    """Similar titles of one publisher: each story's class, and how many stories have a similar title."""
+    return dedupe.similar_counts(cut(dedupe.dedupe_keys(articles(spark, d))))
 
 
 def d4(spark, d):
@@ -182,8 +182,16 @@ def _features(spark, d):
 
 
 def j7(spark, d):
-    """Pairs of similar stories within 72 hours."""
-    return similarity.similar_articles(_features(spark, d), rules.SIMILARITY * rules.COHESION).select("u", "v", F.bround("similarity", 6).alias("similarity"))
+    """Similar stories: the class of each story, pairs of classes that are similar within 72 hours, and the first story of
+    the same address. Rows grow with the stories and the classes, not with the pairs of stories."""
+    found = similarity.story_classes(_features(spark, d))
+    none = F.lit(None).cast("double")
+    member = found.members.select(F.lit("class").alias("kind"), F.col("pos").alias("u"), F.col("g").alias("v"), none.alias("similarity"))
+    pairs = similarity.class_pairs(found, rules.SIMILARITY * rules.COHESION).filter("g != h")
+    pairs = pairs.join(similarity.near_cells(similarity.class_cells(found), pairs).select("g", "h").distinct(), ["g", "h"])
+    pair = pairs.select(F.lit("similar").alias("kind"), F.col("g").alias("u"), F.col("h").alias("v"), F.bround("similarity", 6).alias("similarity"))
+    same = similarity.identical(found.members).filter("pos != first").select(F.lit("same").alias("kind"), F.col("pos").alias("u"), F.col("first").alias("v"), none.alias("similarity")).distinct()
+    return member.unionByName(pair).unionByName(same)
 
 
 def j9(spark, d):
@@ -315,13 +323,16 @@ ORACLES = {
     "J8_novelty_past": duck.with_articles("SELECT DISTINCT x.doc_id FROM z x JOIN z y ON y.doc_id < x.doc_id AND x.url <> y.url AND len(list_intersect(x.t, y.t)) >= 4 AND len(list_intersect(x.t, y.t)) / greatest(len(x.t), len(y.t)) >= 0.75", ("z", f"SELECT doc_id, url, {duck.tokens(duck.plain('title'), rules.NOVELTY_STOP_WORDS, 3)} AS t FROM a")),
     "D1_url_dedupe": duck.with_articles("SELECT min(seq) AS doc_id FROM k GROUP BY url_key", *_DK),
     "D2_title_dedupe": duck.with_articles("SELECT min(seq) AS doc_id FROM k GROUP BY publisher_key, title_key", *_DK),
-    "D3_similar_titles": duck.with_articles("SELECT x.seq AS u, y.seq AS v FROM k x JOIN k y ON x.publisher_key = y.publisher_key AND x.seq < y.seq AND list_has_any(x.tokens, y.tokens) AND " + duck.similar(("x.title_key", "y.title_key"), ("x.numbers", "y.numbers"), ("x.tokens", "y.tokens")), *_DK),
+    "D3_similar_titles": duck.with_articles("SELECT seq, CASE WHEN len(tokens) > 0 THEN min(seq) OVER (PARTITION BY publisher_key, title_key, numbers, tokens) ELSE seq END AS class_seq, (SELECT count(*) FROM p WHERE p.u = k.seq OR p.v = k.seq) AS n_links FROM k",
+        *_DK, ("p", "SELECT x.seq AS u, y.seq AS v FROM k x JOIN k y ON x.publisher_key = y.publisher_key AND x.seq < y.seq AND list_has_any(x.tokens, y.tokens) AND " + duck.similar(("x.title_key", "y.title_key"), ("x.numbers", "y.numbers"), ("x.tokens", "y.tokens")))),
     "D4_fuzzy_dedupe": _suppression("SELECT * FROM d"),
     "D5_lookback_dedupe": _suppression("SELECT * FROM d", "seq % 4 = 0"),
     "D6_suppression_count": _suppression("SELECT count(*) FILTER (NOT kept) AS suppressed, count(*) FILTER (kept) AS kept FROM d"),
     "stream_exact_dedupe": _suppression("SELECT seq FROM d WHERE kept"),
     "F1_empty_keys": duck.with_articles(f"SELECT doc_id FROM a WHERE doc_id % 9 <> 0 AND doc_id % 10 <> 0 AND {duck.clean_title('title')} <> ''"),
-    "J7_event_similarity": duck.with_articles("SELECT u, v, round_even(similarity, 6) AS similarity FROM w3 WHERE similarity >= 0.6::DOUBLE * 0.65::DOUBLE", *_FEATURES, *_similarity_steps()),
+    "J7_event_similarity": duck.with_articles("""SELECT 'class' AS kind, pos AS u, rep AS v, NULL::DOUBLE AS similarity FROM gc
+  UNION ALL SELECT DISTINCT 'similar', least(xr.rep, yr.rep), greatest(xr.rep, yr.rep), round_even(w3.similarity, 6) FROM w3 JOIN gc xr ON xr.pos = w3.u JOIN gc yr ON yr.pos = w3.v WHERE w3.similarity >= 0.6::DOUBLE * 0.65::DOUBLE AND xr.rep <> yr.rep
+  UNION ALL SELECT 'same', pos, first, NULL::DOUBLE FROM (SELECT pos, min(pos) OVER (PARTITION BY url) AS first FROM g WHERE url <> '') WHERE pos <> first""", *_FEATURES, ("gc", "SELECT pos, min(pos) OVER (PARTITION BY models, entities, tokens, themes, actions, acts) AS rep FROM g"), *[(n, t.replace("x.url = y.url OR x.published_s IS NULL", "x.published_s IS NULL").replace("CASE WHEN x.url = y.url THEN 1.0::DOUBLE\n  WHEN", "CASE WHEN")) for n, t in _similarity_steps()]),
     "J9_time_band": duck.with_articles("SELECT m AS model, count(*) AS n FROM (SELECT pos, published_s, unnest(models) AS m FROM g) x JOIN (SELECT pos AS pos2, published_s AS s2, unnest(models) AS m FROM g) y USING (m) WHERE pos < pos2 AND abs(published_s - s2) <= 259200 GROUP BY 1", *_FEATURES),
     "O2_cluster_order": duck.with_articles("SELECT doc_id, row_number() OVER (ORDER BY (is_official OR is_primary_source)::INT DESC, priority_score DESC, published_s DESC NULLS LAST, 'art_' || sha256(trim(url))[:16] DESC) - 1 AS pos FROM s", *_SCORED),
 }

@@ -75,9 +75,11 @@ RESERVED, RESERVED_ID, RESERVED_NAME = "all rights reserved", 28, "Proprietary"
 #: Every known sentence has one of these words, and sentences end at these places.
 MARKERS = "licen[sc]e|copyright|permission|permitted|redistribut|rights reserved|free software|unencumbered|applicable law"
 BREAK = r"[.!?:;]+[ \t\r]+|[\r\n]+"
-#: Comment signs that lead a line, and what ends every sentence: punctuation before a space or line end, and blank lines.
-SIGNS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+!?|#+|--+|;+|%+|<!--)[ \t]*"
-ENDS = r"[.!?:;]+(?=\s)|(?:[ \t]*(?:\r\n|\r|\n)){2,}"
+#: Comment signs that lead a line, and what ends every sentence once lines end in newlines alone: punctuation before a space
+#: or line end (its last sign alone: others become spaces), and blank lines. Nothing here repeats a group, as each
+#: repetition of one takes stack in Java, and nothing is looked at again, so a text costs no more than its length.
+SIGNS = r"(?m)^[ \t]*+(?:/\*++|\*++/?|//++!?|#++|--++|;++|%++|<!--)[ \t]*+"
+ENDS = r"[.!?:;](?=\s)|\n[ \t]*+\n[ \t\n]*+"
 
 
 def normalised(sentence: str) -> str:
@@ -105,14 +107,14 @@ def ordered_rules(rules: list[tuple[str, tuple[int, ...]]] = RULES) -> list[tupl
 def identifiers(text: Column, table: dict[str, int]) -> Column:
     """The known sentences of a text, in order, as one string of ``<id>``."""
     lookup = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(f"<{v}>"))])
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[|~]+", " "), SIGNS, "")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), r"\r\n?", "\n"), "[|~]+", " "), SIGNS, "")
     # "|" ends a sentence; "~" is a line end, which may end one or lie within it.
-    lines = F.regexp_replace(F.regexp_replace(plain, ENDS, " | "), r"[\r\n]+", " ~ ")
+    lines = F.regexp_replace(F.regexp_replace(plain, ENDS, " | "), r"\n+", " ~ ")
     clean = F.concat(F.lit("| "), F.trim(F.regexp_replace(lines, "[^a-z0-9|~]+", " ")), F.lit(" |"))
     if RESERVED in table:
         table = {**table, f"copyright {RESERVED}": RESERVED_ID}
         over = RESERVED.replace(" ", "(?: ~)? ")
-        clean = F.regexp_replace(clean, rf"(?<=[|~] )((?:c )?copyright\b[^|~]*(?:[|~] )+){over}(?= [|~])", f"$1copyright {RESERVED}")
+        clean = F.regexp_replace(clean, rf"(?<=[|~] )((?:c )?copyright\b[^|~]*+[|~] [|~ ]*+){over}(?= [|~])", f"$1copyright {RESERVED}")
         lookup = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(f"<{v}>"))])
     known = "|".join(k.replace(" ", "(?: ~)? ") for k in sorted(table, key=len, reverse=True))
     hits = F.regexp_extract_all(clean, F.lit(f"(?<=[|~] )(?:{known})(?= [|~])"), F.lit(0))

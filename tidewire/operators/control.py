@@ -54,11 +54,15 @@ class FolderJournal:
     def last(self, key: str) -> tuple[int, dict | None]:
         fs, at = self._fs(), self._path(key)
         number = max((int(s.getPath().getName()) for s in fs.listStatus(at) if s.getPath().getName().isdigit()), default=0) if fs.exists(at) else 0
-        if not number:
-            return 0, None
-        stream = fs.open(self._path(f"{key}/{number:09d}/record.json"))
+        return (number, self.read(key, number)) if number else (0, None)
+
+    def read(self, key: str, number: int) -> dict | None:
+        """The record of that number; None before the first."""
+        if number < 1:
+            return None
+        stream = self._fs().open(self._path(f"{key}/{number:09d}/record.json"))
         try:
-            return number, json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import normal_publisher, pretty_publisher
+from tidewire.operators.graph import cut
 
 #: A publisher counts by its strongest level, in this order; anything else is other.
 STRENGTH = ("primary", "independent", "research", "discovery", "community")
@@ -136,7 +137,8 @@ def confidence_explanation(language: int) -> Column:
 
 def event_confidence(members: DataFrame, event: str = "event_id") -> DataFrame:
     """Evidence, signals, confidence_score, confidence_label and explanations of each event."""
-    both = event_evidence(members, event).join(event_signals(members, event), event).withColumn("confidence_score", confidence_score())
+    # Written once: else label and explanations each repeat what they read, down to the members' columns.
+    both = cut(event_evidence(members, event).join(event_signals(members, event), event).withColumn("confidence_score", confidence_score()))
     return both.withColumns(
         {
             "confidence_label": confidence_label(), "confidence_label_ko": label_ko(confidence_label()),

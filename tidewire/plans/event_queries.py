@@ -52,7 +52,7 @@ def a4(spark, d):
 
 def a8(spark, d):
     """Confidence of events, with label and explanation."""
-    return evidence.event_confidence(members(spark, d)).select("event_id", "confidence_score", "confidence_label", "confidence_explanation_en", "source_count", "independent_source_count")
+    return evidence.event_confidence(cut(members(spark, d))).select("event_id", "confidence_score", "confidence_label", "confidence_explanation_en", "source_count", "independent_source_count")
 
 
 def _placed(spark, d):
@@ -86,7 +86,7 @@ def a11(spark, d):
     """Figures of a run."""
     m = members(spark, d)
     full = evidence.enrich(m, evidence.build_events(cluster.with_event_ids(_placed(spark, d).drop("event_id"))).withColumn("event_id", F.concat(F.lit("e"), F.col("event_pos").cast("string"))))
-    ev = evidence.event_confidence(m)
+    ev = evidence.event_confidence(cut(m))
     out = metrics.story_metrics(full).join(metrics.event_metrics(ev)).join(metrics.top_metrics(m.withColumn("article_id", F.col("doc_id"))))
     return out
 

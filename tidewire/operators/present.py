@@ -96,10 +96,10 @@ def sections(articles: DataFrame, room: int = rules.SECTION_ROOM, position: str
     index = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
     at = lambda c: F.coalesce(F.try_element_at(index, F.col(c)), F.lit(len(names)))
     keyed = wanted.withColumn("_s", F.least(at("primary_category"), at("category"))).withColumn("_t", F.greatest(at("primary_category"), at("category")))
-    best = F.row_number().over(Window.partitionBy("_s", "_t").orderBy(F.col("_w").desc(), F.col("_at").asc()))
-    early = F.row_number().over(Window.partitionBy("_s", "_t").orderBy(F.col("_at").asc()))
     bound = room * (len(names) + 2)
-    few = keyed.withColumn("_best", best).withColumn("_early", early).filter((F.col("_best") <= bound) | (F.col("_early") <= bound))
+    # Two ranks, each bounded alone: Spark cuts every task's rows to the bound before it shuffles them.
+    first = lambda *order: keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_t").orderBy(*order))).filter(F.col("_n") <= bound).drop("_n")
+    few = first(F.col("_w").desc(), F.col("_at").asc()).unionByName(first(F.col("_at").asc())).dropDuplicates(["article_id"])
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         ranked, taken = pdf.sort_values(["w", "at"], ascending=[False, True]), set()

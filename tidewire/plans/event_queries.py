@@ -329,6 +329,17 @@ def stream_days(spark, d):
     return _drained(spark, incremental.daily_counts(events, at="ts"), "append")
 
 
+def stream_late(spark, d):
+    """Streaming: events a day of a time zone where each file holds events of all days, so that most come late."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts")
+    folder = _folder(spark, "late")
+    e.repartition(4, F.xxhash64("event_id")).write.parquet(folder)
+    flow = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    counts = incremental.DailyCounts(spark, _folder(spark, "counts"), "Europe/Berlin", "ts")
+    counts.start(flow, _folder(spark, "checkpoint")).awaitTermination()
+    return counts.counts()
+
+
 def stream_exact(spark, d):
     """Streaming: the exact suppression on every batch, against what earlier batches kept."""
     rows = articles(spark, d).select("seq", "title", "url", "source", "publisher", F.coalesce("published_at", ref_time()).alias("published_at"))
@@ -353,7 +364,7 @@ QUERIES = {
     "A11_run_metrics": a11, "A12_facet_counts": facets, "P26_story_facets": p26, "A13_priority_counts": a13, "O5_top_prioritised": o5, "F3_featured": f3, "O6_sections": o6, "O3_primary_story": o3, "P23_display": p23,
     "P25_transparency": p25, "F4_dashboard_filter": f4, "F5_table_filter": f5, "O8_table_order": o8, "O9_page": o9, "A15_distinct_values": a15, "J1_issue_counts": j1, "A14_daily_counts": a14, "J2_enrichment": j2,
     "J3_delete_matching": j3, "F2_look_back": f2, "K1_save_issue": k1, "K2_upsert": k2, "K3_insert_ignore": k3, "K6_plain_edition": k6, "S10_latest_issue": s10, "P18_page_text": p18, "S8_page_fetch": s8, "S9_redirects": s9, "A17_feeds_ok": a17,
-    "P19_usable_text": p19, "P22_model_summary": p22, "stream_first_by_url": stream_first, "stream_daily_counts": stream_days, "stream_exact_dedupe": stream_exact,
+    "P19_usable_text": p19, "P22_model_summary": p22, "stream_first_by_url": stream_first, "stream_daily_counts": stream_days, "stream_late_counts": stream_late, "stream_exact_dedupe": stream_exact,
 }
 
 _M = [*duck.normal(), ("m", f"SELECT *, 'e' || CAST(doc_id % 97 AS VARCHAR) AS event_id, (doc_id % 100)::DOUBLE AS p, {duck.publisher('publisher')} AS pk FROM n")]
@@ -465,6 +476,7 @@ ORACLES = {
     "P23_display": duck.with_articles("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN coalesce(nullif(excerpt, ''), title) WHEN hangul THEN title || '. Updates in the ' || en || ' sector reported by ' || publisher || '.' WHEN trim(excerpt) <> '' THEN trim(excerpt) ELSE title || '. Strategic updates in the ' || en || ' ecosystem.' END AS display_summary_en,
   en AS category_label_en, coalesce(strftime(make_timestamp(published_s * 1000000), '%Y-%m-%d %H:%M'), '') AS published_time, CASE WHEN len(topics) > 0 THEN array_to_string(topics[:3], ', ') ELSE ko || ' (' || en || ')' END AS topics_display, publisher AS publisher_display,
   CASE WHEN len(entities) > 0 THEN '주요 기업/모델 (Entities): ' || array_to_string(entities[:4], ', ') ELSE '' END AS points FROM t""", *_TEMPLATE),
+    "stream_late_counts": "SELECT strftime(timezone('Europe/Berlin', timezone('UTC', ts::TIMESTAMP)), '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1",
     "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)",
     "P19_usable_text": """SELECT doc_id, length(x) AS n, kind, length(x) < 250 AS short FROM (SELECT doc_id, CASE WHEN any_text AND (lang <> 'es' OR long_text) THEN text ELSE 'short' END AS x,
   CASE WHEN any_text AND lang IN ('en', 'fr') THEN 'rss_content' WHEN any_text AND lang = 'de' THEN 'rss_summary' WHEN long_text AND lang = 'es' THEN 'page_extraction' ELSE 'fallback' END AS kind

@@ -54,6 +54,9 @@ REPLIES = frozenset("comment comments reply replies ad ads advert advertisement
 #: A line is a link if so much of its text is; so many on end are a menu.
 LINKED, MENU = 0.8, 3
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: What headings of reader comments say.
+COMMENTS = re.compile(r"(?:\d+ )?(?:(?:reader|user|recent|latest|top|all) )?(?:comments?|replies|responses)(?: ?[(:\[]? ?\d* ?[)\]]?)|(?:leave|post|add|write) (?:a|your) (?:comment|reply)|join the (?:conversation|discussion)", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORDS = re.compile(r"[^a-z0-9]+")
 _OPEN = re.compile(r"<[a-zA-Z/!?]")
 KEEP, PLACE, SAY, NEVER = range(4)
@@ -99,6 +102,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.mark, self.stack = [""], [0], [KEEP], [0]
         self.link = [False]
+        self.bare: list[int] = []  # headers of a page, that nothing but their tag marks
         self.open: dict[str, int] = {}
         self.pieces: list[tuple[str, int]] = []
         self.tags = 0
@@ -134,6 +138,7 @@ class _Lines(HTMLParser):
         top, mark = stack[-1], mark_of(tag, attrs)
         if mark == KEEP and tag == "header" and not any(self.tag[x] in ("article", "main") for x in stack):
             mark = PLACE
+            self.bare.append(len(self.tag))
         self.tag.append(tag)
         self.parent.append(top)
         self.mark.append(NEVER if self.mark[top] == NEVER else mark)
@@ -224,6 +229,15 @@ class _Page:
                 if not self.link[n]:
                     self.chars[n] += len(t)
         self.chars = self._summed(self.chars)
+        #: Headers that hold a first heading, which is no link, and nothing else: the article's, not the site's.
+        said, first, h1 = [0] * len(self.tag), [0] * len(self.tag), self.inside(("h1",))
+        for pieces, _ in self.lines if p.bare else ():
+            for t, n in pieces:
+                size = len("".join(t.split()))
+                said[n] += size
+                first[n] += size if h1[n] >= 0 and not self.link[n] else 0
+        said, first = self._summed(said), self._summed(first)
+        self.titles = frozenset(n for n in p.bare if 0 < said[n] == first[n])
 
     def _summed(self, own: list[int]) -> list[int]:
         """Sums over subtrees, of numbers of elements."""
@@ -247,7 +261,7 @@ class _Page:
             elif m != KEEP:
                 wrapper = heads[n] > 0 and 2 * self.chars[n] > self.chars[0]
                 full = m == PLACE and self.tag[n] not in ASIDE and dense is not None and 2 * dense[n] > dense[0]
-                out[n] = m == NEVER or not (wrapper or full)
+                out[n] = m == NEVER or not (wrapper or full or n in self.titles)
         return out
 
     def told(self, out: list[bool]) -> list[tuple[str, int, int]]:
@@ -259,6 +273,28 @@ class _Page:
             rows.append((text, min(linked, len(text)), next((n for t, n in pieces if not out[n] and not t.isspace()), 0)))
         return rows
 
+    def without_comments(self, rows: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        """Lines without those from a heading of comments on, to the end of the element that the heading stands in."""
+        above = None
+        for i, (text, _, n) in enumerate(rows):
+            if text and len(text) < 60 and COMMENTS.fullmatch(text):
+                above = above or self.inside(tuple(HEADINGS))
+                if above[n] < 0:
+                    continue
+                around = self.inside(some=frozenset([self.parent[above[n]]]))
+                left = [r if j < i or around[r[2]] < 0 else ("", 0, r[2]) for j, r in enumerate(rows)]
+                if any(r[0] for r in left):
+                    rows = left
+        return rows
+
+    def headline(self, rows: list[tuple[str, int, int]], inside: list[int]) -> list[str]:
+        """The nearest first heading before the content, if the content has none."""
+        own = [i for i, (text, _, n) in enumerate(rows) if text and inside[n] >= 0]
+        h1 = self.inside(("h1",))
+        if not own or any(h1[rows[i][2]] >= 0 for i in own):
+            return []
+        return next(([rows[i][0]] for i in range(own[0] - 1, -1, -1) if rows[i][0] and h1[rows[i][2]] >= 0), [])
+
     def dense(self, rows: list[tuple[str, int, int]]) -> list[int]:
         """The lines of the upper cluster of the smoothed text-to-tag ratio."""
         ratio = np.array([(len(t) - linked) / max(1, n) for (t, linked, _), (_, n) in zip(rows, self.lines, strict=True)], dtype=float)
@@ -295,29 +331,27 @@ class _Page:
 
     def text(self) -> str:
         out = self.left_out()
-        rows = self.told(out)
+        rows = self.without_comments(self.told(out))
         # Lines as if nothing were left out for its place: where most of the dense ones are is no menu, whatever its name.
         if any(self.mark[n] == PLACE and self.tag[n] not in ASIDE for n in range(len(self.tag))):
             spoken = [m in (SAY, NEVER) or t in ASIDE for m, t in zip(self.mark, self.tag, strict=True)]
             for n in range(1, len(spoken)):
                 spoken[n] = spoken[n] or spoken[self.parent[n]]
-            open_rows = self.told(spoken)
+            open_rows = self.without_comments(self.told(spoken))
             own = [0] * len(self.tag)
             if any(r[0] for r in open_rows):
                 for i in self.dense(open_rows):
                     own[open_rows[i][2]] += len(open_rows[i][0])
             out = self.left_out(self._summed(own))
-            rows = self.told(out)
+            rows = self.without_comments(self.told(out))
         if not any(r[0] for r in rows):
             return ""
-        inside = self.inside(some=self.region(rows, self.dense(rows)))
-        own = [(text, linked >= LINKED * len(text)) for text, linked, n in rows if text and inside[n] >= 0]
-        lines = []
-        for links, run in groupby(own, lambda r: r[1]):
-            part = [text for text, _ in run]
-            if not (links and len(part) >= MENU):
-                lines += part
-        return "\n".join(lines)
+        around, inside = self.inside(("article", "main")), self.inside(some=self.region(rows, self.dense(rows)))
+        own = [(text, around[n] < 0 and linked >= LINKED * len(text)) for text, linked, n in rows if text and inside[n] >= 0]
+        runs = [(links, [text for text, _ in run]) for links, run in groupby(own, lambda r: r[1])]
+        # Many links on end are a menu where no article is marked and no prose stands on both sides of them.
+        lines = [text for k, (links, part) in enumerate(runs) for text in part if not (links and len(part) >= MENU and k in (0, len(runs) - 1))]
+        return "\n".join(self.headline(rows, inside) + lines)
 
 
 def main_text(html: str | None) -> str:

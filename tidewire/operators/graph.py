@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A key with at least one in HOT_SHARE of all rows is hot; no more than HOT_SHARE keys can be.
 HOT_SHARE = 500
+#: Below so many rows a key that has them all is no burden, and one join is enough.
+FEW_ROWS = 50_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -51,6 +53,8 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     """``rows`` joined to ``groups``, one row a key with the number of ``rows`` that have it under ``size``. Hot keys, of
     which there are HOT_SHARE at most, are broadcast, so that their rows stay in the tasks they are in; the others are
     shuffled, and none of them makes a large partition. ``how`` is inner or left."""
+    if total < FEW_ROWS:
+        return rows.join(groups, keys, how).drop(size)
     hot_one = F.col(size) * HOT_SHARE >= max(int(total), 1)
     hot, cold = groups.filter(hot_one), groups.filter(~hot_one)
     here = rows.join(F.broadcast(hot), keys)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire import rules
-from tidewire.operators import cluster, evidence, metrics, present, score, similarity, store
+from tidewire.operators import cluster, evidence, keyed, metrics, present, score, similarity, store
 from tidewire.operators.graph import cut
 from tidewire.plans import duck
 from tidewire.plans.story_queries import _FEATURES, _TEMPLATE, normal, scored
@@ -202,17 +202,21 @@ def f2(spark, d):
 
 
 def k2(spark, d):
-    """Events upserted by key: the newest issue has them."""
+    """Customers upserted by key into a keyed table: those divisible by 2 or 3 come anew, those not divisible by 3 are there."""
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    old, new = c.filter("c_custkey % 3 != 0"), c.filter("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
-    return store.upsert(old, new, ["c_custkey"])
+    t = keyed.KeyedTable(spark, _folder(spark, "customers"), ["c_custkey"], buckets=8)
+    t.upsert(c.filter("c_custkey % 3 != 0"))
+    t.upsert(c.filter("c_custkey % 2 = 0 OR c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1))
+    return t.read()
 
 
 def k3(spark, d):
-    """Bridge rows inserted unless there: the first stays."""
+    """Bridge rows inserted into a keyed table unless there: the first stays."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
-    old = li.filter("l_linenumber = 1").dropDuplicates(["l_orderkey", "l_suppkey"])
-    return store.insert_ignore(old, li.filter("l_linenumber > 1"), ["l_orderkey", "l_suppkey"], "l_linenumber").groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+    t = keyed.KeyedTable(spark, _folder(spark, "bridge"), ["l_orderkey", "l_suppkey"], buckets=8)
+    t.insert_new(li.filter("l_linenumber = 1"), "l_linenumber")
+    t.insert_new(li.filter("l_linenumber > 1"), "l_linenumber")
+    return t.read().groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"))
 
 
 def k1(spark, d):
@@ -461,7 +465,7 @@ ORACLES = {
   FROM m LEFT JOIN ec USING (event_id)""", *[(n, s.replace("(doc_id % 97 AS VARCHAR) AS event_id", "(doc_id % 97 AS VARCHAR) AS event_key, CASE WHEN doc_id % 10 <> 0 THEN 'e' || CAST(doc_id % 97 AS VARCHAR) END AS event_id") if n == "m" else s) for n, s in _EV], ("ec", f"SELECT *, {_EXPLAIN} AS explained FROM cf WHERE event_id IS NOT NULL")),
     "J3_delete_matching": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
     "F2_look_back": "SELECT count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE ts >= TIMESTAMP '2024-01-17 00:00:00'",
-    "K2_upsert": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0",
+    "K2_upsert": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer",
     "K3_insert_ignore": "SELECT l_linenumber, count(*) AS n FROM (SELECT DISTINCT ON (l_orderkey, l_suppkey) * FROM (SELECT l_orderkey, l_suppkey, l_linenumber FROM lineitem) ORDER BY l_orderkey, l_suppkey, l_linenumber) GROUP BY 1",
     "K1_save_issue": "SELECT d AS issue_date, CASE WHEN d = '2026-09-17' THEN n2 ELSE n END AS n_articles, n2 AS n_read, n2 AS n_enriched FROM (VALUES ('2026-09-16'), ('2026-09-17')) v(d), (SELECT count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS n2 FROM documents)",
     "S10_latest_issue": "SELECT max(strftime(ts, '%Y-%m-%d')) AS issue_date FROM events",

@@ -238,6 +238,27 @@ def _folder(spark, name):
     return scratch(spark, name)
 
 
+#: Documents a feed shows at most: one feed is one thousand numbers of one source.
+_IN_A_FEED = 1000
+
+
+def s2(spark, d):
+    """All feeds scanned in catalogue order. The feeds are written from the documents, one file each, and read back."""
+    x = table(spark, d, "documents").select(F.concat_ws("_", "source", F.floor(F.col("doc_id") / _IN_A_FEED)).alias("id"), "doc_id", "text")
+    shown = feeds.cap_per_feed(x, "id", "doc_id", 2 * rules.FEED_CAP)
+    safe = F.col("text")
+    for pattern, mark in ((r"[\x00-\x08\x0B-\x1F]", " "), ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.regexp_replace(safe, pattern, mark)
+    item = F.concat(F.lit("<item><title>story "), "doc_id", F.lit("</title><link>https://example.com/"), "doc_id", F.lit("</link><description>"), F.coalesce(safe, F.lit("")), F.lit("</description></item>"))
+    bodies = shown.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))), lambda i: i["item"]), "").alias("items"))
+    out = _folder(spark, "feeds")
+    bodies.select("id", F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("value")).write.partitionBy("id").text(out)
+    found = spark.read.schema("value string, id string").text(out, wholetext=True).select(F.col("id").alias("feed_id"), F.col("value").alias("body"), F.lit(200).alias("http_status"), F.lit(None).cast("string").alias("error"))
+    ranks = bodies.select("id").withColumn("rank", F.row_number().over(Window.orderBy("id")) - 1)
+    rows = feeds.scan_responses(found, ranks)
+    return rows.select("seq", "feed_id", "title", F.col("link").alias("url"), F.length("summary").alias("n_chars"))
+
+
 def s10(spark, d):
     """The latest issue."""
     e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("issue_date"))
@@ -367,7 +388,7 @@ QUERIES = {
     "A1_publisher_levels": a1, "A2_publisher_strength": a2, "A3_event_evidence": a3, "A4_event_signals": a4, "A6_event_members": a6, "A8_event_confidence": a8, "A9_event_anchor": a9, "A10_feed_counts": a10,
     "A11_run_metrics": a11, "A12_facet_counts": facets, "P26_story_facets": p26, "A13_priority_counts": a13, "O5_top_prioritised": o5, "F3_featured": f3, "O6_sections": o6, "O3_primary_story": o3, "P23_display": p23,
     "P25_transparency": p25, "F4_dashboard_filter": f4, "F5_table_filter": f5, "O8_table_order": o8, "O9_page": o9, "A15_distinct_values": a15, "J1_issue_counts": j1, "A14_daily_counts": a14, "J2_enrichment": j2,
-    "J3_delete_matching": j3, "F2_look_back": f2, "K1_save_issue": k1, "K2_upsert": k2, "K3_insert_ignore": k3, "K6_plain_edition": k6, "S10_latest_issue": s10, "P18_page_text": p18, "S8_page_fetch": s8, "S9_redirects": s9, "A17_feeds_ok": a17,
+    "J3_delete_matching": j3, "F2_look_back": f2, "K1_save_issue": k1, "K2_upsert": k2, "K3_insert_ignore": k3, "K6_plain_edition": k6, "S2_feed_scan": s2, "S10_latest_issue": s10, "P18_page_text": p18, "S8_page_fetch": s8, "S9_redirects": s9, "A17_feeds_ok": a17,
     "P19_usable_text": p19, "P22_model_summary": p22, "stream_first_by_url": stream_first, "stream_daily_counts": stream_days, "stream_late_counts": stream_late, "stream_exact_dedupe": stream_exact,
 }
 
@@ -465,6 +486,11 @@ ORACLES = {
   FROM m LEFT JOIN ec USING (event_id)""", *[(n, s.replace("(doc_id % 97 AS VARCHAR) AS event_id", "(doc_id % 97 AS VARCHAR) AS event_key, CASE WHEN doc_id % 10 <> 0 THEN 'e' || CAST(doc_id % 97 AS VARCHAR) END AS event_id") if n == "m" else s) for n, s in _EV], ("ec", f"SELECT *, {_EXPLAIN} AS explained FROM cf WHERE event_id IS NOT NULL")),
     "J3_delete_matching": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
     "F2_look_back": "SELECT count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE ts >= TIMESTAMP '2024-01-17 00:00:00'",
+    "S2_feed_scan": rf"""
+        WITH x AS (SELECT concat_ws('_', source, CAST(floor(doc_id / {_IN_A_FEED}) AS BIGINT)) AS id, doc_id, text FROM documents),
+             r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id) - 1 AS pos, dense_rank() OVER (ORDER BY id) - 1 AS rank FROM x)
+        SELECT rank * 1000000 + pos AS seq, id AS feed_id, 'story ' || doc_id AS title, 'https://example.com/' || doc_id AS url, nullif(length(text), 0) AS n_chars
+        FROM r WHERE pos < {rules.FEED_CAP}""",
     "K2_upsert": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer",
     "K3_insert_ignore": "SELECT l_linenumber, count(*) AS n FROM (SELECT DISTINCT ON (l_orderkey, l_suppkey) * FROM (SELECT l_orderkey, l_suppkey, l_linenumber FROM lineitem) ORDER BY l_orderkey, l_suppkey, l_linenumber) GROUP BY 1",
     "K1_save_issue": "SELECT d AS issue_date, CASE WHEN d = '2026-09-17' THEN n2 ELSE n END AS n_articles, n2 AS n_read, n2 AS n_enriched FROM (VALUES ('2026-09-16'), ('2026-09-17')) v(d), (SELECT count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS n2 FROM documents)",

@@ -75,25 +75,61 @@ class FeedSource(DataSource):
         return _FeedReader(self.options)
 
 
+def listed(options: dict) -> list[tuple[str, str]]:
+    """(id, address) of the feeds that the options name."""
+    ids = set(filter(None, options.get("ids", "").split(",")))
+    return [(f[1], f[4]) for f in feed_rows() if not ids or f[1] in ids]
+
+
+def fetcher(options: dict) -> Callable[[str, str], tuple[int, bytes]]:
+    """How a feed of an id and address is fetched: ``folder`` holds <id>.xml files, mounted everywhere, in place of the
+    network."""
+    folder = options.get("folder")
+
+    def fetch(feed_id: str, url: str) -> tuple[int, bytes]:
+        if not folder:
+            return fetch_http(url)
+        with open(f"{folder}/{feed_id}.xml", "rb") as f:
+            return 200, f.read()
+
+    return fetch
+
+
 class _FeedReader(DataSourceReader):
     def __init__(self, options: dict):
-        ids = set(filter(None, options.get("ids", "").split(",")))
-        self.feeds = [(f[1], f[4]) for f in feed_rows() if not ids or f[1] in ids]
-        self.cap = int(options.get("cap", rules.FEED_CAP))
-        self.folder = options.get("folder")  # <id>.xml files on a mounted folder, in place of the network
+        self.feeds, self.fetch, self.cap = listed(options), fetcher(options), int(options.get("cap", rules.FEED_CAP))
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(i) for i in range(len(self.feeds))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         feed_id, url = self.feeds[partition.value]
-        if self.folder:
-            def fetch(_: str) -> tuple[int, bytes]:
-                with open(f"{self.folder}/{feed_id}.xml", "rb") as f:
-                    return 200, f.read()
-        else:
-            fetch = fetch_http
-        yield from read_feed(feed_id, url, fetch, self.cap)
+        yield from read_feed(feed_id, url, lambda u: self.fetch(feed_id, u), self.cap)
+
+
+def scan_responses(responses: DataFrame, feeds: DataFrame, cap: int = rules.FEED_CAP) -> DataFrame:
+    """Raw rows of responses that are there already (feed_id, body string, http_status int, error string), with ``seq``, which
+    orders them by the feeds' ``rank`` and the place in the feed, whichever task is done first. A response with an error, a
+    bad status or malformed XML gives one row that says so; a null body is an empty one, which is malformed; a feed that
+    is not among ``feeds`` gives nothing, rows that repeat a feed are each read. No row is lost with an executor: tasks only
+    read."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                failed = None if pd.isna(r.error) else r.error
+
+                def fetch(_: str, r=r, failed=failed) -> tuple[int, bytes]:
+                    if failed is not None:
+                        raise OSError(failed)
+                    return (200 if pd.isna(r.http_status) else int(r.http_status)), ("" if pd.isna(r.body) else r.body).encode()
+
+                rows = pd.DataFrame(read_feed(r.feed_id, "", fetch, cap), columns=[c.split()[0] for c in RAW.split(", ")]).astype(object)
+                rows["response_time"], rows["rank"] = 0.0, r.rank
+                yield rows.where(rows.notna(), None)
+
+    ranked = responses.select("feed_id", "body", "http_status", "error").join(feeds.select(F.col("id").alias("feed_id"), F.col("rank").cast("long").alias("rank")), "feed_id")
+    return ranked.mapInPandas(read, f"{RAW}, rank long").withColumn("seq", F.col("rank") * F.lit(1_000_000) + F.coalesce("pos", F.lit(0)))
 
 
 def read_feeds(spark: SparkSession, **options: str) -> DataFrame:

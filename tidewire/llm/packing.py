@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from .shared import text_or_empty
 
-#: Units (words, unless a length column is named) a bin holds; documents that are packed together on average.
-CAPACITY, BLOCK_DOCS = 2048, 2048
+#: Units (words, unless a length column is named) a bin holds; documents and UTF-8 bytes of text that are packed together on
+#: average.
+CAPACITY, BLOCK_DOCS, BLOCK_BYTES = 2048, 2048, 32 << 20
+#: Rows alike in id, source, class, length and text that go to one block together; rows of one text that a task repeats.
+ALIKE, REPEATS = 16, 4096
 #: Blocks a task packs, one after another, where there are many.
 TASK_BLOCKS = 16
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,6 +73,16 @@ def cut_text(text: str, n_words: int, capacity: int) -> list[str]:
     return [text[a:b] for a, b in zip([0, *starts[1:]], [*starts[1:], len(text)], strict=True)]
 
 
+def dealt_copies(rows: DataFrame) -> DataFrame:
+    """Rows with a ``turn``: rows that are alike (in the hash of that name) take turns of ``ALIKE``. They are counted before they
+    are shuffled, and written out again by ``REPEATS`` in tasks of their own, so that none is in one task with all others."""
+    one = rows.groupBy("alike").agg(F.count(F.lit(1)).alias("rows"), *(F.first(c).alias(c) for c in rows.columns if c != "alike"))
+    many = one.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / F.lit(REPEATS)))))
+    spread = many.repartition("alike", "lot").withColumn("here", F.least(F.lit(REPEATS), F.col("rows") - F.col("lot") * REPEATS))
+    copies = spread.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("here") - 1)))
+    return copies.withColumn("turn", F.floor((F.col("lot") * REPEATS + F.col("k")) / F.lit(ALIKE))).select(*rows.columns, "turn")
+
+
 def pack(
     docs: DataFrame,
     capacity: int = CAPACITY,
@@ -79,6 +92,7 @@ def pack(
     source_col: str | None = "source",
     cluster: Column | None = None,
     block_docs: int = BLOCK_DOCS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row a piece of a document: doc_id, piece, start, length, bin_id, bin_offset, text.
 
@@ -90,27 +104,31 @@ def pack(
     are the document's text, all white space included; with ``length``, whose unit is unknown, a text is not cut: it stands
     with piece 0.
 
-    Documents are dealt by a hash of id and cluster into blocks of ``block_docs`` on average; a block is packed alone, in
-    order of falling length, then id, then cluster, so that the result depends on the rows and their number only. A hot
-    source or cluster is dealt over all blocks like any other. A block's texts are in one task's memory.
+    Documents are dealt by a hash of all that is read of them into blocks of ``block_docs`` documents and ``block_bytes`` of
+    text at most, on average; a block is packed alone, in order of falling length, then id, then cluster, so that the result
+    depends on the rows and their number only. A hot source or cluster is dealt over all blocks like any other. Rows that are
+    alike are counted and dealt by ``ALIKE``, however many they are. A block's texts are in one task's memory.
     """
     text = text_or_empty(text_col)
     size = length if length is not None else words_in(F.col(text_col))
-    base = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), (F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")).alias("source"),
-        F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("n"), (cluster if cluster is not None else F.xxhash64(text, F.octet_length(text))).cast("long").alias("cluster"), text.alias("text"),
-    )
-    blocks = max(1, -(-docs.count() // block_docs))
-    rows = base.select("*", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(blocks)).alias("block"))
+    source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
+    own = (cluster if cluster is not None else F.xxhash64(text, F.octet_length(text))).cast("long")
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), own.alias("cluster"), text.alias("text"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("n"))
+    base = read.withColumn("alike", F.xxhash64("doc_id", "source", "cluster", "text", *(["n"] if length is not None else [])))
+    counted = base.groupBy("alike").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
+    rows_, bytes_, most = counted.agg(F.sum("rows"), F.sum("bytes"), F.max("rows")).first()
+    blocks = max(1, -(-(rows_ or 0) // block_docs), -(-(bytes_ or 0) // block_bytes))
+    base = dealt_copies(base) if (most or 0) > ALIKE else base.withColumn("turn", F.lit(0).cast("long"))
+    rows = base.select("*", F.pmod(F.xxhash64("alike", "turn"), F.lit(blocks)).alias("block")).drop("turn")
     by_words = length is None
     # Tasks hold so many blocks at any size of the table; few blocks are dealt over the tasks there are.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(max(-(-blocks // TASK_BLOCKS), min(blocks, parts)), "block")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, sources, sizes, clusters = (table.column(c).to_pylist() for c in ("doc_id", "source", "n", "cluster"))
+        ids, sources, sizes, clusters, alike = (table.column(c).to_pylist() for c in ("doc_id", "source", "n", "cluster", "alike"))
         texts, base = table.column("text"), key[0].as_py() << 32
-        order = sorted(range(len(ids)), key=lambda r: (-sizes[r], ids[r] is None, ids[r] or 0, clusters[r] is None, clusters[r] or 0, texts[r].as_py() if ids[r] is None else ""))
+        order = sorted(range(len(ids)), key=lambda r: (-sizes[r], ids[r] is None, ids[r] or 0, clusters[r] is None, clusters[r] or 0, alike[r]))
         source, group = _numbered(sources), _numbered(clusters)
         rests, out, full = [], [], 0
         for r in order:

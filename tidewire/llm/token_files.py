@@ -24,6 +24,9 @@ from .wordhash import slices
 
 #: Fixed values of the files: ids in a sequence, sequences in a record batch, UTF-8 bytes of text a shard aims at.
 SEQ_LEN, BATCH_SEQS, SHARD_BYTES = 2048, 128, 24 << 20
+#: Above so many shards they grow with the input, up to this size, before there are more of them; shards whose positions one
+#: task adds up.
+MANY_SHARDS, LARGE_SHARD, RANGE_SHARDS = 4096, 512 << 20, 1024
 #: UTF-8 bytes of text whose words are encoded together; word parts that a worker remembers the ids of.
 CHUNK_BYTES, REMEMBERED = 8 << 20, 500_000
 #: How byte-level vocabularies write a space and a newline.
@@ -312,7 +315,7 @@ def write_token_files(
     dtype = "<u4" if wide else "<u2"
     end = np.array([end_id], dtype).tobytes()
     rows = doc_frame(docs, id_col, text_col)
-    shards = max(1, -(-text_bytes(docs, text_col) // shard_bytes))
+    shards = shard_count(text_bytes(docs, text_col), shard_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, first = None, None, None
@@ -336,16 +339,26 @@ def write_token_files(
     return docs.sparkSession.read.schema(written.schema).parquet(f"{out}/manifest")
 
 
+def shard_count(size: int, shard_bytes: int = SHARD_BYTES) -> int:
+    """Shards for so many bytes: of ``shard_bytes`` each up to ``MANY_SHARDS``, then as many and larger, then of
+    ``LARGE_SHARD``. Writing and sorting stream, so a large shard takes no more memory."""
+    return max(1, min(-(-size // shard_bytes), max(MANY_SHARDS, -(-size // max(LARGE_SHARD, shard_bytes)))))
+
+
 def with_starts(manifest: DataFrame) -> DataFrame:
-    """The manifest with each shard's first position among all ids. It has a row for every ``shard_bytes`` of text, no more."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("shard_start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    """The manifest with each shard's first position among all ids: sums within ranges of ``RANGE_SHARDS``, after the sum of the
+    ranges before, of which there is one row for every ``RANGE_SHARDS`` shards."""
+    ranged = manifest.withColumn("_range", F.floor(F.col("part") / F.lit(RANGE_SHARDS)))
+    within, before = Window.partitionBy("_range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("_range").agg(F.sum("n_tokens").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return ranged.join(ranges, "_range").withColumn("shard_start", F.col("_before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).drop("_range", "_before")
 
 
 def read_token_digest(spark: SparkSession, out: str) -> DataFrame:
-    """Read a folder back: doc_id, start, n_tokens, ids_crc32 and the shard of each document."""
-    manifest = with_starts(spark.read.parquet(f"{out}/manifest"))
-    n = max(1, manifest.count())
+    """Read a folder back: doc_id, start, n_tokens, ids_crc32 and the shard of each document. Each shard has a task of its own."""
+    manifest = spark.read.parquet(f"{out}/manifest")
+    n = (manifest.agg(F.max("part")).first()[0] or 0) + 1
+    manifest = with_starts(manifest)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,7 +369,7 @@ def read_token_digest(spark: SparkSession, out: str) -> DataFrame:
                     crc = [zlib.crc32(shard.ids(int(s), int(c)).astype("<u4").tobytes()) for s, c in zip(starts, counts, strict=True)]
                     yield pa.record_batch([rows.column(0), pa.array(starts + at), rows.column(2), pa.array(crc, pa.int64()), pa.array([name] * len(crc))], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
-    return manifest.select("name", "shard_start").repartition(n, "name").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
+    return manifest.select("name", "shard_start", "part").repartitionById(n, F.col("part")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

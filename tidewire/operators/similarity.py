@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire import rules
@@ -124,6 +124,33 @@ def near_in_time(rows: DataFrame, key: str, pos: str, seconds: str, hours: float
     return met.select("key", F.least("pa", "pb").alias("u"), F.greatest("pa", "pb").alias("v"))
 
 
+def near_counts(rows: DataFrame, key: str, pos: str, seconds: str, hours: float = rules.WINDOW_HOURS) -> DataFrame:
+    """(key, n): how many pairs of ``near_in_time`` a key has, without making them; keys that have none are left out.
+
+    All rows of a cell are near one another. A row and one of the next cell are near if the later one lies no further into its
+    cell, which a running sum over the places in a cell counts: so work grows with the rows, and a key and two cells have no
+    more places than two windows have seconds."""
+    width = int(hours * 3600)
+    named = cut(rows.select(F.col(key).alias("key"), F.col(pos).alias("p"), F.col(seconds).alias("s")).filter("key is not null and p is not null and s is not null"))
+
+    def counted(of: DataFrame, keys: list[str]) -> DataFrame:
+        cell = F.floor(F.col("s") / F.lit(width))
+        placed = cut(of.groupBy(*keys, cell.alias("cell"), (F.col("s") - cell * F.lit(width)).alias("place")).agg(F.sum("n").alias("n")))
+        here = placed.groupBy(*keys, "cell").agg(F.sum("n").alias("m")).select("key", F.expr("m * (m - 1) div 2").alias("n"))
+        earlier = placed.select(*keys, (F.col("cell") + 1).alias("cell"), "place", F.col("n").alias("a"), F.lit(0).cast("long").alias("b"))
+        both = earlier.unionByName(placed.select(*keys, "cell", "place", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
+        met = F.sum("b").over(Window.partitionBy(*keys, "cell").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        beyond = both.withColumn("met", met).select("key", (F.col("a") * F.col("met")).alias("n"))
+        return here.unionByName(beyond).groupBy("key").agg(F.sum("n").alias("n"))
+
+    all_pairs = counted(named.withColumn("n", F.lit(1).cast("long")), ["key"])
+    # Rows of one position are no pair.
+    one = named.groupBy("key", "p").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    own = counted(named.join(one, ["key", "p"], "left_semi").withColumn("n", F.lit(1).cast("long")), ["key", "p"])
+    both = all_pairs.unionByName(own.withColumn("n", -F.col("n")))
+    return both.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 IDENTITIES = ("article_id", "canonical_url", "url")
 
 

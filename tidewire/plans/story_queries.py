@@ -196,8 +196,8 @@ def j7(spark, d):
 
 def j9(spark, d):
     """Stories within 72 hours of one another that share a model, counted."""
-    a = _features(spark, d).select("pos", "published_s", F.explode("f_models").alias("model"))
-    return similarity.near_in_time(a, "model", "pos", "published_s").groupBy(F.col("key").alias("model")).agg(F.count(F.lit(1)).alias("n"))
+    a = similarity.with_features(articles(spark, d)).select(F.col("doc_id").alias("pos"), "published_s", F.explode("f_models").alias("model"))
+    return similarity.near_counts(a, "model", "pos", "published_s").select(F.col("key").alias("model"), "n")
 
 
 def o2(spark, d):

@@ -6,8 +6,8 @@ bitmaps counts the samples in which two documents differ, which is precise where
 sketches leave the threshold within reach are confirmed, on their full shingle sets.
 
 Groups of copies stay linear: equal sets are one vertex; each vertex is first compared with one pivot, the most central
-member of the buckets it is in; then only members that no confirmed link connects yet meet, and of those only pairs that
-pass the screen are written down.
+member of the buckets it is in; then only members that no confirmed link connects yet meet. Of small groups the pairs that
+pass the screen are written down; members of large ones are compared in blocks, and only links are.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ SAMPLES, SKETCH_WORDS = 768, 32
 #: A pair is confirmed if its estimate is at most this far below the threshold: four standard errors, which are wider for
 #: each percent below 85.
 MARGIN, WIDER = 0.055, 0.002
-#: Members of a bucket on either side of one task's comparisons, at most on average.
-SLICE = 2048
+#: Members of a cell on either side of one block's comparisons, at most on average, and their shingles together.
+SLICE, SLICE_SHINGLES = 1024, 4_000_000
+#: Up to so many members, a cell's pairs are written down; those of larger cells stay in the tasks that compare them.
+FEW_MEMBERS = 32
 
 _RNG = np.random.default_rng(77_001)
 _XOR = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32)
@@ -151,6 +153,76 @@ def _confirm(percent: int):
     return run
 
 
+_BLOCK = ["bucket", "cell", "a_slice", "b_slice"]
+_BLOCK_TYPES = "bucket long, cell long, a_slice int, b_slice int"
+
+
+def _bands(table: pa.Table, name: str) -> np.ndarray:
+    lists = table.column(name).combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _screen_block(percent: int):
+    """Who has to be compared in a block: each member of a pair that passes the screen, with its partners. A pair is left to
+    the first of the buckets that it shares."""
+    most = most_differing_bits(percent)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        get = lambda t, c: t.column(c).to_numpy()
+        words = lambda t, p: np.stack([get(t, f"{p}{s}") for s in _SKETCH], 1).view(np.uint64)
+        u, v, lu, lv, nu, nv = get(a, "u"), get(b, "v"), get(a, "lu"), get(b, "lv"), get(a, "a_n"), get(b, "b_n")
+        partners: dict[int, list[int]] = {}
+        if len(u) and len(v):
+            x, y, bx, by, top = words(a, "a_"), words(b, "b_"), _bands(a, "a_bands"), _bands(b, "b_bands"), get(b, "in_top")
+            own = int(np.argmax(bx[0] == a.column("bucket")[0].as_py()))
+            for at in range(0, len(u), 32):
+                s = slice(at, at + 32)
+                differ = np.bitwise_count(x[s, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+                sizes = np.minimum(nu[s, None], nv) * 100 >= np.maximum(nu[s, None], nv) * percent
+                i, j = np.nonzero((differ <= most) & sizes & (lu[s, None] != lv) & (top | (u[s, None] < v)))
+                new = ~(bx[at + i, :own] == by[j, :own]).any(1)
+                for p, q in zip(u[at + i[new]].tolist(), v[j[new]].tolist(), strict=True):
+                    partners.setdefault(p, []).append(q)
+                    partners.setdefault(q, [])
+        label = dict(zip(u.tolist(), lu.tolist(), strict=True)) | dict(zip(v.tolist(), lv.tolist(), strict=True))
+        one = (a if len(u) else b).select(_BLOCK).slice(0, 1).to_pylist()[0]
+        ids = list(partners)
+        block = [pa.array([one[c]] * len(ids), t) for c, t in zip(_BLOCK, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+        return pa.table([*block, pa.array(ids, pa.int64()), pa.array([label[i] for i in ids], pa.int64()), pa.array([partners[i] for i in ids], pa.list_(pa.int64()))], names=[*_BLOCK, "doc_id", "label", "partners"])
+
+    return run
+
+
+def _confirm_block(percent: int):
+    """The links of a block by full sets, but for pairs whose classes other links of the block have connected already."""
+
+    def run(block: pa.Table) -> pa.Table:
+        ids, texts = block.column("doc_id").to_pylist(), block.column("text").to_pylist()
+        label, sets, up = dict(zip(ids, block.column("label").to_pylist(), strict=True)), {}, {}
+        for a, b in slices([len(t) for t in texts]):
+            sets.update(zip(ids[a:b], shingle_sets(texts[a:b], WORDS), strict=True))
+
+        def root(c: int) -> int:
+            while up.get(c, c) != c:
+                up[c] = c = up.get(up[c], up[c])
+            return c
+
+        links = []
+        for u, vs in zip(ids, block.column("partners").to_pylist(), strict=True):
+            for v in vs:
+                p, q = root(label[u]), root(label[v])
+                if p == q:
+                    continue
+                x, y = sets[u], sets[v]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    up[p] = q
+                    links.append((u, v))
+        return pa.table([pa.array([e[k] for e in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return run
+
+
 class _Linker:
     """Screens and confirms pairs of vertices."""
 
@@ -163,8 +235,8 @@ class _Linker:
             F.least(f"{a}n", f"{b}n") * F.lit(100) >= F.greatest(f"{a}n", f"{b}n") * F.lit(self.percent)
         )
 
-    def sketched(self, prefix: str) -> DataFrame:
-        return self.sketches.select("doc_id", *(F.col(c).alias(f"{prefix}{c}") for c in ("n", *_SKETCH)))
+    def sketched(self, prefix: str, *more: str) -> DataFrame:
+        return self.sketches.select("doc_id", *(F.col(c).alias(f"{prefix}{c}") for c in ("n", *more, *_SKETCH)))
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs (u, v): by their sketches, then by their full sets."""
@@ -206,7 +278,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = work.keep(in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
     members = work.keep(attach(in_bands, shared, ["bucket"], F.col("m"), n_bands * max(total, 1), "inner").select("bucket", "doc_id", "n", "m"), "members")
     busy = members.groupBy("doc_id").agg(F.sum("m").alias("central"))
-    sketches = work.keep(vertices.drop("bands").join(busy.hint("merge"), "doc_id"), "sketches")
+    sketches = work.keep(vertices.join(busy.hint("merge"), "doc_id"), "sketches")
     texts = work.keep(rows.join(busy.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     link = _Linker(work, sketches, texts, percent)
 
@@ -223,7 +295,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = work.keep(told, "told")
     mixed = told.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("m").alias("size")).filter("lo != hi").select("bucket", "size")
     open_ = work.keep(attach(told, mixed, ["bucket"], F.col("size"), n_bands * max(total, 1), "inner").select("bucket", "doc_id", "n", "label", "size"), "open")
-    links = link.confirmed(_across(link, open_)).unionByName(labels.filter("doc_id != label").select(F.col("doc_id").alias("u"), F.col("label").alias("v")))
+    links = _links_across(link, open_).unionByName(labels.filter("doc_id != label").select(F.col("doc_id").alias("u"), F.col("label").alias("v")))
     labels = work.keep(components(links, work), "labels")
 
     sized = labels.join(of.groupBy(F.col("rep").alias("doc_id")).agg(F.count(F.lit(1)).alias("c")).hint("merge"), "doc_id", "left")
@@ -240,36 +312,67 @@ def size_cell(n: Column | str, percent: int) -> Column:
     return F.floor(F.log(n) / F.lit(width))
 
 
-def _across(link: _Linker, members: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket in different classes whose sketches pass the screen.
-
-    In each bucket the members outside its largest class meet all members, those whose sizes are in the same cell or the
-    next. So a bucket costs its size times the number of rows outside that class in comparisons, over the cells; both sides
-    of a large cell are cut into slices, and each pair of slices is a task's work of about SLICE x SLICE comparisons.
-    """
+def _cells(link: _Linker, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with whether they are in their bucket's largest class and their cell of sizes; and the cells in which members
+    outside that class meet others, with the slices that either side is cut into."""
     total = max(members.count(), 1)
     sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
     most = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size")).select("bucket", F.col("top.label").alias("top"), "size")
-    told = attach(members.drop("size"), most, ["bucket"], F.col("size"), total, "inner").select("bucket", "doc_id", "label", (F.col("label") == F.col("top")).alias("in_top"), size_cell("n", link.percent).alias("cell"))
+    told = attach(members.drop("size"), most, ["bucket"], F.col("size"), total, "inner").select("bucket", "doc_id", "n", "label", (F.col("label") == F.col("top")).alias("in_top"), size_cell("n", link.percent).alias("cell"))
     told = link.work.keep(told, "told-apart")
-    a = told.filter("not in_top").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    cells = a.select("bucket", "cell", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(told.select("bucket", "cell", F.lit(0).alias("a"), F.lit(1).alias("b")))
-    cells = cells.groupBy("bucket", "cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter((F.col("a") > 0) & (F.col("b") > 0))
-    cells = link.work.keep(cells.select("bucket", "cell", (F.col("a") + F.col("b")).alias("c"), *(F.ceil(F.col(x) / F.lit(SLICE)).cast("int").alias(f"{x}_slices") for x in "ab")), "cells")
+    cells = _outside(told).select("bucket", "cell", "n", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(told.select("bucket", "cell", "n", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    cells = cells.groupBy("bucket", "cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("n").alias("n")).filter((F.col("a") > 0) & (F.col("b") > 0))
+    cut = lambda x: F.greatest(F.ceil(F.col(x) / F.lit(SLICE)), F.least(F.ceil(F.col(x) * F.col("n") / F.lit(SLICE_SHINGLES)), F.col(x))).cast("int")
+    few = F.greatest("a", "b") <= F.lit(FEW_MEMBERS)
+    return told, link.work.keep(cells.select("bucket", "cell", few.alias("few"), (F.col("a") + F.col("b")).alias("c"), *(cut(x).alias(f"{x}_slices") for x in "ab")), "cells")
+
+
+def _outside(told: DataFrame) -> DataFrame:
+    """Members outside the largest class, under the cells that they can be linked in."""
+    return told.filter("not in_top").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+
+
+def _sides(link: _Linker, told: DataFrame, cells: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of each block with their sketches: rows in a slice of their own side, once for each slice of the other."""
+    total = max(told.count(), 1)
 
     def side(rows: DataFrame, own: str, other: str) -> DataFrame:
-        """Rows in a slice of their own side, once for each slice of the other, with their sketches."""
-        dealt = attach(rows, cells, ["bucket", "cell"], F.col("c"), 4 * total, "inner")
+        dealt = attach(rows.drop("n"), cells.drop("few"), ["bucket", "cell"], F.col("c"), 4 * total, "inner")
         dealt = dealt.withColumn(f"{own}_slice", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col(f"{own}_slices")).cast("int")).withColumn(f"{other}_slice", F.explode(F.sequence(F.lit(0), F.col(f"{other}_slices") - 1)))
-        return dealt.join(link.sketched(f"{own}_").hint("merge"), "doc_id")
+        return dealt.join(link.sketched(f"{own}_", *more).hint("merge"), "doc_id")
+
+    a = side(_outside(told), "a", "b").select(*_BLOCK, F.col("doc_id").alias("u"), F.col("label").alias("lu"), *(f"a_{c}" for c in ("n", *more, *_SKETCH)))
+    b = side(told, "b", "a").select(*_BLOCK, F.col("doc_id").alias("v"), F.col("label").alias("lv"), "in_top", *(f"b_{c}" for c in ("n", *more, *_SKETCH)))
+    return a, b
+
+
+def _across(link: _Linker, members: DataFrame, told: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """Pairs of members of one bucket in different classes whose sketches pass the screen, in all cells or those given.
 
-    keys = ["bucket", "cell", "a_slice", "b_slice"]
-    a = side(a, "a", "b").select(*keys, F.col("doc_id").alias("u"), F.col("label").alias("lu"), *(f"a_{c}" for c in ("n", *_SKETCH)))
-    b = side(told, "b", "a").select(*keys, F.col("doc_id").alias("v"), F.col("label").alias("lv"), "in_top", *(f"b_{c}" for c in ("n", *_SKETCH)))
-    met = a.join(b, keys).filter((F.col("lu") != F.col("lv")) & (F.col("in_top") | (F.col("u") < F.col("v"))) & link.screen("a_", "b_"))
+    In each bucket the members outside its largest class meet all members, those whose sizes are in the same cell or the
+    next. So a bucket costs its size times the number of rows outside that class in comparisons, over the cells; both sides
+    of a large cell are cut into slices, and each pair of slices is a task's work of about SLICE x SLICE comparisons.
+    """
+    if told is None:
+        told, cells = _cells(link, members)
+    a, b = _sides(link, told, cells)
+    met = a.join(b, _BLOCK).filter((F.col("lu") != F.col("lv")) & (F.col("in_top") | (F.col("u") < F.col("v"))) & link.screen("a_", "b_"))
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _links_across(link: _Linker, members: DataFrame) -> DataFrame:
+    """Links that connect members of one bucket in different classes. The pairs of small cells are written down. A block of a
+    larger cell is compared in one task: its members are written down with whom they meet, and their texts sent to it, so
+    rows grow with the members and not with the pairs that pass the screen."""
+    told, cells = _cells(link, members)
+    links = link.confirmed(_across(link, members, told, cells.filter("few")))
+    a, b = (link.work.keep(side, "side") for side in _sides(link, told, cells.filter("not few"), "bands"))
+    large = a.groupBy(*_BLOCK).cogroup(b.groupBy(*_BLOCK))
+    met = link.work.keep(large.applyInArrow(_screen_block(link.percent), f"{_BLOCK_TYPES}, doc_id long, label long, partners array<long>"), "met")
+    blocks = met.join(link.texts.hint("merge"), "doc_id").groupBy(*_BLOCK)
+    return links.unionByName(link.work.keep(blocks.applyInArrow(_confirm_block(link.percent), "u long, v long"), "block-links"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with the first document of every class alone; all columns stay. Rows without an id stay."""
     gone = near_groups(docs, id_col, text_col, percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()

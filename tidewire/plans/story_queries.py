@@ -147,8 +147,8 @@ def d2(spark, d):
 
 
 def d3(spark, d):
-    """Similar titles of one publisher: each story's class, and how many stories have a similar title."""
-    return dedupe.similar_counts(cut(dedupe.dedupe_keys(articles(spark, d))))
+    """Similar titles of one publisher: each story's class, how many stories have a similar title, and the pairs of classes."""
+    return dedupe.similar_links(cut(dedupe.dedupe_keys(articles(spark, d))))
 
 
 def d4(spark, d):
@@ -323,8 +323,8 @@ ORACLES = {
     "J8_novelty_past": duck.with_articles("SELECT DISTINCT x.doc_id FROM z x JOIN z y ON y.doc_id < x.doc_id AND x.url <> y.url AND len(list_intersect(x.t, y.t)) >= 4 AND len(list_intersect(x.t, y.t)) / greatest(len(x.t), len(y.t)) >= 0.75", ("z", f"SELECT doc_id, url, {duck.tokens(duck.plain('title'), rules.NOVELTY_STOP_WORDS, 3)} AS t FROM a")),
     "D1_url_dedupe": duck.with_articles("SELECT min(seq) AS doc_id FROM k GROUP BY url_key", *_DK),
     "D2_title_dedupe": duck.with_articles("SELECT min(seq) AS doc_id FROM k GROUP BY publisher_key, title_key", *_DK),
-    "D3_similar_titles": duck.with_articles("SELECT seq, CASE WHEN len(tokens) > 0 THEN min(seq) OVER (PARTITION BY publisher_key, title_key, numbers, tokens) ELSE seq END AS class_seq, (SELECT count(*) FROM p WHERE p.u = k.seq OR p.v = k.seq) AS n_links FROM k",
-        *_DK, ("p", "SELECT x.seq AS u, y.seq AS v FROM k x JOIN k y ON x.publisher_key = y.publisher_key AND x.seq < y.seq AND list_has_any(x.tokens, y.tokens) AND " + duck.similar(("x.title_key", "y.title_key"), ("x.numbers", "y.numbers"), ("x.tokens", "y.tokens")))),
+    "D3_similar_titles": duck.with_articles("SELECT 'class' AS kind, seq AS u, class_seq AS v, (SELECT count(*) FROM p WHERE p.u = kc.seq OR p.v = kc.seq) AS n_links FROM kc UNION ALL SELECT DISTINCT 'similar', least(x.class_seq, y.class_seq), greatest(x.class_seq, y.class_seq), NULL::BIGINT FROM p JOIN kc x ON x.seq = p.u JOIN kc y ON y.seq = p.v WHERE x.class_seq <> y.class_seq",
+        *_DK, ("kc", "SELECT seq, CASE WHEN len(tokens) > 0 THEN min(seq) OVER (PARTITION BY publisher_key, title_key, numbers, tokens) ELSE seq END AS class_seq FROM k"), ("p", "SELECT x.seq AS u, y.seq AS v FROM k x JOIN k y ON x.publisher_key = y.publisher_key AND x.seq < y.seq AND list_has_any(x.tokens, y.tokens) AND " + duck.similar(("x.title_key", "y.title_key"), ("x.numbers", "y.numbers"), ("x.tokens", "y.tokens")))),
     "D4_fuzzy_dedupe": _suppression("SELECT * FROM d"),
     "D5_lookback_dedupe": _suppression("SELECT * FROM d", "seq % 4 = 0"),
     "D6_suppression_count": _suppression("SELECT count(*) FILTER (NOT kept) AS suppressed, count(*) FILTER (kept) AS kept FROM d"),

@@ -182,15 +182,18 @@ def _features(spark, d):
 
 
 def j7(spark, d):
-    """Similar stories: the class of each story, pairs of classes that are similar within 72 hours, and the first story of
-    the same address. Rows grow with the stories and the classes, not with the pairs of stories."""
+    """Similar stories: the class and time of each story, pairs of classes that are similar and have stories within 72 hours,
+    a class with itself among them, and the first story of the same address. Rows grow with the stories and the classes; all
+    pairs of stories follow from them."""
     found = similarity.story_classes(_features(spark, d))
-    none = F.lit(None).cast("double")
-    member = found.members.select(F.lit("class").alias("kind"), F.col("pos").alias("u"), F.col("g").alias("v"), none.alias("similarity"))
-    pairs = similarity.class_pairs(found, rules.SIMILARITY * rules.COHESION).filter("g != h")
-    pairs = pairs.join(similarity.near_cells(similarity.class_cells(found), pairs).select("g", "h").distinct(), ["g", "h"])
-    pair = pairs.select(F.lit("similar").alias("kind"), F.col("g").alias("u"), F.col("h").alias("v"), F.bround("similarity", 6).alias("similarity"))
-    same = similarity.identical(found.members).filter("pos != first").select(F.lit("same").alias("kind"), F.col("pos").alias("u"), F.col("first").alias("v"), none.alias("similarity")).distinct()
+    none, no_time = F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("long").alias("at")
+    member = found.members.select(F.lit("class").alias("kind"), F.col("pos").alias("u"), F.col("g").alias("v"), none, "at")
+    pairs, nodes = similarity.class_pairs(found, rules.SIMILARITY * rules.COHESION), similarity.class_cells(found)
+    # A class and cell of one story is not near itself.
+    near = similarity.near_cells(nodes, pairs).join(nodes.select(F.col("node").alias("u"), "n"), "u").filter("u != v or n > 1")
+    pairs = pairs.join(near.select("g", "h").distinct(), ["g", "h"])
+    pair = pairs.select(F.lit("similar").alias("kind"), F.col("g").alias("u"), F.col("h").alias("v"), F.bround("similarity", 6).alias("similarity"), no_time)
+    same = similarity.identical(found.members).filter("pos != first").select(F.lit("same").alias("kind"), F.col("pos").alias("u"), F.col("first").alias("v"), none, no_time).distinct()
     return member.unionByName(pair).unionByName(same)
 
 
@@ -330,9 +333,9 @@ ORACLES = {
     "D6_suppression_count": _suppression("SELECT count(*) FILTER (NOT kept) AS suppressed, count(*) FILTER (kept) AS kept FROM d"),
     "stream_exact_dedupe": _suppression("SELECT seq FROM d WHERE kept"),
     "F1_empty_keys": duck.with_articles(f"SELECT doc_id FROM a WHERE doc_id % 9 <> 0 AND doc_id % 10 <> 0 AND {duck.clean_title('title')} <> ''"),
-    "J7_event_similarity": duck.with_articles("""SELECT 'class' AS kind, pos AS u, rep AS v, NULL::DOUBLE AS similarity FROM gc
-  UNION ALL SELECT DISTINCT 'similar', least(xr.rep, yr.rep), greatest(xr.rep, yr.rep), round_even(w3.similarity, 6) FROM w3 JOIN gc xr ON xr.pos = w3.u JOIN gc yr ON yr.pos = w3.v WHERE w3.similarity >= 0.6::DOUBLE * 0.65::DOUBLE AND xr.rep <> yr.rep
-  UNION ALL SELECT 'same', pos, first, NULL::DOUBLE FROM (SELECT pos, min(pos) OVER (PARTITION BY url) AS first FROM g WHERE url <> '') WHERE pos <> first""", *_FEATURES, ("gc", "SELECT pos, min(pos) OVER (PARTITION BY models, entities, tokens, themes, actions, acts) AS rep FROM g"), *[(n, t.replace("x.url = y.url OR x.published_s IS NULL", "x.published_s IS NULL").replace("CASE WHEN x.url = y.url THEN 1.0::DOUBLE\n  WHEN", "CASE WHEN")) for n, t in _similarity_steps()]),
+    "J7_event_similarity": duck.with_articles("""SELECT 'class' AS kind, pos AS u, rep AS v, NULL::DOUBLE AS similarity, (published_s * 1000000)::BIGINT AS at FROM gc
+  UNION ALL SELECT DISTINCT 'similar', least(xr.rep, yr.rep), greatest(xr.rep, yr.rep), round_even(w3.similarity, 6), NULL::BIGINT FROM w3 JOIN gc xr ON xr.pos = w3.u JOIN gc yr ON yr.pos = w3.v WHERE w3.similarity >= 0.6::DOUBLE * 0.65::DOUBLE
+  UNION ALL SELECT 'same', pos, first, NULL::DOUBLE, NULL::BIGINT FROM (SELECT pos, min(pos) OVER (PARTITION BY url) AS first FROM g WHERE url <> '') WHERE pos <> first""", *_FEATURES, ("gc", "SELECT pos, published_s, min(pos) OVER (PARTITION BY models, entities, tokens, themes, actions, acts) AS rep FROM g"), *[(n, t.replace("x.url = y.url OR x.published_s IS NULL", "x.published_s IS NULL").replace("CASE WHEN x.url = y.url THEN 1.0::DOUBLE\n  WHEN", "CASE WHEN")) for n, t in _similarity_steps()]),
     "J9_time_band": duck.with_articles("SELECT m AS model, count(*) AS n FROM (SELECT pos, published_s, unnest(models) AS m FROM g) x JOIN (SELECT pos AS pos2, published_s AS s2, unnest(models) AS m FROM g) y USING (m) WHERE pos < pos2 AND abs(published_s - s2) <= 259200 GROUP BY 1", *_FEATURES),
     "O2_cluster_order": duck.with_articles("SELECT doc_id, row_number() OVER (ORDER BY (is_official OR is_primary_source)::INT DESC, priority_score DESC, published_s DESC NULLS LAST, 'art_' || sha256(trim(url))[:16] DESC) - 1 AS pos FROM s", *_SCORED),
 }

@@ -40,6 +40,8 @@ MARGIN, WIDER = 0.055, 0.002
 SLICE, SLICE_SHINGLES = 1024, 4_000_000
 #: Up to so many members, a cell's pairs are written down; those of larger cells stay in the tasks that compare them.
 FEW_MEMBERS = 32
+#: A key with fewer rows is never dealt out in slices.
+LEAST_HOT = 50
 
 _RNG = np.random.default_rng(77_001)
 _XOR = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32)
@@ -122,7 +124,9 @@ def signatures(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _sliced_join(rows: DataFrame, key: str, table: DataFrame, rows_total: int) -> DataFrame:
     """Join a table with one row a doc_id to rows by ``key``; a key that many rows have is repeated for slices of them."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * F.lit(HOT_PARTS) >= F.lit(max(rows_total, 50 * HOT_PARTS)))
+    if rows_total < LEAST_HOT:  # no key has so many
+        return rows.join(table.withColumnRenamed("doc_id", key), key)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * F.lit(HOT_PARTS) >= F.lit(max(rows_total, LEAST_HOT * HOT_PARTS)))
     hot = F.broadcast(counts.select(F.col(key).alias("_key"), F.ceil(F.col("n") * F.lit(HOT_PARTS) / F.lit(max(1, rows_total))).cast("int").alias("_slices")))
     pieces = F.coalesce("_slices", F.lit(1))
     left = rows.join(hot, F.col(key) == F.col("_key"), "left").withColumn("_slice", F.pmod(F.xxhash64(*rows.columns), pieces).cast("int")).drop("_key", "_slices")
@@ -366,6 +370,8 @@ def _links_across(link: _Linker, members: DataFrame) -> DataFrame:
     rows grow with the members and not with the pairs that pass the screen."""
     told, cells = _cells(link, members)
     links = link.confirmed(_across(link, members, told, cells.filter("few")))
+    if cells.filter("not few").isEmpty():
+        return links
     a, b = (link.work.keep(side, "side") for side in _sides(link, told, cells.filter("not few"), "bands"))
     large = a.groupBy(*_BLOCK).cogroup(b.groupBy(*_BLOCK))
     met = link.work.keep(large.applyInArrow(_screen_block(link.percent), f"{_BLOCK_TYPES}, doc_id long, label long, partners array<long>"), "met")

@@ -9,9 +9,11 @@ thousand rows, and no table of pairs is made.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from tidewire import rules
 from tidewire.functions.text import event_id
 from tidewire.operators.graph import components, cut, forget, spread_join
-from tidewire.operators.similarity import NO_CELL, StoryClasses, class_cells, class_pairs, near_cells, story_classes, with_features
+from tidewire.operators.similarity import NO_CELL, StoryClasses, class_cells, class_pairs, near_cells, story_classes, with_features_once
 
 
 def processing_order() -> list[Column]:
@@ -126,15 +128,25 @@ class OrderedPass:
         self.traits: dict[int, Traits] = {}
         self.like: dict[int, dict[int, float]] = {}
         self.events: list[_Event] = []
-        # Who joins is near to all, so to the first: events by its cell and class, and by what they are about.
-        self.opened: dict[int, dict[int, dict[int, set[int]]]] = {}
+        # Who joins is near to all, so to the first: a cell's events as they open, and again as what they are about changes,
+        # with what they are about.
+        self.opened: dict[int, tuple[array, array]] = {}
+        # Of a class and cell: how much of that list was looked at, and the events that a story may still fit.
+        self.fits: dict[tuple[int, int], tuple[int, set[int]]] = {}
         self.named: dict[str, set[int]] = {}  # identity: the events that have it
         self.numbers: dict[Traits, int] = {}
         self.subjects: list[Traits] = []
-        self.known: dict[tuple[int, int], bool] = {}
+        self.kinds: dict[Traits, int] = {}
+        self.kind: dict[int, int] = {}  # a class: what it says but for its words, by number
+        self.known: list[np.ndarray] = []  # of what is said and what events are about: 1 if they agree, 0 if not, -1 unasked
+        self.values: dict = {}  # classes and similarities, each held once
 
     def learn(self, g: int, traits: Traits, like: dict[int, float]) -> None:
-        self.traits[g], self.like[g] = traits, like
+        one = self.values.setdefault
+        self.traits[g], self.like[g] = traits, {one(h, h): one(x, x) for h, x in like.items()}
+        self.kind[g] = self.kinds.setdefault(traits, len(self.kinds))
+        if len(self.known) < len(self.kinds):
+            self.known.append(np.full(64, -1, np.int8))
 
     def _far(self, at: int | None, lo: int | None, hi: int | None) -> bool:
         return at is not None and lo is not None and max(at - lo, hi - at) / 1e6 / 3600.0 > self.hours
@@ -146,24 +158,38 @@ class OrderedPass:
             self.subjects.append(traits)
         return self.numbers[traits]
 
+    def _answers(self, g: int) -> np.ndarray:
+        """What is known of what a class says, with room for all that events are about."""
+        table = self.known[self.kind[g]]
+        if len(table) < len(self.subjects):
+            table = self.known[self.kind[g]] = np.concatenate([table, np.full(len(self.subjects), -1, np.int8)])
+        return table
+
     def _agrees(self, g: int, about: int) -> bool:
-        """Asked once for a class and what an event is about, however many such events there are."""
-        found = self.known.get((g, about))
-        if found is None:
-            found = self.known[g, about] = agrees(self.traits[g], self.subjects[about])
-        return found
-
-    def _found(self, g: int, cell: int, same: tuple) -> set[int]:
-        """Events whose first story may be near this one, and that nothing speaks against."""
-        out = {k for name in same for k in self.named.get(name, ()) if self._agrees(g, self.events[k].about)}
-        like = self.like[g].keys()
-        for c in list(self.opened) if cell == NO_CELL else (cell - 1, cell, cell + 1, NO_CELL):
-            there = self.opened.get(c, {})
-            for h in like & there.keys():
-                for about, ks in there[h].items():
-                    if self._agrees(g, about):
-                        out |= ks
-        return out
+        """Asked once for what a class says and what an event is about, however many such there are."""
+        table = self._answers(g)
+        if table[about] < 0:
+            table[about] = agrees(self.traits[g], self.subjects[about])
+        return bool(table[about])
+
+    def _fitting(self, g: int, cell: int) -> set[int]:
+        """Events of a cell whose first story may be near those of a class, and that nothing speaks against; some may not fit
+        any more. An event is looked at once for a class, and again only when what it is about changes."""
+        seen, fits = self.fits.get((g, cell), (0, set()))
+        ks, abouts = self.opened.get(cell, ((), ()))
+        if seen < len(ks):
+            new, table = np.frombuffer(abouts, np.int64)[seen:], self._answers(g)
+            for about in set(new[table[new] < 0].tolist()):
+                self._agrees(g, about)
+            like, events = self.like[g], self.events
+            fits.update(k for k in (ks[seen + i] for i in np.flatnonzero(table[new]).tolist()) if events[k].at[1] in like)
+            self.fits[g, cell] = (len(ks), fits)
+        return fits
+
+    def _never(self, g: int, event: _Event) -> bool:
+        """Whether no story of a class fits an event any more, but for shared identities: classes stay in events."""
+        like = self.like[g]
+        return any(like.get(h, 0.0) < self.near for h, _ in event.counts)
 
     def _mean(self, g: int, at: int | None, same: tuple, event: _Event) -> float | None:
         """The mean similarity to an event's stories, each class counting as often as it is there; None if one of them is
@@ -186,10 +212,21 @@ class OrderedPass:
     def place(self, pos: int, g: int, at: int | None, cell: int, same: tuple) -> int:
         """The first story of the event that the story joins, or itself."""
         best, best_mean = None, -1.0
-        for k in sorted(self._found(g, cell, same)):
-            mean = self._mean(g, at, same, self.events[k])
-            if mean is not None and mean > best_mean:
-                best, best_mean = k, mean
+        means = {k: self._mean(g, at, same, self.events[k]) for name in same for k in self.named.get(name, ()) if self._agrees(g, self.events[k].about)}
+        for c in list(self.opened) if cell == NO_CELL else (cell - 1, cell, cell + 1, NO_CELL):
+            gone = []
+            for k in (fits := self._fitting(g, c)):
+                event = self.events[k]
+                if not self._agrees(g, event.about):
+                    gone.append(k)  # until what it is about changes again
+                elif k not in means:
+                    means[k] = self._mean(g, at, same, event)
+                    if means[k] is None and self._never(g, event):
+                        gone.append(k)
+            fits.difference_update(gone)
+        for k in sorted(means):
+            if means[k] is not None and means[k] > best_mean:
+                best, best_mean = k, means[k]
         if best is None:
             best = len(self.events)
             self.events.append(_Event(pos, self._number(self.traits[g]), (cell, g)))
@@ -198,17 +235,14 @@ class OrderedPass:
         return self.events[best].first
 
     def _open(self, k: int) -> None:
-        cell, g = self.events[k].at
-        self.opened.setdefault(cell, {}).setdefault(g, {}).setdefault(self.events[k].about, set()).add(k)
+        ks, abouts = self.opened.setdefault(self.events[k].at[0], (array("q"), array("q")))
+        ks.append(k)
+        abouts.append(self.events[k].about)
 
     def _add(self, k: int, g: int, at: int | None, same: tuple) -> None:
         event = self.events[k]
         about = self._number(self.subjects[event.about] | self.traits[g])
         if about != event.about:
-            here = self.opened[event.at[0]][event.at[1]]
-            here[event.about].discard(k)
-            if not here[event.about]:
-                del here[event.about]
             event.about = about
             self._open(k)
         for name in same:
@@ -261,7 +295,7 @@ def assign_events(articles: DataFrame, similarity: float = rules.SIMILARITY, win
 
     Means are compared to 12 digits, so that the order in which similarities are added does not decide."""
     near = similarity * rules.COHESION
-    placed = cut(with_features(with_position(articles)))
+    placed = with_features_once(with_position(articles))
     found = story_classes(placed, window_hours=window_hours)
     pairs = class_pairs(found, near)
     groups = story_groups(found, pairs.filter(F.col("similarity") >= similarity), window_hours)

@@ -41,6 +41,23 @@ def with_features(df: DataFrame) -> DataFrame:
     return out.withColumn("f_pairs", concrete_pairs(F.col("f_anchors")))
 
 
+#: What ``with_features`` reads.
+TEXTS = ("title", "title_ko", "title_en", "excerpt", "summary_ko", "summary_en", "tags", "key_points")
+
+
+def with_features_once(df: DataFrame) -> DataFrame:
+    """The rows of ``with_features``, written, in any order: texts that stories share are read once."""
+    read = [c for c in TEXTS if c in df.columns]
+    told = cut(df.withColumn("_text", F.unhex(F.sha2(F.to_json(F.struct(*read)), 256))))
+    texts = told.groupBy("_text").agg(F.count(F.lit(1)).alias("_n"), *(F.any_value(c).alias(c) for c in read))
+    # Dealt again by number of rows, as few texts would be read by one task.
+    texts = cut(texts)
+    found = cut(with_features(texts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))).drop(*read))
+    out = cut(spread_join(told, found, ["_text"], "_n", told.count()).drop("_text"))
+    forget(told, texts, found)
+    return out
+
+
 def _both(a: Column, b: Column) -> Column:
     return F.array_intersect(a, b)
 
